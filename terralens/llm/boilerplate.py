@@ -22,7 +22,7 @@ MAX_BROADCAST_LINES = 500_000
 def normalised_lines(body: Column) -> Column:
     """The lines of ``body`` up to case, kind and number of spaces, spaces at the ends, and digits; null for null."""
     text = F.regexp_replace(F.regexp_replace(F.lower(body), "[ \\t\\u00a0]+", " "), "\\d+", "0")
-    return F.transform(F.split(text, "\n", -1), F.trim)
+    return F.transform(F.split(text, "\n", -1), lambda x: F.trim(x))
 
 
 def _hashed(docs: DataFrame, source: str, doc: str, body: str, day: str) -> DataFrame:
