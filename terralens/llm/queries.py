@@ -6,7 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralens.io import table
-from terralens.llm import boilerplate, visual
+from terralens.llm import boilerplate, langid, visual
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    news = table(spark, sf_dir, "news_items")
+    model = langid.fit_word_model(news, "id", ("title", "body"), "lang")
+    return langid.label_languages(news, ("id", "lang"), ("title", "body"), model)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items in several languages or in another than their label names, with each language."""
+    return langid.mislabelled(_labelled(spark, sf_dir), "id", "lang")
+
+
+def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item's segments with language and confidence (part 0 is the title, 1 the body)."""
+    return langid.segments(_labelled(spark, sf_dir).withColumnRenamed("lang", "label"), ("id",))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,5 +64,5 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.without_boilerplate(table(spark, sf_dir, "news_items"), "source_id", "id", "body", "fetched_at").select("id", "clean_body", "lines_removed")
 
 
-QUERIES = {"p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_clean": p6_clean}
+QUERIES = {"p1_found": p1_found, "p1_segments": p1_segments, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_clean": p6_clean}
 ORACLES = {"p6_found": P6_SQL}

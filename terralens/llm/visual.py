@@ -20,11 +20,9 @@ from pyspark.sql import functions as F
 
 #: Letters that look alike in Latin, Cyrillic and Greek (a dot where a script has none).
 LOOKALIKES = """
-aаα bЬβ cсϲ dԁ. eеε gɡ. hһ. iіι jј. kкκ lӏ. mм. nпη oоο pрρ qԛ. rг. sѕ. tтτ uи. vѵν wԝω xхχ yуγ zзζ
-AАΑ BВΒ CСϹ DԀ. EЕΕ GԌ. HНΗ IІΙ JЈ. KКΚ LL. MМΜ NИΝ OОΟ PРΡ QԚ. SЅ. TТΤ VѴν WԜ. XХΧ YУΥ ZЗΖ
+aаα cсϲ dԁ. eе. hһ. iіι jј. kкκ oоο pрρ qԛ. sѕ. u.υ vѵν wԝ. xхχ yу.
+AАΑ BВΒ CСϹ EЕΕ HНΗ IІΙ JЈ. KКΚ MМΜ N.Ν OОΟ PРΡ QԚ. SЅ. TТΤ WԜ. XХΧ YУΥ Z.Ζ
 """
-#: Of the above, those that read as another letter too well to be guessed; they are not mapped.
-UNLIKE = set("uиnпrгzзηωγgɡlӏVbЬβeεNИLTτtтmм") - set("eеtтTТ")
 SCRIPTS = {"LATIN": "L", "CYRILLIC": "C", "GREEK": "G", "ARMENIAN": "A", "CHEROKEE": "R", "HEBREW": "H", "ARABIC": "B"}
 APOSTROPHES = "'‘’ʼʹ′´`＇՚"
 BLOCKS = ((0x20, 0x0600), (0x1C80, 0x1C8F), (0x1D00, 0x2200), (0x2C60, 0x2E00), (0x2DE0, 0x2E00), (0xA640, 0xA7FF), (0xAB30, 0xAB70), (0x3000, 0x3001), (0xFB00, 0xFB18), (0xFE00, 0xFE10), (0xFEFF, 0xFF00), (0xFF01, 0xFFEF), (0x1D400, 0x1D800), (0x13A0, 0x1400), (0x115F, 0x1161), (0x3164, 0x3165), (0x180B, 0x180F), (0xE0000, 0xE0080), (0xE0100, 0xE01F0))
@@ -95,7 +93,7 @@ def lookalikes() -> list[tuple[str, str, str]]:
     rows = []
     for group in LOOKALIKES.split():
         for a in group:
-            rows += [(a, s, b) for s, b in zip("LCG", group) if b not in (a, ".") and a not in UNLIKE and b not in UNLIKE and a != "."]
+            rows += [(a, s, b) for s, b in zip("LCG", group) if "." not in (a, b) and a != b]
     return rows
 
 
