@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralens.io import table
-from terralens.llm import boilerplate, langid, visual
+from terralens.llm import boilerplate, langid, mojibake, visual
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,5 +64,16 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.without_boilerplate(table(spark, sf_dir, "news_items"), "source_id", "id", "body", "fetched_at").select("id", "clean_body", "lines_removed")
 
 
-QUERIES = {"p1_found": p1_found, "p1_segments": p1_segments, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_clean": p6_clean}
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled documents with the text as it was, where it can be had."""
+    docs = table(spark, sf_dir, "documents")
+    return mojibake.restore(docs, "doc_id", "text", mojibake.learn(docs, "doc_id", "text"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents any part of which is garbled or lost by a wrong encoding."""
+    return p10_restored(spark, sf_dir).select("doc_id")
+
+
+QUERIES = {"p10_found": p10_found, "p10_restored": p10_restored, "p1_found": p1_found, "p1_segments": p1_segments, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_clean": p6_clean}
 ORACLES = {"p6_found": P6_SQL}
