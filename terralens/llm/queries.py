@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralens.io import table
-from terralens.llm import boilerplate, langid, mojibake, visual
+from terralens.llm import boilerplate, langid, leakage, mojibake, visual
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,5 +75,28 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_restored(spark, sf_dir).select("doc_id")
 
 
-QUERIES = {"p10_found": p10_found, "p10_restored": p10_restored, "p1_found": p1_found, "p1_segments": p1_segments, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_clean": p6_clean}
-ORACLES = {"p6_found": P6_SQL}
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_passages(table(spark, sf_dir, "documents"), "doc_id", table(spark, sf_dir, "eval_items"), "item_id")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the evaluation items of which they hold 12 words in a row."""
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every evaluation item with the number of documents it leaked into."""
+    return leakage.item_report(_leaks(spark, sf_dir), table(spark, sf_dir, "eval_items"), "item_id", "doc_id")
+
+
+_P8_GRAMS = """
+w AS (SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL
+      UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') FROM eval_items WHERE text IS NOT NULL),
+g AS (SELECT DISTINCT side, id, array_to_string(ws[i:i + 11], ' ') AS gram FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 10)) AS i) WHERE len(ws) >= 12)"""
+P8_SQL = f"WITH {_P8_GRAMS} SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.side = 'd' AND i.side = 'i' AND d.gram = i.gram"
+P8_ITEMS_SQL = f"""
+WITH {_P8_GRAMS}, p AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n FROM g d JOIN g i ON d.side = 'd' AND i.side = 'i' AND d.gram = i.gram GROUP BY ALL)
+SELECT item_id, count(doc_id) AS documents, coalesce(max(n), 0) AS most_passages FROM eval_items LEFT JOIN p USING (item_id) GROUP BY item_id"""
+
+QUERIES = {"p8_found": p8_found, "p8_items": p8_items, "p10_found": p10_found, "p10_restored": p10_restored, "p1_found": p1_found, "p1_segments": p1_segments, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_clean": p6_clean}
+ORACLES = {"p8_found": P8_SQL, "p8_items": P8_ITEMS_SQL, "p6_found": P6_SQL}
