@@ -42,26 +42,30 @@ QUOTED = re.compile(r"«[^«»\n]{1,300}»|[„“][^„“”\"\n]{1,300}[”
 CYRILLIC, LATIN = re.compile(r"[Ѐ-ӿ]"), re.compile(r"[a-zß-ſ]")
 #: Letters that only one of the languages writes, by position in LANGUAGES.
 LETTERS = ("іїєґ", "ыэъё", "", "äöüß", "ąęłśźżćń")
-SUSPICIOUS = re.compile(visual.SUSPICIOUS)
+_USUAL = frozenset(re.findall(f"[{visual.PLAIN}]", "".join(map(chr, range(0x2200))))) | {"\n", "\t"}
+MIXED = re.compile(f"{visual.LATIN}{visual.CYRILLIC}|{visual.CYRILLIC}{visual.LATIN}|[Ͱ-Ͽ]")
 _TWINS = {(a, s): b for a, s, b in visual.lookalikes()}
 
 
+def _one_script(m: re.Match) -> str:
+    """A word of two scripts with its look-alikes turned to the script of its other letters."""
+    w = m[0]
+    cyr = len(CYRILLIC.findall(w.lower()))
+    lat = len(w) - cyr
+    if not cyr or not lat:
+        return w
+    twins = {s: sum((c, s) in _TWINS for c in w) for s in "CL"}
+    only = (cyr - twins["L"], lat - twins["C"])
+    s = "C" if only[0] > only[1] or (only[0] == only[1] and cyr >= lat) else "L"
+    return "".join(_TWINS.get((c, s), c) for c in w)
+
+
 def plain(text: str) -> str:
     """``text`` with full-width and joined forms, invisible characters and look-alikes of another script undone."""
-    if not SUSPICIOUS.search(text):
-        return text
-    text = "".join(c for c in unicodedata.normalize("NFKC", text) if unicodedata.category(c) != "Cf")
-
-    def word(m: re.Match) -> str:
-        w = m[0]
-        cyr, lat = len(CYRILLIC.findall(w.lower())), len(w) - len(CYRILLIC.findall(w.lower()))
-        if not cyr or not lat:
-            return w
-        twins = [sum((c, s) in _TWINS for c in w) for s in "CL"]
-        s = "C" if cyr - twins[1] > lat - twins[0] or (cyr - twins[1] == lat - twins[0] and cyr >= lat) else "L"
-        return "".join(_TWINS.get((c, s), c) for c in w)
-
-    return WORD.sub(word, text)
+    odd = [c for c in set(text) - _USUAL if unicodedata.category(c)[0] in "LMCN"]
+    if odd:
+        text = unicodedata.normalize("NFKC", text.translate({ord(c): None for c in odd if unicodedata.category(c) == "Cf"}))
+    return WORD.sub(_one_script, text) if MIXED.search(text) else text
 
 
 def sentences(text: str | None) -> list[list[str]]:
