@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralens.io import table
-from terralens.llm import boilerplate, langid, leakage, mojibake, visual
+from terralens.llm import boilerplate, langid, leakage, mojibake, places, visual
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,5 +98,12 @@ P8_ITEMS_SQL = f"""
 WITH {_P8_GRAMS}, p AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n FROM g d JOIN g i ON d.side = 'd' AND i.side = 'i' AND d.gram = i.gram GROUP BY ALL)
 SELECT item_id, count(doc_id) AS documents, coalesce(max(n), 0) AS most_passages FROM eval_items LEFT JOIN p USING (item_id) GROUP BY item_id"""
 
-QUERIES = {"p8_found": p8_found, "p8_items": p8_items, "p10_found": p10_found, "p10_restored": p10_restored, "p1_found": p1_found, "p1_segments": p1_segments, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_clean": p6_clean}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events without an entry but with a place name: the entry it names, or 0."""
+    events = table(spark, sf_dir, "extracted_events").where("gazetteer_id IS NULL AND place_name_raw RLIKE '[^\\\\s\\\\u00a0\\\\u2000-\\\\u200f\\\\u202f\\\\u2060\\\\u3000\\\\ufeff]'")
+    events = events.select("id", "place_name_raw", F.col("llm_raw.oblast").alias("hint"))
+    return places.match_places(events, ("id",), "place_name_raw", "hint", table(spark, sf_dir, "gazetteer")).distinct()
+
+
+QUERIES = {"p3_found": p3_found, "p8_found": p8_found, "p8_items": p8_items, "p10_found": p10_found, "p10_restored": p10_restored, "p1_found": p1_found, "p1_segments": p1_segments, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_clean": p6_clean}
 ORACLES = {"p8_found": P8_SQL, "p8_items": P8_ITEMS_SQL, "p6_found": P6_SQL}
