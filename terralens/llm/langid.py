@@ -47,16 +47,19 @@ MIXED = re.compile(f"{visual.LATIN}{visual.CYRILLIC}|{visual.CYRILLIC}{visual.LA
 _TWINS = {(a, s): b for a, s, b in visual.lookalikes()}
 
 
+def _script(c: str) -> str:
+    return "C" if "\u0400" <= c <= "\u052f" else "G" if "\u0370" <= c <= "\u03ff" else "L"
+
+
 def _one_script(m: re.Match) -> str:
-    """A word of two scripts with its look-alikes turned to the script of its other letters."""
+    """A word of several scripts with its look-alikes turned to the script of its other letters."""
     w = m[0]
-    cyr = len(CYRILLIC.findall(w.lower()))
-    lat = len(w) - cyr
-    if not cyr or not lat:
+    scripts = [_script(c) for c in w]
+    if len(set(scripts)) == 1:
         return w
-    twins = {s: sum((c, s) in _TWINS for c in w) for s in "CL"}
-    only = (cyr - twins["L"], lat - twins["C"])
-    s = "C" if only[0] > only[1] or (only[0] == only[1] and cyr >= lat) else "L"
+    #: Letters without a twin decide; then the number of letters.
+    weight = {s: sum((1 if any((c, t) in _TWINS for t in "LCG") else 100) for c, x in zip(w, scripts) if x == s) for s in "CLG"}
+    s = max(weight, key=weight.get)
     return "".join(_TWINS.get((c, s), c) for c in w)
 
 
