@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralens.io import table
-from terralens.llm import boilerplate, langid, leakage, mojibake, places, visual
+from terralens.llm import boilerplate, langid, leakage, mixing, mojibake, places, visual
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,5 +105,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.match_places(events, ("id",), "place_name_raw", "hint", table(spark, sf_dir, "gazetteer")).distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p8_found": p8_found, "p8_items": p8_items, "p10_found": p10_found, "p10_restored": p10_restored, "p1_found": p1_found, "p1_segments": p1_segments, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_clean": p6_clean}
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used in the mixture of the sources to their target shares."""
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixing.mix_sources(mixing.counted(table(spark, sf_dir, "documents"), targets, "doc_id", "text"), targets, "doc_id")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that the mixture reached."""
+    targets = table(spark, sf_dir, "mix_targets")
+    counts = mixing.counted(table(spark, sf_dir, "documents"), targets, "doc_id", "text")
+    return mixing.shares(mixing.mix_sources(counts, targets, "doc_id"), counts, targets)
+
+
+QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares, "p3_found": p3_found, "p8_found": p8_found, "p8_items": p8_items, "p10_found": p10_found, "p10_restored": p10_restored, "p1_found": p1_found, "p1_segments": p1_segments, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_clean": p6_clean}
 ORACLES = {"p8_found": P8_SQL, "p8_items": P8_ITEMS_SQL, "p6_found": P6_SQL}
