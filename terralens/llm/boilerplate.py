@@ -63,8 +63,11 @@ def boilerplate_places(docs: DataFrame, source: str, doc: str, body: str, day: s
 def without_boilerplate(docs: DataFrame, source: str, doc: str, body: str, day: str, **limits) -> DataFrame:
     """``docs`` plus ``clean_body``, the body without its source's boilerplate lines, and ``lines_removed``.
 
-    ``doc`` must be unique. Null bodies stay null; a body of boilerplate alone becomes empty.
+    ``doc`` must be unique. Null bodies stay null; a body of boilerplate alone becomes empty. Columns of these two
+    names are replaced.
     """
-    places = boilerplate_places(docs, source, doc, body, day, **limits).groupBy(doc).agg(F.collect_list("line_no").alias("_cut"))
-    kept = F.filter(F.split(F.col(body), "\n", -1), lambda x, i: ~F.array_contains(F.coalesce("_cut", F.array().cast("array<bigint>")), (i + 1).cast("bigint")))
-    return docs.join(places, doc, "left").withColumns({"clean_body": F.array_join(kept, "\n"), "lines_removed": F.coalesce(F.size("_cut"), F.lit(0))}).drop("_cut")
+    places = boilerplate_places(docs, source, doc, body, day, **limits).groupBy(F.col(doc).alias("_terralens_doc")).agg(F.collect_list("line_no").alias("_terralens_cut"))
+    cut = F.coalesce("_terralens_cut", F.array().cast("array<bigint>"))
+    kept = F.filter(F.split(F.col(body), "\n", -1), lambda x, i: ~F.array_contains(cut, (i + 1).cast("bigint")))
+    joined = docs.join(places, F.col(doc) == F.col("_terralens_doc"), "left")
+    return joined.withColumns({"clean_body": F.array_join(kept, "\n"), "lines_removed": F.size(cut)}).drop("_terralens_cut", "_terralens_doc")

@@ -159,6 +159,9 @@ def is_deviant() -> Column:
 
 
 def canonical_text(df: DataFrame, text: str, out: str = "canonical") -> DataFrame:
-    """``df`` plus ``out``: ``text`` in the form in which texts that look alike are equal; null stays null."""
-    odd = deviations(df, text).select(F.col(text).alias("_t"), F.col("canonical").alias("_c"))
-    return df.join(odd, F.col(text) == F.col("_t"), "left").withColumn(out, F.coalesce("_c", text)).drop("_t", "_c")
+    """``df`` plus ``out``: ``text`` in the form in which texts that look alike are equal; null stays null.
+
+    Rows and other columns stay as they are; a column ``out`` of ``df`` is replaced.
+    """
+    odd = deviations(df, text).select(F.col(text).alias("_terralens_text"), F.col("canonical").alias("_terralens_form"))
+    return df.join(odd, F.col(text) == F.col("_terralens_text"), "left").withColumn(out, F.coalesce("_terralens_form", text)).drop("_terralens_text", "_terralens_form")
