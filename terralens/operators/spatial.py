@@ -59,21 +59,23 @@ def distance_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     """
     deg = radius_m / EARTH_M * 180 / math.pi * 1.01  # a little more than either metric needs
     cell = 2 * deg
-    columns = max(1, math.ceil(360 / cell))
+    #: A whole number of columns goes round the globe, so that the date line is no border.
+    columns = max(1, math.floor(360 / cell))
+    wide = 360 / columns
     lp = left.select(F.col(left_id).alias("_l"), F.col("x").alias("_x1"), F.col("y").alias("_y1")).dropDuplicates()
     rp = right.select(F.col(right_id).alias("_r"), F.col("x").alias("_x2"), F.col("y").alias("_y2")).dropDuplicates()
 
-    def index(v: Column) -> Column:
-        return F.floor(v / cell).cast("bigint")
+    def index(v: Column, size: float = cell) -> Column:
+        return F.floor(v / size).cast("bigint")
 
     reach = F.when(F.abs("_y1") + deg >= 89.9, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(deg))) / F.cos(F.radians("_y1"))))))
     wrap = lambda c: F.pmod(c, F.lit(columns))
     lcells = (
         lp.select("_x1", "_y1").dropDuplicates()
         .withColumn("_cy", F.explode(F.sequence(index(F.col("_y1") - deg), index(F.col("_y1") + deg))))
-        .withColumn("_cx", F.explode(F.array_distinct(F.transform(F.sequence(index(F.col("_x1") + 180 - reach), index(F.col("_x1") + 180 + reach)), wrap))))
+        .withColumn("_cx", F.explode(F.array_distinct(F.transform(F.sequence(index(F.col("_x1") + 180 - reach, wide), index(F.col("_x1") + 180 + reach, wide)), wrap))))
     )
-    rcells = rp.select("_x2", "_y2").dropDuplicates().withColumns({"_cy": index(F.col("_y2")), "_cx": wrap(index(F.col("_x2") + 180))})
+    rcells = rp.select("_x2", "_y2").dropDuplicates().withColumns({"_cy": index(F.col("_y2")), "_cx": wrap(index(F.col("_x2") + 180, wide))})
     pairs = (
         lcells.join(rcells, ["_cy", "_cx"])
         .withColumn("dist_m", metric(F.col("_x1"), F.col("_y1"), F.col("_x2"), F.col("_y2")))
