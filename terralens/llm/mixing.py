@@ -71,7 +71,7 @@ def mix_sources(counts: DataFrame, targets: DataFrame, doc: str, seed: int = 0,
     plan = plan_mix(counts, targets, total_tokens)
     cut = plan.where("budget > 0").select("source", F.expr("budget div available").alias("epochs"), F.expr("budget % available").alias("left"))
     key = F.xxhash64(F.lit(seed), F.col(doc))
-    docs = counts.join(F.broadcast(cut) if cut.limit(10_001).count() <= 10_000 else cut, "source").withColumns({"_k": key, "_b": F.shiftrightunsigned(key, 64 - (BUCKETS.bit_length() - 1))})
+    docs = counts.select(doc, "source", "n_tokens").join(F.broadcast(cut) if cut.limit(10_001).count() <= 10_000 else cut, "source").withColumns({"_k": key, "_b": F.shiftrightunsigned(key, 64 - (BUCKETS.bit_length() - 1))})
     sums = docs.groupBy("source", "_b").agg(F.sum("n_tokens").alias("_sum"))
     before = F.sum("_sum").over(Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.withColumn("_before", F.coalesce(before, F.lit(0)))
