@@ -58,7 +58,8 @@ def _one_script(m: re.Match) -> str:
     if len(set(scripts)) == 1:
         return w
     #: Letters without a twin decide; then the number of letters.
-    weight = {s: sum((1 if any((c, t) in _TWINS for t in "LCG") else 100) for c, x in zip(w, scripts) if x == s) for s in "CLG"}
+    there = set(scripts)
+    weight = {s: sum((1 if any((c, t) in _TWINS for t in there) else 100) for c, x in zip(w, scripts) if x == s) for s in "CLG"}
     s = max(weight, key=weight.get)
     return "".join(_TWINS.get((c, s), c) for c in w)
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 #: Letters that look alike in Latin, Cyrillic and Greek (a dot where a script has none).
 LOOKALIKES = """
-aаα cсϲ dԁ. eе. hһ. iіι jј. kкκ oоο pрρ qԛ. sѕ. u.υ vѵν wԝ. xхχ yу.
+aаα cсϲ dԁ. eе. hһ. iіι jј. kкκ oоο pрρ qԛ. sѕ. u.υ v.ν wԝ. xхχ yу.
 AАΑ BВΒ CСϹ EЕΕ HНΗ IІΙ JЈ. KКΚ MМΜ N.Ν OОΟ PРΡ QԚ. SЅ. TТΤ WԜ. XХΧ YУΥ Z.Ζ
 """
 SCRIPTS = {"LATIN": "L", "CYRILLIC": "C", "GREEK": "G", "ARMENIAN": "A", "CHEROKEE": "R", "HEBREW": "H", "ARABIC": "B"}
@@ -32,6 +32,10 @@ def _script(ch: str) -> str | None:
     return next((s for word in unicodedata.name(ch, "").split()[:2] if (s := SCRIPTS.get(word))), None) if unicodedata.category(ch)[0] == "L" else None
 
 
+def _script_of(ch: str) -> str:
+    return _script(ch) or "L"
+
+
 def _kind(ch: str) -> str | None:
     """What makes a code point a deviation by itself."""
     category, how = unicodedata.category(ch), unicodedata.decomposition(ch)
@@ -130,8 +134,8 @@ def deviations(texts: DataFrame, text: str) -> DataFrame:
         .select(*key, "pos", "kind", "accent", "word", F.coalesce("sub", F.lit(0)).alias("sub"), F.coalesce("p.c", F.lit("")).alias("c"), F.coalesce("p.ccc", F.lit(0)).alias("ccc"), "p.script")
     )
     word = Window.partitionBy(*key, "word")
-    #: Letters without a twin in the other scripts decide; then the number of letters.
-    own = F.when(F.col("c").isin(sorted({a for a, _, _ in lookalikes()})), 1).otherwise(100)
+    #: Latin and Cyrillic letters without a twin in the other decide; then the number of letters.
+    own = F.when(F.col("c").isin(sorted({a for a, s, b in lookalikes() if "G" not in (s, _script_of(a))})) | (F.col("script") == "G"), 1).otherwise(100)
     scripts = {s: F.sum(F.when(F.col("script") == s, own).otherwise(0)).over(word) for s in SCRIPTS.values()}
     best = F.array_max(F.array(*[F.struct(n.alias("n"), F.lit(s).alias("s")) for s, n in scripts.items()]))
     cps = cps.withColumns({"main": best["s"], "mixed": F.size(F.collect_set("script").over(word)) > 1})
