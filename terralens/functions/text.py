@@ -103,3 +103,22 @@ def needs_translation(text: Column, language: Column) -> Column:
     """Blank: no; any Cyrillic: yes; no language known: no; else unless the language is English."""
     blank = strip(F.coalesce(text, F.lit(""))) == ""
     return F.when(blank, False).when(text.rlike("[Ѐ-ӿ]"), True).when(F.coalesce(language, F.lit("")) == "", False).otherwise(~F.lower(language).contains("english"))
+
+
+def loose_json(c: Column) -> Column:
+    """The JSON object in a text that may be fenced or wrapped in prose; null if there is none that parses."""
+    bare = F.regexp_replace(c, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", "")
+    inner = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
+    return F.when(F.try_parse_json(bare).isNotNull(), bare).when(F.try_parse_json(inner).isNotNull(), inner)
+
+
+def indexed_results(c: Column, value: str) -> Column:
+    """Members of the array ``results`` of a JSON text by their integer ``idx``: map of ``idx`` to ``value`` as text.
+
+    Members that are no objects or lack an integer ``idx`` are skipped; of two with one ``idx`` the last wins.
+    """
+    members = F.from_json(F.get_json_object(c, "$.results"), "array<string>")
+    pairs = F.transform(F.coalesce(members, F.array()), lambda m: F.struct(F.get_json_object(m, "$.idx").try_cast("int").alias("k"), F.get_json_object(m, f"$.{value}").alias("v")))
+    pairs = F.filter(pairs, lambda p: p["k"].isNotNull())
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
+    return F.map_from_entries(last)

@@ -34,17 +34,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut ``df``'s lineage with a reliable checkpoint.
+def scratch(spark: SparkSession) -> str:
+    """The shared folder for intermediate results: the one the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a laptop) is a local folder chosen. Reliable checkpoints outlive lost executors.
+    Only where that is unset (tests, a laptop) is a local folder chosen.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return shared or os.path.join(tempfile.gettempdir(), "terralens-checkpoints")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut ``df``'s lineage with a reliable checkpoint in the shared folder; it outlives lost executors."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "terralens-checkpoints"))
+        sc.setCheckpointDir(scratch(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

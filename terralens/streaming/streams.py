@@ -11,9 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def table_stream(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
-    """A growing Parquet table as a stream; the schema is that of the files there now. Admission is bounded by files."""
+    """A growing Parquet table (a folder or one file) as a stream with the schema of now; a trigger admits so many files."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path if any(c in path for c in "*?[") else f"{path}*")
 
 
 def daily_counts(stream: DataFrame, at: str, by: tuple[str, ...], late: str = "24 hours") -> DataFrame:
