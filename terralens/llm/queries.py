@@ -34,6 +34,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.where(F.col("text").rlike(visual.SUSPICIOUS)).join(odd, "text", "left_semi").select("tbl", "row_id").distinct()
 
 
+P5_SQL = r"""
+WITH t AS (SELECT 'news_items' AS tbl, id AS row_id, title AS s FROM news_items UNION ALL SELECT 'extracted_events', id, place_name_raw FROM extracted_events),
+w AS (SELECT tbl, row_id, unnest(regexp_extract_all(s, '[\p{L}\p{M}\p{Nd}\p{Cf}''’ʼ‘]+')) AS word FROM t WHERE s IS NOT NULL),
+mixed AS (SELECT DISTINCT tbl, row_id FROM w WHERE regexp_matches(word, '\p{Latin}')::INT + regexp_matches(word, '\p{Cyrillic}')::INT + regexp_matches(word, '\p{Greek}')::INT > 1)
+SELECT DISTINCT tbl, row_id FROM t WHERE regexp_matches(s, '[\x{FF10}-\x{FF19}\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}\x{FB00}-\x{FB06}]|\p{L}\p{M}|\p{Cf}|[^\P{Z} ]|\t')
+UNION SELECT tbl, row_id FROM mixed"""
+
+
 def p5_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every title with the form in which equal-looking titles are equal."""
     return visual.canonical_text(table(spark, sf_dir, "news_items").select("id", "title"), "title").select("id", "canonical")
@@ -119,4 +127,4 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares, "p3_found": p3_found, "p8_found": p8_found, "p8_items": p8_items, "p10_found": p10_found, "p10_restored": p10_restored, "p1_found": p1_found, "p1_segments": p1_segments, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_clean": p6_clean}
-ORACLES = {"p8_found": P8_SQL, "p8_items": P8_ITEMS_SQL, "p6_found": P6_SQL}
+ORACLES = {"p5_found": P5_SQL, "p8_found": P8_SQL, "p8_items": P8_ITEMS_SQL, "p6_found": P6_SQL}
