@@ -421,12 +421,29 @@ def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Word stems and phrases of the relevance filter.
-RELEVANCE = r"удар|обстріл|обстрел|наступ|штурм|атак|вибух|взрыв|знищ|уничтож|дрон|ракет|артилер|артиллер|\bfront ?line\b|\bassault\b|\bshelling\b|\bmissile\b|\bdrone\b|\battack(ed|s|ing)?\b|\bexplosions?\b|\bdestroyed\b|\bdamaged\b"
+RELEVANCE = (
+    r"удар|обстріл|обстрел|наступ|наступл|просунул|просуну|звільни|освободи|захопи|захвати",
+    r"штурм|окуп|оккуп|бої|боях|бой |боев|зачист|прорв|прорыв|відступ|отступ|контратак|контрнаступ",
+    r"атак|уразил|ураже|вразил|знищ|уничтож|ліквідов|ликвидиров|підрив|подрыв|вибух|взрыв",
+    r"втрат|потер|загинул|погиб|поранен|ранен|полонен|пленн|збит|сбит|уламк|обломк",
+    r"дрон|бпла|безпілот|беспилот|ракет|каб |кабів|шахед|shahed|himars|атакмс|atacms",
+    r"іскандер|искандер|артилер|артиллер|міномет|миномет|фпв|fpv|планув|планир",
+    r"\bfront ?line\b|\bfrontline\b|\badvance[ds]?\b|\bliberat|\bcaptur|\brecaptur|\boffensive\b",
+    r"\bassault\b|\bshelling\b|\bshelled\b|\bmissile\b|\bdrone\b|\bstrike[sd]?\b|\bstruck\b",
+    r"\bwithdrew\b|\bwithdraw|\bencircl|\bsalient\b|\bbridgehead\b|\bgrey zone\b|\bgray zone\b",
+    r"\bgeolocat|\bconfirmed footage\b|\bdebunk|\bstaged\b|\bai[- ]generated\b|\bdeepfake\b",
+    r"\bdestroyed\b|\bdamaged\b|\babandoned\b|\bloss(es)?\b|\bloses\b|\blost\b|\bcasualt",
+    r"\battack(ed|s|ing)?\b|\bhit\b|\bexplosion\b|\bwounded\b|\bkilled\b|\btroops\b",
+    r"\bartiller|\bmortar\b|\bUAV\b|\bglide bomb\b|\bair ?strike",
+    r"область|обл\.|оbласт|oblast|раїон|район|селищ|село|місто|город|напрямку|направлени",
+    r"\w+(?:ivka|івка|овка|ovka|ське|sk|ськ|цьк|град|горск|горськ)\b",
+    r"\braion\b|\bhromada\b|\bгромад",
+)
 
 
 def relevance_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items whose title or body matches the relevance filter, in any case."""
-    return news(spark, sf_dir).where(F.concat_ws(" ", "title", "body").rlike(f"(?iU){RELEVANCE}")).select("id")
+    """Items whose title or body matches the relevance filter, in any case and script."""
+    return news(spark, sf_dir).where(F.concat_ws(" ", "title", "body").rlike("(?iU)" + "|".join(RELEVANCE))).select("id")
 
 
 def coord_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
