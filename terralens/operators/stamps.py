@@ -4,7 +4,7 @@ Every raw stamp is parsed by one regular expression into *all* its valid interpr
 arrays of seconds, formats and costs. A stamp with one interpretation is an *anchor*. A Viterbi pass over each
 source's record order then picks one interpretation per stamp, penalising format switches and backward
 time jumps; what is declared about a source (date order, home zone) enters as a cost that no transition
-can outweigh, so the path decides only what is not declared.
+can outweigh, so the path decides only what is not declared, and a declared stamp is an anchor too.
 
 Scale. The best path decomposes exactly at anchors: their state is fixed. Records are put into chunks
 of the record order; a small per-chunk aggregate tells each record the segment (anchor to anchor) it
@@ -210,7 +210,7 @@ def _choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         amb = np.flatnonzero(count > 1)
         stop = len(rows)
         if not last:
-            anchors = np.flatnonzero(count == 1)
+            anchors = np.flatnonzero([(c < DECLARED).sum() == 1 for c in rows["costs"]])
             cut = int(anchors[-1]) if len(anchors) else 0
             held, stop = rows.iloc[cut:].copy(), cut + 1
             if not len(anchors):
@@ -250,7 +250,9 @@ def choose_readings(parsed: DataFrame) -> DataFrame:
     interpretation drop out; ties in the order are broken by ``row_key``.
     """
     rows = parsed.where(F.size("secs") > 0).select("tbl", "row_key", "raw", "source", "chunk", "o1", "o2", "secs", "fmts", "costs")
-    anchor = F.min(F.when(F.size("secs") == 1, F.struct("o1", "o2", F.col("secs")[0].alias("sec"), F.col("fmts")[0].alias("fmt"))))
+    #: A reading that is declared beats the others whatever its neighbours are, so its stamp is an anchor too.
+    open_ = F.filter(F.arrays_zip("secs", "fmts", "costs"), lambda c: c["costs"] < DECLARED)
+    anchor = F.min(F.when(F.size(open_) == 1, F.struct("o1", "o2", open_[0]["secs"].alias("sec"), open_[0]["fmts"].alias("fmt"))))
     w = Window.partitionBy("source").orderBy("chunk")
     chunks = (
         rows.groupBy("source", "chunk")

@@ -126,3 +126,11 @@ def test_source_tables(spark):
     clock = spark.createDataFrame([(7, "n", KIEV, "dmy"), (7, "n", KIEV, "dmy")], "source_id int, name string, home_zone string, date_order string")
     got = {r["row_key"]: r["utc"] for r in S.normalise_stamps(S.news_stamps(news, clock)).select("row_key", S.as_utc(F.col("sec")).alias("utc")).collect()}
     assert got == {"1": "2024-04-03T07:00:00Z", "2": "2024-01-01T00:00:00Z"}
+
+
+def test_declared_source_is_cut_into_segments(spark):
+    """A source that writes only slashed dates in its declared order has an anchor in every chunk."""
+    rows = [("t", str(i), f"0{1 + i % 9}/0{1 + i % 7}/2024", "s", i, i, i // 10, None, "mdy", None) for i in range(200)]
+    parsed = S.interpretations(_frame(spark, rows))
+    got = {r["row_key"]: r["sec"] for r in S.choose_readings(parsed).collect()}
+    assert got == {str(i): at(f"2024-0{1 + i % 9}-0{1 + i % 7} 00:00:00") for i in range(200)}
