@@ -50,7 +50,7 @@ def line_counts(docs: DataFrame, source: str, doc: str, body: str, day: str) ->
 def boilerplate_lines(docs: DataFrame, source: str, doc: str, body: str, day: str, min_rows: int = 4, min_share: float = 0.08, min_clusters: int = 2, min_days: int = 2) -> DataFrame:
     """The lines of ``line_counts`` in at least ``min_rows`` rows, ``min_share`` of the source's rows, ``min_clusters`` different documents and ``min_days`` days."""
     c = line_counts(docs, source, doc, body, day)
-    return c.where((F.col("rows") >= min_rows) & (F.col("rows") >= min_share * F.col("source_rows")) & (F.col("clusters") >= min_clusters) & (F.col("days") >= min_days))
+    return c.where((F.col("rows") >= min_rows) & (F.col("rows") + 1e-6 >= min_share * F.col("source_rows")) & (F.col("clusters") >= min_clusters) & (F.col("days") >= min_days))
 
 
 def boilerplate_places(docs: DataFrame, source: str, doc: str, body: str, day: str, **limits) -> DataFrame:
