@@ -47,13 +47,13 @@ PATTERN = (
     r"(\d{4})([-/.])(\d{1,2})\2(\d{1,2})"  # 1 year, 2 separator, 3 month, 4 day
     r"|(\d{1,2})([-/.])(\d{1,2})\6(\d{4}|\d{2})"  # 5 and 7 day and month in either order, 6 separator, 8 year
     r"|(\d{4})(\d{2})(\d{2})(?=[T\s]|$)"  # 9 year, 10 month, 11 day
-    r"|(\d{1,2})\.?\s+([^\W\d_]+)\.?,?\s+(\d{4})(?:\s*[гр]\.|\s*року|\s*года)?"  # 12 day, 13 month, 14 year
+    r"|(\d{1,2})\.?[\s-]+([^\W\d_]+)\.?,?[\s-]+(\d{4})(?:\s*[гр]\.|\s*року|\s*года)?"  # 12 day, 13 month, 14 year
     r"|([^\W\d_]+)\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})"  # 15 month, 16 day, 17 year
     r"|(\d{10}|\d{13}|\d{16})"  # 18 seconds, milliseconds or microseconds since 1970
     r")(?:(?:T|[\s,]+(?:(?:godz\.?|um|at|о|об|в)\s+)?)(\d{1,2})(?::(\d{2})(?::(\d{2})(?:[.,]\d+)?)?|(\d{2})(\d{2})?)"  # 19 hour, 20 and 22 minute, 21 and 23 second
     r"\s*([ap]\.?m\.?|uhr)?"  # 24 half of the day
-    r"(?:\s*([^\W\d_]{1,5}(?=\s*(?:\[|$))|[+-]?\d{1,2}:?\d{2}|[+-]\d{1,2}))?"  # 25 zone
-    r"(?:\s*\[([^\]]+)\])?"  # 26 region
+    r"(?:\s*([^\W\d_]{1,5}(?=\s*(?:[\[(]|$))|(?:utc|gmt)?\s*[+-]\d{1,2}(?::?\d{2})?|\d{1,2}:?\d{2}))?"  # 25 zone
+    r"(?:\s*\[([^\]]+)\]|\s*\([^)]*\))?"  # 26 region, or a remark
     r")?\s*$"
 )
 MARK = "\u0001"
@@ -78,8 +78,9 @@ def _zone(name: str | None) -> ZoneInfo | None:
 
 def _offset_minutes(zone: str) -> int | None:
     """Minutes east of UTC of a written offset or abbreviation; an offset without sign is positive."""
-    if not zone.lstrip("+-")[:1].isdigit():
+    if zone[-1:].isalpha():
         return ZONES.get(zone.lower())
+    zone = re.sub(r"(?i)^(?:utc|gmt)\s*|\s+", "", zone)
     digits = zone.lstrip("+-").replace(":", "")
     hours, minutes = (int(digits), 0) if len(digits) <= 2 else (int(digits[:-2]), int(digits[-2:]))
     total = hours * 60 + minutes

@@ -50,6 +50,10 @@ def at(text):
         ("Sep 11, 2024", None, None, "2024-09-11 00:00:00"),
         ("2024-02-29", None, None, "2024-02-29 00:00:00"),
         ("2024-05-08T08:12:13.688578+05:30", None, None, "2024-05-08 02:42:13"),
+        ("2024-03-01 10:00 UTC+3", KIEV, None, "2024-03-01 07:00:00"),
+        ("1 Mar 2024 10:00:00 GMT-05:30", KIEV, None, "2024-03-01 15:30:00"),
+        ("Tue, 01 Apr 2025 08:07:09 +0300 (EEST)", NY, None, "2025-04-01 05:07:09"),
+        ("05-Sep-2024 10:00", "UTC", None, "2024-09-05 10:00:00"),
         # An hour that occurs twice is its first occurrence, a skipped one reads with the offset before.
         ("2024-10-27T03:30:00", KIEV, None, "2024-10-27 00:30:00"),
         ("2024-03-31T03:30:00", KIEV, None, "2024-03-31 01:30:00"),
