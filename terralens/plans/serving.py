@@ -420,6 +420,9 @@ def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return news(spark, sf_dir).where("body IS NOT NULL").select("id", text.headline(F.col("body")).alias("headline"))
 
 
+Q_HEADLINES = r"""WITH l AS (SELECT id, list_filter(list_transform(string_split(body, chr(10)), lambda x: regexp_replace(x, '^[\s\p{Z}\x0b\x{0085}]+|[\s\p{Z}\x0b\x{0085}]+$', '', 'g')), lambda x: regexp_matches(x, '[\p{L}\p{N}]')) AS ls FROM news_items WHERE body IS NOT NULL)
+SELECT id, substr(CASE WHEN len(ls) = 0 THEN '' ELSE list_reduce(ls, lambda a, x: CASE WHEN length(a) >= 24 THEN a ELSE a || ' ' || x END) END, 1, 200) AS headline FROM l"""
+
 #: Word stems and phrases of the relevance filter.
 RELEVANCE = (
     r"удар|обстріл|обстрел|наступ|наступл|просунул|просуну|звільни|освободи|захопи|захвати",
@@ -441,6 +444,11 @@ RELEVANCE = (
 )
 
 
+#: RE2's word classes are ASCII, so the patterns that lean on them for Cyrillic are spelt out.
+_RE2 = "|".join(RELEVANCE).replace(r"\w+(?:", r"[\p{L}\p{N}_]+(?:").replace(r"горськ)\b", r"горськ)(?:[^\p{L}\p{N}_]|$)").replace(r"\bгромад", r"(?:^|[^\p{L}\p{N}_])громад")
+Q_RELEVANT = f"SELECT id FROM news_items WHERE regexp_matches(concat_ws(' ', title, body), '(?i){_RE2}')"
+
+
 def relevance_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items whose title or body matches the relevance filter, in any case and script."""
     return news(spark, sf_dir).where(F.concat_ws(" ", "title", "body").rlike("(?iU)" + "|".join(RELEVANCE))).select("id")
@@ -495,7 +503,7 @@ _ALL = (
     (news_relevance_gate, Q_GATE), (news_snippets, Q_SNIPPETS), (news_events_nested, Q_NESTED), (content_hash_dedupe, Q_DEDUPE), (story_versions, Q_STORY), (timeline_histogram, Q_HIST), (timeline_bounds, Q_BOUNDS), (source_rollup, Q_ROLLUP),
     (retention_rank, Q_RANK), (retention_keep_n, Q_KEEP), (per_day_last_k, Q_LASTK), (distance_join_5km, Q_DIST), (nearest_claim, Q_NEAR), (space_time_neighbours, Q_SPACE_TIME), (asof_snapshot, Q_ASOF), (digest_items, Q_DIGEST),
     (perspective_sets, Q_SETS), (modal_place, Q_MODAL), (member_round_robin, Q_ROBIN), (recent_claims, Q_RECENT), (token_prefix_pack, Q_PACK), (report_sessions, Q_SESSIONS), (debunk_url_targets, Q_DEBUNK), (needs_translation, Q_TRANSLATE),
-    (place_transliterations, Q_LATIN), (headlines, None), (relevance_prefilter, None), (coord_scan, None), (due_sources, Q_DUE), (location_dedupe, Q_LOCATION), (active_window, Q_ACTIVE), (report_upsert, Q_UPSERT),
+    (place_transliterations, Q_LATIN), (headlines, Q_HEADLINES), (relevance_prefilter, Q_RELEVANT), (coord_scan, None), (due_sources, Q_DUE), (location_dedupe, Q_LOCATION), (active_window, Q_ACTIVE), (report_upsert, Q_UPSERT),
 )
 QUERIES = {f.__name__: f for f, _ in _ALL}
 ORACLES = {f.__name__: q for f, q in _ALL if q}
