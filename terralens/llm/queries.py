@@ -126,5 +126,18 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(mixing.mix_sources(counts, targets, "doc_id"), counts, targets)
 
 
+P6_CLEAN_SQL = r"""
+WITH l AS (
+  SELECT source_id, id, floor(epoch(fetched_at) / 86400) AS day, generate_subscripts(string_split(body, chr(10)), 1) AS line_no, unnest(string_split(body, chr(10))) AS raw FROM news_items WHERE body IS NOT NULL),
+n AS (SELECT *, trim(regexp_replace(regexp_replace(lower(raw), '[ \t\x{00a0}]+', ' ', 'g'), '[0-9]+', '0', 'g')) AS line FROM l),
+d AS (SELECT source_id, id, day, list_sort(list_distinct(list(line) FILTER (line <> ''))) AS lines FROM n GROUP BY ALL),
+c AS (SELECT source_id, lines, count(*) AS copies, min(day) AS day FROM d WHERE len(lines) > 0 GROUP BY ALL),
+x AS (SELECT source_id, unnest(lines) AS line, copies, day FROM c),
+t AS (SELECT source_id, count(*) AS total FROM news_items GROUP BY source_id),
+f AS (SELECT source_id, line FROM x JOIN t USING (source_id) GROUP BY source_id, line, total
+      HAVING sum(copies) >= 4 AND sum(copies) >= 0.08 * total AND count(*) >= 2 AND count(DISTINCT day) >= 2),
+k AS (SELECT n.id, coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (f.line IS NULL), '') AS clean_body, CAST(count(f.line) AS INTEGER) AS lines_removed FROM n LEFT JOIN f USING (source_id, line) GROUP BY n.id)
+SELECT id, clean_body, coalesce(lines_removed, 0) AS lines_removed FROM news_items LEFT JOIN k USING (id)"""
+
 QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares, "p3_found": p3_found, "p8_found": p8_found, "p8_items": p8_items, "p10_found": p10_found, "p10_restored": p10_restored, "p1_found": p1_found, "p1_segments": p1_segments, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_clean": p6_clean}
-ORACLES = {"p5_found": P5_SQL, "p8_found": P8_SQL, "p8_items": P8_ITEMS_SQL, "p6_found": P6_SQL}
+ORACLES = {"p6_clean": P6_CLEAN_SQL, "p5_found": P5_SQL, "p8_found": P8_SQL, "p8_items": P8_ITEMS_SQL, "p6_found": P6_SQL}

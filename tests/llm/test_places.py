@@ -48,3 +48,10 @@ def test_accuracy_on_known_entries(spark, data):
     e = table(spark, data, "extracted_events").where("gazetteer_id IS NOT NULL AND place_name_raw IS NOT NULL AND trim(place_name_raw) <> ''").selectExpr("id", "gazetteer_id AS known", "place_name_raw", "llm_raw.oblast AS hint")
     rows = P.match_places(e, ("id", "known"), "place_name_raw", "hint", table(spark, data, "gazetteer")).collect()
     assert rows and sum(r["known"] == r["gazetteer_id"] for r in rows) / len(rows) > 0.97
+
+
+def test_a_list_beyond_the_bound_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(P, "MAX_ENTRIES", 2)
+    v = spark.createDataFrame([(1, "x", None)], "id bigint, name string, hint string")
+    with pytest.raises(ValueError):
+        P.match_places(v, ("id",), "name", "hint", spark.createDataFrame(ENTRIES, "id int, name_uk string, name_ru string, name_en string, oblast string"))
