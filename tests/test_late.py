@@ -1,6 +1,9 @@
 """The event-period by arrival-period triangle."""
 
+from pyspark.sql import functions as F
+
 from terralens.operators import late
+from terralens.plans import problems
 
 DAY0 = 1704067200  # 2024-01-01
 
@@ -28,3 +31,9 @@ def test_revisions_accumulate(spark):
 def test_empty(spark):
     placed = late.place(_records(spark, []), "e", "a")
     assert late.triangle(placed).count() == 0 and late.late_records(placed, late.triangle(placed)).count() == 0
+
+
+def test_revisions_count_events_dated_by_their_item(spark, data):
+    """The late events and those cut off in all revisions are those of ``p4_found``, null ``occurred_at`` included."""
+    got = {(r[0], r[1]): r[2] for r in problems.p4_all_revisions(spark, data).where("outcome <> 'on_time'").groupBy("event_day", "outcome").agg(F.sum("arrived")).collect()}
+    assert got and got == {(r[0], r[1]): r[2] for r in problems.p4_found(spark, data).groupBy("event_day", "outcome").count().collect()}
