@@ -111,6 +111,34 @@ def _deletes(word: str) -> set[str]:
     return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
 
 
+def _within(word: str, index: dict[str, set[str]]) -> set[str]:
+    """The words of a deletion index at most one edit from ``word``."""
+    return {n for d in _deletes(word) for n in index.get(d, ()) if one_edit(word, n)}
+
+
+def split_tokens(name: str) -> list[str]:
+    """The tokens of ``name`` as spelt; hyphens part them."""
+    return [t for t in re.split(r"[\s-]+", name) if t]
+
+
+def token_set(name: str) -> tuple[str, ...]:
+    """The sorted sounds of the tokens of ``name``."""
+    return tuple(sorted(map(sounds, split_tokens(name))))
+
+
+def _fewest(alike: list[dict[str, int]], other: tuple[str, ...]) -> int | None:
+    """Fewest errors when each token, given by its ``alike`` ones, is paired with another of ``other``; null if they don't pair."""
+    costs = {0: 0}
+    for near in alike:
+        then: dict[int, int] = {}
+        for used, n in costs.items():
+            for j, u in enumerate(other):
+                if not used >> j & 1 and u in near:
+                    then[used | 1 << j] = min(n + near[u], then.get(used | 1 << j, len(other)))
+        costs = then
+    return costs.get((1 << len(other)) - 1)
+
+
 class Gazetteer:
     """The automaton, the spellings and the tokens of a gazetteer's entries ``(id, uk, ru, en, oblast)``."""
 
@@ -135,13 +163,41 @@ class Gazetteer:
             self.automaton.make_automaton()
         self.spelt: dict[str, set[int]] = defaultdict(set)
         self.near: dict[str, set[str]] = defaultdict(set)
+        self.near_sound: dict[str, set[str]] = defaultdict(set)
+        #: Entries of each token set, in sounds and as spelt; the sets of each token as spelt; tokens by sound; tokens and their sounds by deletions.
+        self.sets: dict[tuple[str, ...], set[int]] = defaultdict(set)
+        self.spelt_sets: dict[tuple[str, ...], set[int]] = defaultdict(set)
+        self.sets_of: dict[str, set[tuple[str, ...]]] = defaultdict(set)
+        self.tokens_of: dict[str, set[str]] = defaultdict(set)
+        self.near_token: dict[str, set[str]] = defaultdict(set)
+        self.near_said: dict[str, set[str]] = defaultdict(set)
         for name, ids in self.base.items():
             self.spelt[sounds(name)] |= ids
+            self.sets[token_set(name)] |= ids
+            self.spelt_sets[tuple(sorted(split_tokens(name)))] |= ids
             for d in _deletes(name):
                 self.near[d].add(name)
+        for said in self.spelt:
+            for d in _deletes(said):
+                self.near_sound[d].add(said)
+        for tokens in self.spelt_sets:
+            for t in tokens:
+                self.sets_of[t].add(tokens)
+        for t in self.sets_of:
+            self.tokens_of[sounds(t)].add(t)
+            for d in _deletes(t):
+                self.near_token[d].add(t)
+        for said in self.tokens_of:
+            for d in _deletes(said):
+                self.near_said[d].add(said)
+        #: No longer value (letters, tokens) is within the allowed edits of a name.
+        self.longest = 1 + max(map(len, self.base.keys() | self.spelt.keys()), default=0)
+        self.most_tokens = max(map(len, self.spelt_sets), default=0)
         self.spelt_cases: dict[str, set[int]] = defaultdict(set)
+        self.sets_cases: dict[tuple[str, ...], set[int]] = defaultdict(set)
         for name, ids in self.cases.items():
             self.spelt_cases[sounds(name)] |= ids
+            self.sets_cases[token_set(name)] |= ids
         self.region = lru_cache(maxsize=10_000)(self._region)
         self.match = lru_cache(maxsize=200_000)(self._match)
 
@@ -209,23 +265,36 @@ class Gazetteer:
         return self._similar(" ".join(core), key)
 
     def _similar(self, name: str, key: str | None) -> int:
-        """Token-set similarity: equal sounds, then one typing error in the name or one in each of its tokens."""
-        for spelt in (self.spelt, self.spelt_cases):
-            if ids := spelt.get(sounds(name)):
+        """Token-set similarity: equal sounds in any order, then one typing error in the name or one in each of its tokens."""
+        said, tokens = sounds(name), token_set(name)
+        for ids in (self.spelt.get(said), self.spelt_cases.get(said), self.sets.get(tokens), self.sets_cases.get(tokens)):
+            if ids:
                 return self._among(ids, key)
-        if len(name) < 5:
-            return 0
-        near = {n for d in _deletes(name) for n in self.near.get(d, ()) if one_edit(name, n)}
-        ids: set[int] = set().union(*(self.base[n] for n in near))
+        near = _within(name, self.near) if len(name) <= self.longest else set()
+        ids = set().union(*(self.base[n] for n in near))
         if not ids:
-            said = sounds(name)
-            tokens = set(name.split())
-            #: Candidates share all tokens but one, and that one up to a typing error of its sounds.
-            for n in {n for d in _deletes(name) for e in _deletes(d) for n in self.near.get(e, ())} if len(name) <= 40 else ():
-                if one_edit(said, sounds(n)) or (len(tokens) > 1 and len(tokens) == len(n.split()) and all(any(one_edit(t, u) for u in n.split()) for t in tokens)):
-                    ids |= self.base[n]
+            #: Fewest errors win: one in the sounds of the whole name, or in as few tokens as possible.
+            found = [(1, self.spelt[n]) for n in (_within(said, self.near_sound) if len(said) <= self.longest else ())]
+            found += [(n, self.spelt_sets[other]) for other, n in self._near_sets(split_tokens(name))]
+            least = min((n for n, _ in found), default=0)
+            ids = set().union(*(i for n, i in found if n == least))
         return self._among(ids, key) if ids else 0
 
+    def _near_tokens(self, token: str) -> dict[str, int]:
+        """The names' tokens at most one edit from ``token``, spelt or in sounds; 0 for equal sounds, else 1."""
+        said = sounds(token)
+        near = _within(token, self.near_token) if len(token) <= self.longest else set()
+        alike = _within(said, self.near_said) if len(said) <= self.longest else set()
+        return dict.fromkeys(near.union(*(self.tokens_of[s] for s in alike)), 1) | dict.fromkeys(self.tokens_of.get(said, ()), 0)
+
+    def _near_sets(self, tokens: list[str]) -> list[tuple[tuple[str, ...], int]]:
+        """The names' token sets equal to ``tokens`` up to one error a token, with the number of tokens that have one."""
+        if not 0 < len(tokens) <= self.most_tokens:
+            return []
+        alike = [self._near_tokens(t) for t in tokens]
+        sets = set.intersection(*({s for u in near for s in self.sets_of[u] if len(s) == len(tokens)} for near in alike))
+        return [(s, n) for s in sets if (n := _fewest(alike, s)) is not None]
+
 
 _built: dict[int, Gazetteer] = {}
 

@@ -27,6 +27,18 @@ def test_values(g, value, hint, want):
     assert g.match(value, hint) == want
 
 
+@pytest.mark.parametrize(
+    "value, want",
+    [
+        ("Хокомине Верхнє", 4), ("верхна хокомина", 4), ("Khokomyne Verkhnie", 4), ("Хокоминому Верхньому", 4), ("Хокомнне Верхне", 4), ("Sviechaszivka", 0), ("Верхнє Верхнє", 0), ("Хокомине", 0), ("Нижнє Хокомине", 0),
+        ("Дольша-Гора", 7), ("Гора Дольша", 7), ("Бж", 8), ("Довге Найменування Поселення Першотравневого Району Зелених Пагорбів", 9), ("Найменувана Довге Поселення Першотравневого Райнону Зелених Пагорбів", 9),
+    ],
+)
+def test_token_sets(value, want):
+    g = P.Gazetteer([*ENTRIES, (7, "Дольша Гора", None, None, None), (8, "Бож", None, None, None), (9, "Довге Найменування Поселення Першотравневого Району Зелених Пагорбів", None, None, None)])
+    assert g.match(value, None) == want
+
+
 def test_edits():
     assert all(P.one_edit("abcd", x) for x in ("abcd", "abd", "abxcd", "abxd", "acbd", "bcd", "abcde")) and not any(P.one_edit("abcd", x) for x in ("ab", "badc", "abdce", "xbcx"))
 
