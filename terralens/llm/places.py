@@ -2,8 +2,8 @@
 
 A multi-pattern automaton over canonical names, transliterations and inflected forms finds the names embedded in
 a value; the longest non-overlapping match wins, canonical names before inflected forms. What the automaton
-leaves goes to a token-set similarity: the value's tokens against those of the names, each token equal up to
-spelling or one typing error. Several entries of one name are told apart by the oblast that the value or its
+leaves, or matches beside other words, goes to a token-set similarity: the value's tokens against those of the names, each token equal up to
+spelling or one typing error. Where no name is alike, a single place mentioned beside other words counts. Several entries of one name are told apart by the oblast that the value or its
 hint names, else the value stays unmatched.
 
 Scale. The gazetteer is a reference list, collected only up to ``MAX_ENTRIES`` entries and checked to be smaller;
@@ -43,6 +43,13 @@ VAGUE = set("""
 узлісся лісосмуга лесополоса промзона окраина околиця околиці берег березі берега bank river річки реки річка река вздовж вдоль уздовж along area areas залізниці железной
 невідомо неизвестно unknown location невідоме невстановлене somewhere various різні разные
 """.split())
+#: Words beside a name that make a region, a direction or a stretch of it.
+BESIDE = set("""
+район району районі района районе область області области обл oblast region
+північ півночі північніше південь півдні південніше захід заході західніше схід сході східніше між
+север севере севернее юг юге южнее запад западе западнее восток востоке восточнее между
+north south west east northern southern western eastern northeast northwest southeast southwest between
+""".split())
 REGION_WORDS = r"(?:область|області|обл\.?|області|области|oblast|region)"
 #: Sounds of the Cyrillic letters in a common spelling of the languages at hand.
 SOUNDS = dict(zip("абвгґдежзийклмнопрстуфхцчшыіїэ", "abvhhdežziiklmnoprstufxcčšiiie")) | {"щ": "šč", "ю": "iu", "я": "ia", "є": "ie", "ё": "e", "ь": "", "ъ": ""}
@@ -198,6 +205,8 @@ class Gazetteer:
         for name, ids in self.cases.items():
             self.spelt_cases[sounds(name)] |= ids
             self.sets_cases[token_set(name)] |= ids
+        #: Sounds of the words that make names of several words; beside a name they make it another.
+        self.parts = {t for tokens in self.sets.keys() | self.sets_cases.keys() if len(tokens) > 1 for t in tokens}
         self.region = lru_cache(maxsize=10_000)(self._region)
         self.match = lru_cache(maxsize=200_000)(self._match)
 
@@ -249,23 +258,30 @@ class Gazetteer:
         key = key or self.region(hint)
         tokens = [t for t in re.findall(r"[^\W\d_]+(?:['-][^\W\d_]+)*|\d+", text)]
         mentions = self._embedded(text)
+        named = {frozenset(self.base.get(n) or self.cases[n]) for _, _, n in mentions}
+        left: list[str] = []
         if mentions:
             rest = text
             for s, e, _ in reversed(mentions):
                 rest = rest[:s] + " " + rest[e:]
             left = [t for t in re.findall(r"[^\W\d_]+|\d+", rest) if t not in KINDS]
             if not left:
-                ids = [self.base.get(n) or self.cases[n] for _, _, n in mentions]
-                if len(set(map(frozenset, ids))) == 1:
-                    return self._among(set(ids[0]), key)
-                return 0
+                return self._among(set(*named), key) if len(named) == 1 else 0
         if not tokens or any(t in VAGUE for t in tokens) or any(t.isdigit() for t in tokens):
             return 0
         core = [t for t in tokens if t not in KINDS] or tokens
-        return self._similar(" ".join(core), key)
-
-    def _similar(self, name: str, key: str | None) -> int:
-        """Token-set similarity: equal sounds in any order, then one typing error in the name or one in each of its tokens."""
+        found = self._similar(" ".join(core), key)
+        if found is not None:
+            return found
+        #: Other words beside the one place that is mentioned; places lying off it are vague.
+        return self._among(set(*named), key) if len(named) == 1 and not any(t in BESIDE or self._is_part(t) for t in left) else 0
+
+    def _is_part(self, token: str) -> bool:
+        """True for a word, up to an error, of the names of several words."""
+        return sounds(token) in self.parts or any(len(s) > 1 for u in self._near_tokens(token) for s in self.sets_of[u])
+
+    def _similar(self, name: str, key: str | None) -> int | None:
+        """Token-set similarity: equal sounds in any order, then one typing error in the name or one in each of its tokens; null if no name is alike."""
         said, tokens = sounds(name), token_set(name)
         for ids in (self.spelt.get(said), self.spelt_cases.get(said), self.sets.get(tokens), self.sets_cases.get(tokens)):
             if ids:
@@ -278,7 +294,7 @@ class Gazetteer:
             found += [(n, self.spelt_sets[other]) for other, n in self._near_sets(split_tokens(name))]
             least = min((n for n, _ in found), default=0)
             ids = set().union(*(i for n, i in found if n == least))
-        return self._among(ids, key) if ids else 0
+        return self._among(ids, key) if ids else None
 
     def _near_tokens(self, token: str) -> dict[str, int]:
         """The names' tokens at most one edit from ``token``, spelt or in sounds; 0 for equal sounds, else 1."""

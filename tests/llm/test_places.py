@@ -39,6 +39,17 @@ def test_token_sets(value, want):
     assert g.match(value, None) == want
 
 
+@pytest.mark.parametrize(
+    "value, hint, want",
+    [
+        ("Свечашівка школа", None, 1), ("explosion in Svechashivka", None, 1), ("вибух у Свечашівці, школа", None, 1), ("школа, Борушезопіль", "Світанська обл.", 2), ("школа, Борушезопіль", None, 0), ("Свечашівка школа, Свечашівка", None, 1),
+        ("Свечашівка школа Зулкижеків", None, 0), ("траса школа Свечашівка", None, 0), ("школа Свечашівка 7", None, 0), ("північ Свечашівки", None, 0), ("north of Svechashivka", None, 0), ("Свечашівський район", None, 0), ("школа", None, 0), ("Верхня Свечашівка", None, 0),
+    ],
+)
+def test_mentions_beside_other_words(g, value, hint, want):
+    assert g.match(value, hint) == want
+
+
 def test_edits():
     assert all(P.one_edit("abcd", x) for x in ("abcd", "abd", "abxcd", "abxd", "acbd", "bcd", "abcde")) and not any(P.one_edit("abcd", x) for x in ("ab", "badc", "abdce", "xbcx"))
 
