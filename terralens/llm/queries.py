@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralens.io import table
+from terralens.io import checkpointed, table
 from terralens.llm import boilerplate, langid, leakage, mixing, mojibake, places, visual
+from terralens.operators import stamps
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,10 +69,18 @@ SELECT id, CAST(line_no AS BIGINT) AS line_no FROM n JOIN f USING (source_id, li
 
 
 def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each item's body without its source's boilerplate."""
+    """Each item's body without its source's boilerplate, days counted by arrival; ``p6_clean_published`` counts them by publication."""
     return boilerplate.without_boilerplate(table(spark, sf_dir, "news_items"), "source_id", "id", "body", "fetched_at").select("id", "clean_body", "lines_removed")
 
 
+def p6_clean_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item's body without its source's boilerplate, days counted by ``published_at``, or ``fetched_at`` where that names no instant."""
+    news = table(spark, sf_dir, "news_items").select("id", "source_id", "body", "fetched_at", "published_at")
+    published = stamps.normalise_stamps(stamps.news_stamps(news, table(spark, sf_dir, "source_clock"))).select(F.col("row_key").cast("bigint").alias("item"), F.timestamp_seconds("sec").alias("published"))
+    dated = news.join(checkpointed(published), F.col("id") == F.col("item"), "left").withColumn("day", F.coalesce("published", "fetched_at"))
+    return boilerplate.without_boilerplate(dated, "source_id", "id", "body", "day").select("id", "clean_body", "lines_removed")
+
+
 def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Garbled documents with the text as it was, where it can be had."""
     docs = table(spark, sf_dir, "documents")
@@ -139,5 +148,5 @@ f AS (SELECT source_id, line FROM x JOIN t USING (source_id) GROUP BY source_id,
 k AS (SELECT n.id, coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (f.line IS NULL), '') AS clean_body, CAST(count(f.line) AS INTEGER) AS lines_removed FROM n LEFT JOIN f USING (source_id, line) GROUP BY n.id)
 SELECT id, clean_body, coalesce(lines_removed, 0) AS lines_removed FROM news_items LEFT JOIN k USING (id)"""
 
-QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares, "p3_found": p3_found, "p8_found": p8_found, "p8_items": p8_items, "p10_found": p10_found, "p10_restored": p10_restored, "p1_found": p1_found, "p1_segments": p1_segments, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_clean": p6_clean}
+QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares, "p3_found": p3_found, "p8_found": p8_found, "p8_items": p8_items, "p10_found": p10_found, "p10_restored": p10_restored, "p1_found": p1_found, "p1_segments": p1_segments, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_clean": p6_clean, "p6_clean_published": p6_clean_published}
 ORACLES = {"p6_clean": P6_CLEAN_SQL, "p5_found": P5_SQL, "p8_found": P8_SQL, "p8_items": P8_ITEMS_SQL, "p6_found": P6_SQL}

@@ -52,3 +52,15 @@ def test_clean_bodies(spark):
 
 def test_empty_table(spark):
     assert places(frame(spark, [])) == set()
+
+
+def test_days_are_those_of_publication(spark, tmp_path):
+    """One fetch day, five publication days: boilerplate; the reverse is none."""
+    from terralens.llm import queries
+
+    rows = [(i, 1, f"Own {chr(97 + i)}\nNotice", f"2024-01-0{i + 1}T10:00:00Z", datetime(2024, 2, 1)) for i in range(5)]
+    rows += [(10 + i, 2, f"Own {chr(97 + i)}\nNotice", "2024-01-01T10:00:00Z", datetime(2024, 2, 1 + i)) for i in range(5)]
+    spark.createDataFrame(rows, "id bigint, source_id int, body string, published_at string, fetched_at timestamp").write.parquet(f"{tmp_path}/news_items.parquet")
+    spark.createDataFrame([(s, "x", "Europe/Kyiv", "dmy") for s in (1, 2)], "source_id int, name string, home_zone string, date_order string").write.parquet(f"{tmp_path}/source_clock.parquet")
+    got = {r["id"]: r["lines_removed"] for r in queries.p6_clean_published(spark, str(tmp_path)).collect()}
+    assert got == {i: 1 for i in range(5)} | {10 + i: 0 for i in range(5)}
