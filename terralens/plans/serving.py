@@ -365,7 +365,7 @@ Q_RECENT = f"WITH {EV}, c AS (SELECT id, lon, lat, CAST(floor(epoch(created_at))
 
 
 def token_prefix_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each source's newest items while their estimated tokens fit a budget of 4,000 a day."""
+    """Each source's newest items while their estimated tokens fit a budget of 400 a day."""
     n = news(spark, sf_dir).withColumns({"day": F.floor(F.col("fetched_s") / DAY), "tokens": text.estimated_tokens(F.col("body"))})
     return rel.prefix_pack(n, ["source_id", "day"], [F.desc("fetched_s"), F.desc("id")], F.col("tokens"), 400).select("id", "source_id", "day", "used", "position")
 
