@@ -9,30 +9,40 @@ of all rows needs no sort of its own and no task holds more than a bucket of it.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terralens.io import checkpointed
+from terralens.io import broadcast_if_small, checkpointed, ship_package
 
-#: Vocabulary file (ranks of a byte-level BPE); a parameter everywhere, never part of the repository.
+#: Vocabulary file (ranks of a byte-level BPE) as the driver sees it; a parameter everywhere, never part of the repository.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: how the vocabulary's texts are split before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BUCKETS = 4096
+#: A list of up to so many sources is broadcast to the whole texts; a longer one is joined by a shuffle.
+MAX_SOURCES = 10_000
 
 
 def with_tokens(docs: DataFrame, keep: tuple[str, ...], text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``keep`` plus ``n_tokens``; null and empty texts have none. Special tokens in a text count as ordinary text."""
+    """``keep`` plus ``n_tokens``; null and empty texts have none. Special tokens in a text count as ordinary text.
+
+    The vocabulary file is sent to the executors, which need no path to it.
+    """
+    ship_package(docs.sparkSession)
+    docs.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
     fields = docs.select(*keep).schema.fields
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["n_tokens bigint"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        with open(tokenizer, "rb") as f:
+        with open(SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         for pdf in batches:
@@ -42,11 +52,13 @@ def with_tokens(docs: DataFrame, keep: tuple[str, ...], text: str, tokenizer: st
 
 
 def plan_mix(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
-    """Budget of each source of ``targets``: ``source, target_share, max_repeats, available, budget``.
+    """Budget of each source of ``targets``: ``source, target_share, max_repeats, available, wanted, budget, exact_total``.
 
-    ``counts`` has ``source, n_tokens``. Sources without tokens get 0 and the others share the total in their
-    proportions. Without ``total_tokens`` the total is the largest at which every source with tokens reaches its
-    share within its ``max_repeats``; with it, a source that can't fill its share gives all it may.
+    ``counts`` has ``source, n_tokens``. The total is ``total_tokens``, by default all tokens that the targets' sources
+    hold. Sources without tokens (or repeats, or share) get 0 and the others share the total in their proportions:
+    ``wanted``. A source that can't fill it within its repeats gives all it may, ``budget``, and the shortfall stays
+    open, for nobody else's share may grow. ``exact_total`` is the largest total at which no source falls short. Of a
+    source listed twice the shares add up and the smaller ``max_repeats`` holds; null repeats mean 1.
     """
     have = counts.groupBy("source").agg(F.sum("n_tokens").alias("available"))
     t = targets.groupBy("source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats")).join(have, "source", "left")
@@ -56,10 +68,10 @@ def plan_mix(counts: DataFrame, targets: DataFrame, total_tokens: int | None = N
     everything = Window.partitionBy(F.lit(1))
     share = F.when(open_, F.col("target_share") / F.sum(F.when(open_, F.col("target_share"))).over(everything)).otherwise(0.0)
     t = t.withColumn("_share", share)
-    most = F.when(open_, F.col("available") * F.col("max_repeats") / F.col("_share"))
-    total = F.lit(total_tokens).cast("double") if total_tokens is not None else F.min(most).over(everything)
-    budget = F.least(F.floor(F.coalesce(total, F.lit(0.0)) * F.col("_share") + 1e-6), F.col("available") * F.col("max_repeats")).cast("bigint")
-    return t.withColumn("budget", budget).drop("_share")
+    exact = F.min(F.when(open_, F.col("available") * F.col("max_repeats") / F.col("_share"))).over(everything)
+    total = F.lit(total_tokens).cast("double") if total_tokens is not None else F.sum(F.when(open_, F.col("available"))).over(everything).cast("double")
+    t = t.withColumns({"wanted": F.floor(F.coalesce(total, F.lit(0.0)) * F.col("_share") + 1e-6).cast("bigint"), "exact_total": F.floor(F.coalesce(exact, F.lit(0.0)) + 1e-6).cast("bigint")})
+    return t.withColumn("budget", F.least(F.col("wanted"), (F.col("available") * F.col("max_repeats")).cast("bigint"))).drop("_share")
 
 
 def mix_sources(counts: DataFrame, targets: DataFrame, doc: str, seed: int = 0, total_tokens: int | None = None) -> DataFrame:
@@ -71,7 +83,7 @@ def mix_sources(counts: DataFrame, targets: DataFrame, doc: str, seed: int = 0,
     plan = plan_mix(counts, targets, total_tokens)
     cut = plan.where("budget > 0").select("source", F.expr("budget div available").alias("epochs"), F.expr("budget % available").alias("left"))
     key = F.xxhash64(F.lit(seed), F.col(doc))
-    docs = counts.select(doc, "source", "n_tokens").join(F.broadcast(cut) if cut.limit(10_001).count() <= 10_000 else cut, "source").withColumns({"_k": key, "_b": F.shiftrightunsigned(key, 64 - (BUCKETS.bit_length() - 1))})
+    docs = counts.select(doc, "source", "n_tokens").join(cut, "source").withColumns({"_k": key, "_b": F.shiftrightunsigned(key, 64 - (BUCKETS.bit_length() - 1))})
     sums = docs.groupBy("source", "_b").agg(F.sum("n_tokens").alias("_sum"))
     before = F.sum("_sum").over(Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.withColumn("_before", F.coalesce(before, F.lit(0)))
@@ -86,13 +98,17 @@ def mix_sources(counts: DataFrame, targets: DataFrame, doc: str, seed: int = 0,
 
 
 def shares(mixed: DataFrame, counts: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
-    """What was reached: ``source, target_share, actual_share, available, budget, tokens, documents, most_uses``."""
+    """What was reached: ``source, target_share, actual_share, available, wanted, budget, shortfall, tokens, documents, most_uses, exact_total``.
+
+    ``shortfall`` is what the source's repeats don't allow of the tokens wanted of it.
+    """
     used = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("uses").alias("most_uses"))
     t = plan_mix(counts, targets, total_tokens).join(used, "source", "left").fillna(0, ["tokens", "documents", "most_uses"])
-    return t.withColumn("actual_share", F.try_divide(F.col("tokens"), F.sum("tokens").over(Window.partitionBy(F.lit(1))))).select("source", "target_share", "actual_share", "available", "budget", "tokens", "documents", "most_uses")
+    actual = F.try_divide(F.col("tokens"), F.sum("tokens").over(Window.partitionBy(F.lit(1))))
+    return t.withColumns({"actual_share": actual, "shortfall": F.col("wanted") - F.col("budget")}).select("source", "target_share", "actual_share", "available", "wanted", "budget", "shortfall", "tokens", "documents", "most_uses", "exact_total")
 
 
 def counted(docs: DataFrame, targets: DataFrame, doc: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """Token counts of the documents of the targets' sources, kept in the shared folder, for they are read more than once."""
-    wanted = docs.select(doc, "source", text).join(F.broadcast(targets.select("source").distinct()) if targets.limit(10_001).count() <= 10_000 else targets.select("source").distinct(), "source", "left_semi")
+    wanted = docs.select(doc, "source", text).join(broadcast_if_small(targets.select("source").distinct(), MAX_SOURCES), "source", "left_semi")
     return checkpointed(with_tokens(wanted, (doc, "source"), text, tokenizer))

@@ -16,12 +16,22 @@ def frames(spark, docs, targets):
 def test_shares_and_caps(spark):
     docs = [(i, "a", 10) for i in range(1000)] + [(10_000 + i, "b", 7) for i in range(50)] + [(20_000, "other", 5)]
     d, t = frames(spark, docs, [("a", 0.5, 1), ("b", 0.3, 4), ("none", 0.2, 3)])
-    rows = {r["source"]: r for r in M.shares(M.mix_sources(d, t, "doc_id"), d, t).collect()}
+    exact = M.plan_mix(d, t).first()["exact_total"]
+    assert exact == 350 * 4 * 8 // 3
+    rows = {r["source"]: r for r in M.shares(M.mix_sources(d, t, "doc_id", total_tokens=exact), d, t, exact).collect()}
     assert rows["none"]["tokens"] == 0 and "other" not in rows
     assert rows["a"]["actual_share"] == pytest.approx(0.5 / 0.8, abs=0.01) and rows["b"]["actual_share"] == pytest.approx(0.3 / 0.8, abs=0.01)
     assert rows["a"]["most_uses"] <= 1 and rows["b"]["most_uses"] == 4
 
 
+def test_a_source_that_falls_short_does_not_shrink_the_others(spark):
+    docs = [(i, "a", 10) for i in range(1000)] + [(10_000 + i, "b", 7) for i in range(50)]
+    d, t = frames(spark, docs, [("a", 0.5, 1), ("b", 0.5, 2), ("none", 0.2, 3)])
+    rows = {r["source"]: r for r in M.shares(M.mix_sources(d, t, "doc_id"), d, t).collect()}
+    assert (rows["a"]["wanted"], rows["a"]["shortfall"], rows["b"]["wanted"], rows["b"]["budget"], rows["b"]["shortfall"]) == (5175, 0, 5175, 700, 4475)
+    assert abs(rows["a"]["tokens"] - 5175) <= 5 and rows["b"]["tokens"] == 700 and rows["b"]["most_uses"] == 2 and rows["none"]["wanted"] == 0
+
+
 def test_cut_equals_one_sorted_pass(spark):
     docs = [(i, "a", 1 + i * 37 % 90) for i in range(3000)]
     d, t = frames(spark, docs, [("a", 1.0, 3)])
