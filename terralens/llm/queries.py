@@ -101,6 +101,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
+def p8_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least half of an evaluation item's word shingles in one place, with words changed or not."""
+    return leakage.contained_items(table(spark, sf_dir, "documents"), "doc_id", table(spark, sf_dir, "eval_items"), "item_id")
+
+
 def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every evaluation item with the number of documents it leaked into."""
     return leakage.item_report(_leaks(spark, sf_dir), table(spark, sf_dir, "eval_items"), "item_id", "doc_id")
@@ -148,5 +153,5 @@ f AS (SELECT source_id, line FROM x JOIN t USING (source_id) GROUP BY source_id,
 k AS (SELECT n.id, coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (f.line IS NULL), '') AS clean_body, CAST(count(f.line) AS INTEGER) AS lines_removed FROM n LEFT JOIN f USING (source_id, line) GROUP BY n.id)
 SELECT id, clean_body, coalesce(lines_removed, 0) AS lines_removed FROM news_items LEFT JOIN k USING (id)"""
 
-QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares, "p3_found": p3_found, "p8_found": p8_found, "p8_items": p8_items, "p10_found": p10_found, "p10_restored": p10_restored, "p1_found": p1_found, "p1_segments": p1_segments, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_clean": p6_clean, "p6_clean_published": p6_clean_published}
+QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares, "p3_found": p3_found, "p8_found": p8_found, "p8_items": p8_items, "p8_contained": p8_contained, "p10_found": p10_found, "p10_restored": p10_restored, "p1_found": p1_found, "p1_segments": p1_segments, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_clean": p6_clean, "p6_clean_published": p6_clean_published}
 ORACLES = {"p6_clean": P6_CLEAN_SQL, "p5_found": P5_SQL, "p8_found": P8_SQL, "p8_items": P8_ITEMS_SQL, "p6_found": P6_SQL}
