@@ -1,15 +1,19 @@
 """Mixed timestamp formats and zones brought to one UTC instant.
 
-Every raw stamp is parsed by one regular expression into *all* its valid interpretations, kept as
-arrays of seconds, formats and costs. A stamp with one interpretation is an *anchor*. A Viterbi pass over each
-source's record order then picks one interpretation per stamp, penalising format switches and backward
-time jumps; what is declared about a source (date order, home zone) enters as a cost that no transition
-can outweigh, so the path decides only what is not declared, and a declared stamp is an anchor too.
-
-Scale. The best path decomposes exactly at anchors: their state is fixed. Records are put into chunks
-of the record order; a small per-chunk aggregate tells each record the segment (anchor to anchor) it
-belongs to and the anchor that follows, so a source holding a third of all rows is still spread over as
-many tasks as it has segments, and the result is that of one sequential pass.
+Every raw stamp is parsed by one regular expression into *all* its valid interpretations, kept as arrays of
+seconds, formats and costs, the cheapest first: both orders of day and month, both occurrences of a repeated hour and
+both offsets of a skipped one, the clock of the source and UTC, both centuries of a short year. What is declared
+about a source (date order, home zone) and what is usual are costs. A Viterbi pass over each source's record order
+then picks one interpretation per stamp, penalising format switches and backward time jumps.
+
+A stamp's choice changes two transitions, so a reading that costs ``DOMINATED`` more than the cheapest is on no best
+path: of the costs below, the clock and the century outweigh all neighbours, an order or an hour doesn't. A stamp with
+one open reading is an *anchor*, and the best path decomposes exactly at anchors.
+
+Scale. Records are put into chunks of the record order; a small per-chunk aggregate tells each record the segment
+(anchor to anchor) it belongs to and the anchor that follows, by a scan over blocks of chunks and then over the
+chunks of a block. So a source holding a third of all rows is still spread over as many tasks as it has segments, and
+the result is that of one sequential pass.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terralens.io import ship_package
+
 #: First letters of the months' names in English, German, Polish, Russian and Ukrainian.
 MONTHS = {
     "jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12,
@@ -58,9 +64,13 @@ PATTERN = (
 )
 MARK = "\u0001"
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
-#: Against this no sum of transition costs weighs up: what is declared about a source holds.
-DECLARED = 100.0
 SWITCH, BACKWARD, SLACK_S = 1.0, 2.0, 6 * 3600
+#: A reading that costs so much more than the cheapest is on no best path.
+DOMINATED = 2 * (SWITCH + BACKWARD)
+#: Costs of the order of day and month that is not declared, of month first where none is, of the other offset at a clock change, of another clock than the source's, of another century.
+UNDECLARED, MONTH_FIRST, OTHER_OFFSET, OTHER_CLOCK, OTHER_CENTURY = 5.0, 0.1, 5.0, 7.0, 7.0
+#: Chunks of a block.
+BLOCK = 1024
 
 CANDIDATES = "struct<secs:array<bigint>,fmts:array<string>,costs:array<double>>"
 _COMPILED = re.compile(PATTERN)
@@ -88,12 +98,11 @@ def _offset_minutes(zone: str) -> int | None:
 
 
 def readings(raw: str | None, home_zone: str | None, slash_order: str | None, dash_order: str | None) -> list[tuple[int, str, float]]:
-    """All valid interpretations ``(sec, fmt, cost)`` of one stamp.
+    """All valid interpretations ``(sec, fmt, cost)`` of one stamp, the cheapest first.
 
-    Null, blank, relative and impossible stamps have none. In a zone, an hour that occurs twice is its
-    first occurrence and a skipped hour reads with the offset in force before the change. Where an order
-    of day and month is declared, the other order costs ``DECLARED``, and a date that is impossible in
-    the declared order is impossible. Fractions of a second are cut off. An unknown home zone is UTC.
+    Null, blank, relative and impossible stamps have none, nor has a date that is impossible in its declared order. In
+    a zone, an hour that occurs twice is at first its first occurrence and a skipped hour reads with the offset in
+    force before the change. Fractions of a second are cut off. An unknown home zone is UTC.
     """
     m = _COMPILED.match(raw) if raw else None
     if m is None:
@@ -105,12 +114,17 @@ def readings(raw: str | None, home_zone: str | None, slash_order: str | None, da
     if m[1]:
         dates = [(int(m[1]), int(m[3]), int(m[4]), "ymd", 0.0)]
     elif m[5]:
-        year = int(m[8]) + (2000 if len(m[8]) == 2 else 0)
+        short = len(m[8]) == 2
         order = {".": "dmy", "/": slash_order, "-": dash_order}[m[6]]
-        dates = [
-            (year, *((int(m[7]), int(m[5])) if name == "dmy" else (int(m[5]), int(m[7]))), name, 0.0 if order == name else 0.1 * (name == "mdy") if order not in ("dmy", "mdy") else DECLARED)
-            for name in ("dmy", "mdy")
-        ]
+        known = order in ("dmy", "mdy")
+        dates = []
+        for name, month, day in (("dmy", m[7], m[5]), ("mdy", m[5], m[7])):
+            cost = UNDECLARED * (order != name) if known else MONTH_FIRST * (name == "mdy")
+            dates.append((int(m[8]) + 2000 * short, int(month), int(day), name, cost))
+            if short:
+                dates.append((int(m[8]) + 1900, int(month), int(day), name, cost + OTHER_CENTURY))
+        if known and not _is_date(*next(x[:3] for x in dates if x[3] == order)):
+            return []
     elif m[9]:
         dates = [(int(m[9]), int(m[10]), int(m[11]), "compact", 0.0)]
     else:
@@ -120,7 +134,8 @@ def readings(raw: str | None, home_zone: str | None, slash_order: str | None, da
     half = (m[24] or "")[:1].lower()
     if half in ("a", "p"):
         hour = hour % 12 + 12 * (half == "p") if 1 <= hour <= 12 else 99
-    zone = offset = None
+    zones: list[tuple[ZoneInfo | None, float]] = [(None, 0.0)]
+    offset = None
     if m[25]:
         offset = _offset_minutes(m[25])
         if offset is None:
@@ -129,18 +144,31 @@ def readings(raw: str | None, home_zone: str | None, slash_order: str | None, da
         zone = _zone(m[26]) if m[26] else _zone(home_zone) or _zone(None)
         if zone is None:
             return []
-    out: list[tuple[int, str, float]] = []
+        zones = [(zone, 0.0)] if m[26] or zone is _zone(None) else [(zone, 0.0), (_zone(None), OTHER_CLOCK)]
+    found: dict[int, tuple[float, str]] = {}
     for y, mo, d, fmt, cost in dates:
-        try:
-            local = datetime(y, mo, d, hour, minute, second)
-            east = local.replace(tzinfo=zone).utcoffset() if offset is None else timedelta(minutes=offset)
-        except (ValueError, OverflowError):
-            continue
-        sec = (local - _EPOCH - east) // timedelta(seconds=1)
-        if all(sec != x[0] for x in out) or cost < DECLARED:
-            out = [x for x in out if x[0] != sec]
-            out.append((sec, fmt, cost))
-    return out if any(c < DECLARED for _, _, c in out) else []
+        for zone, more in zones:
+            for fold in (0, 1):
+                try:
+                    local = datetime(y, mo, d, hour, minute, second, fold=fold)
+                    east = local.replace(tzinfo=zone).utcoffset() if offset is None else timedelta(minutes=offset)
+                except (ValueError, OverflowError):
+                    break
+                sec = (local - _EPOCH - east) // timedelta(seconds=1)
+                this = (cost + more + OTHER_OFFSET * fold, fmt)
+                if sec not in found or this < found[sec]:
+                    found[sec] = this
+                if offset is not None:
+                    break
+    return sorted(((sec, fmt, cost) for sec, (cost, fmt) in found.items()), key=lambda x: (x[2], x[0]))
+
+
+def _is_date(year: int, month: int, day: int) -> bool:
+    try:
+        datetime(year, month, day)
+    except ValueError:
+        return False
+    return True
 
 
 def _readings(raw: pd.Series, zone: pd.Series, slash: pd.Series, dash: pd.Series) -> pd.DataFrame:
@@ -156,6 +184,7 @@ def interpretations(df: DataFrame) -> DataFrame:
 
     Reads ``home_zone``, ``slash_order`` and ``dash_order`` beside ``raw``.
     """
+    ship_package(df.sparkSession)
     read = F.pandas_udf(_readings, CANDIDATES)
     return df.withColumn("_c", read("raw", "home_zone", "slash_order", "dash_order")).select("*", "_c.*").drop("_c")
 
@@ -186,91 +215,105 @@ def _viterbi(first: tuple | None, run: list[tuple], last: tuple | None) -> list[
     return path[::-1]
 
 
+def _open(costs: np.ndarray) -> int:
+    """How many readings, the cheapest first, may be on a best path."""
+    return sum(c < costs[0] + DOMINATED for c in costs)
+
+
+def _paths(rows: pd.DataFrame, stop: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the reading chosen for each of the first ``stop`` rows, and how many are open."""
+    secs, fmts, costs = rows["secs"].to_numpy(), rows["fmts"].to_numpy(), rows["costs"].to_numpy()
+    open_ = np.array([_open(c) for c in costs])
+    chosen = np.zeros(len(rows), dtype="int64")
+    amb = np.flatnonzero(open_ > 1)
+    amb = amb[amb < stop]
+    if len(amb):
+        group = (rows["source"].astype(str) + MARK + rows["seg"].astype(str)).to_numpy()
+        nsec, nfmt = rows["next_sec"].to_numpy(), rows["next_fmt"].to_numpy()
+        i = 0
+        while i < len(amb):
+            a = b = int(amb[i])
+            while i + 1 < len(amb) and amb[i + 1] == b + 1 and group[b + 1] == group[a]:
+                i, b = i + 1, b + 1
+            i += 1
+            before = (secs[a - 1][0], fmts[a - 1][0]) if a and group[a - 1] == group[a] else None
+            if b + 1 < len(rows) and group[b + 1] == group[a]:
+                after = (secs[b + 1][0], fmts[b + 1][0])
+            else:
+                after = None if pd.isna(nsec[b]) else (int(nsec[b]), nfmt[b])
+            run = [(secs[x][: open_[x]], fmts[x][: open_[x]], costs[x][: open_[x]]) for x in range(a, b + 1)]
+            chosen[a : b + 1] = _viterbi(before, run, after)
+    return chosen, open_
+
+
 def _choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Over rows sorted by source, segment and record order: one interpretation a row.
 
-    Only the rows from the last anchor on are held back between batches.
+    Only the rows from the last anchor on are held back between batches, and joined once the next anchor has come.
     """
-    held: pd.DataFrame | None = None
+    held: list[pd.DataFrame] = []
     end = object()
     batches = iter(batches)
     while True:
         batch = next(batches, end)
         last = batch is end
-        if last:
-            rows, held = held, None
-        else:
-            rows, held = (batch.assign(_old=False) if held is None else pd.concat([held, batch.assign(_old=False)], ignore_index=True)), None
-        if rows is None or rows.empty:
-            if last:
-                return
-            continue
-        rows = rows.reset_index(drop=True)
-        count = rows["secs"].map(len).to_numpy()
-        chosen = np.array([s[0] for s in rows["secs"]], dtype="int64")
-        amb = np.flatnonzero(count > 1)
-        stop = len(rows)
         if not last:
-            anchors = np.flatnonzero([(c < DECLARED).sum() == 1 for c in rows["costs"]])
-            cut = int(anchors[-1]) if len(anchors) else 0
-            held, stop = rows.iloc[cut:].copy(), cut + 1
-            if not len(anchors):
+            held.append(batch.assign(_old=False))
+            if not any(_open(c) == 1 for c in batch["costs"]):
                 continue
-        if len(amb):
-            group = (rows["source"].astype(str) + MARK + rows["seg"].astype(str)).to_numpy()
-            secs, fmts, costs = rows["secs"].to_numpy(), rows["fmts"].to_numpy(), rows["costs"].to_numpy()
-            nsec, nfmt = rows["next_sec"].to_numpy(), rows["next_fmt"].to_numpy()
-            i = 0
-            amb = amb[amb < stop]
-            while i < len(amb):
-                a = b = int(amb[i])
-                while i + 1 < len(amb) and amb[i + 1] == b + 1 and group[b + 1] == group[a]:
-                    i, b = i + 1, b + 1
-                i += 1
-                before = (secs[a - 1][0], fmts[a - 1][0]) if a and group[a - 1] == group[a] else None
-                if b + 1 < len(rows) and group[b + 1] == group[a]:
-                    after = (secs[b + 1][0], fmts[b + 1][0])
-                else:
-                    after = None if pd.isna(nsec[b]) else (int(nsec[b]), nfmt[b])
-                for at, k in zip(range(a, b + 1), _viterbi(before, [(secs[x], fmts[x], costs[x]) for x in range(a, b + 1)], after)):
-                    chosen[at] = secs[at][k]
+        if not held:
+            return
+        rows = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
+        held, stop = [], len(rows)
+        if stop and not last:
+            cut = max(np.flatnonzero([_open(c) == 1 for c in rows["costs"]]))
+            held, stop = [rows.iloc[cut:].copy()], cut + 1
+            held[0]["_old"] = [True] + [False] * (len(held[0]) - 1)
+        chosen, open_ = _paths(rows, stop)
         out = rows.iloc[:stop]
-        out = pd.DataFrame({"tbl": out["tbl"], "row_key": out["row_key"], "raw": out["raw"], "sec": chosen[:stop]})[~rows["_old"].to_numpy()[:stop]]
-        if held is not None:
-            held["_old"] = [True] + [False] * (len(held) - 1)
-        yield out
+        sec = np.array([s[k] for s, k in zip(out["secs"], chosen)], dtype="int64")
+        yield pd.DataFrame({"tbl": out["tbl"], "row_key": out["row_key"], "raw": out["raw"], "sec": sec, "readings": out["secs"].map(len).astype("int32"), "open": open_[:stop].astype("int32"), "moved": chosen[:stop] > 0})[~out["_old"].to_numpy()]
         if last:
             return
 
 
 def choose_readings(parsed: DataFrame) -> DataFrame:
-    """One instant per stamp: ``tbl, row_key, raw, sec``.
+    """One instant per stamp: ``tbl, row_key, raw, sec`` and how it came: ``readings`` it had, ``open`` ones, and ``moved``.
 
     ``parsed`` has ``tbl, row_key, raw, source, chunk, o1, o2, secs, fmts, costs``: records are ordered by ``(o1, o2)``
     within a source and ``chunk`` is any non-decreasing function of that order. Stamps without an
-    interpretation drop out; ties in the order are broken by ``row_key``.
+    interpretation drop out; ties in the order are broken by ``row_key``. ``moved`` tells that the path took another
+    reading than the one that costs least by itself.
     """
+    ship_package(parsed.sparkSession)
     rows = parsed.where(F.size("secs") > 0).select("tbl", "row_key", "raw", "source", "chunk", "o1", "o2", "secs", "fmts", "costs")
-    #: A reading that is declared beats the others whatever its neighbours are, so its stamp is an anchor too.
-    open_ = F.filter(F.arrays_zip("secs", "fmts", "costs"), lambda c: c["costs"] < DECLARED)
-    anchor = F.min(F.when(F.size(open_) == 1, F.struct("o1", "o2", open_[0]["secs"].alias("sec"), open_[0]["fmts"].alias("fmt"))))
-    w = Window.partitionBy("source").orderBy("chunk")
+    single = (F.size("costs") == 1) | (F.get("costs", F.lit(1)) >= F.col("costs")[0] + DOMINATED)
+    own = F.min(F.when(single, F.struct("o1", "o2", F.col("secs")[0].alias("sec"), F.col("fmts")[0].alias("fmt")))).alias("own")
+    chunks = rows.groupBy("source", "chunk").agg(own).withColumn("block", F.floor(F.col("chunk") / BLOCK))
+    known = F.col("own").isNotNull()
+    blocks = chunks.groupBy("source", "block").agg(F.max(F.when(known, F.col("chunk"))).alias("newest"), F.min(F.when(known, F.struct("chunk", "own"))).alias("oldest"))
+    w = Window.partitionBy("source").orderBy("block")
+    blocks = blocks.select(
+        F.col("source").alias("_s"), F.col("block").alias("_b"), F.max("newest").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"),
+        F.first("oldest.own", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("later"),
+    )
+    w = Window.partitionBy("source", "block").orderBy("chunk")
     chunks = (
-        rows.groupBy("source", "chunk")
-        .agg(anchor.alias("own"))
-        .withColumn("before", F.last(F.when(F.col("own").isNotNull(), F.col("chunk")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("after", F.first("own", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+        chunks.join(blocks, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
+        .withColumn("before", F.coalesce(F.max(F.when(known, F.col("chunk"))).over(w.rowsBetween(Window.unboundedPreceding, -1)), "earlier"))
+        .withColumn("after", F.coalesce(F.first("own", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)), "later"))
+        .select(F.col("source").alias("_s"), F.col("chunk").alias("_c"), "own", "before", "after")
     )
     inside = F.col("own").isNotNull() & (F.struct("o1", "o2") >= F.struct("own.o1", "own.o2"))
     following = F.when(inside, F.col("after")).otherwise(F.coalesce("own", "after"))
     rows = (
-        rows.join(chunks, ["source", "chunk"])
+        rows.join(chunks, F.col("source").eqNullSafe(F.col("_s")) & (F.col("chunk") == F.col("_c")))
         .withColumn("seg", F.when(inside, F.col("chunk")).otherwise(F.coalesce("before", F.lit(-(2**62)))))
         .withColumns({"next_sec": following["sec"], "next_fmt": following["fmt"]})
         .select("tbl", "row_key", "raw", "source", "seg", "o1", "o2", "secs", "fmts", "costs", "next_sec", "next_fmt")
     )
     rows = rows.repartition("source", "seg").sortWithinPartitions("source", "seg", "o1", "o2", "row_key")
-    return rows.mapInPandas(_choose, "tbl string, row_key string, raw string, sec bigint")
+    return rows.mapInPandas(_choose, "tbl string, row_key string, raw string, sec bigint, readings int, open int, moved boolean")
 
 
 def as_utc(sec: Column) -> Column:
@@ -318,5 +361,5 @@ def warspotting_stamps(losses: DataFrame) -> DataFrame:
 
 
 def normalise_stamps(stamps: DataFrame) -> DataFrame:
-    """``tbl, row_key, raw, sec`` for every stamp of ``stamps`` that names a full date, by the Viterbi pass."""
+    """``tbl, row_key, raw, sec, readings, open, moved`` for every stamp of ``stamps`` that names a full date, by the Viterbi pass."""
     return choose_readings(interpretations(stamps))
