@@ -35,7 +35,7 @@ def _event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events that arrived late (more than 6 hours after their day's end) or beyond the cut-off (72 hours)."""
     placed = late.place(_event_records(spark, sf_dir), "event_s", "arrival_s")
-    return late.late_records(placed, late.triangle(placed)).select("id", "event_day", "outcome").distinct()
+    return late.with_outcome(placed, late.triangle(placed)).where("outcome <> 'on_time'").select("id", "event_day", "outcome").distinct()
 
 
 def p4_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
