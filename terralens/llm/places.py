@@ -2,18 +2,24 @@
 
 A multi-pattern automaton over canonical names, transliterations and inflected forms finds the names embedded in
 a value; the longest non-overlapping match wins, canonical names before inflected forms. What the automaton
-leaves, or matches beside other words, goes to a token-set similarity: the value's tokens against those of the names, each token equal up to
-spelling or one typing error. Where no name is alike, a single place mentioned beside other words counts. Several entries of one name are told apart by the oblast that the value or its
-hint names, else the value stays unmatched.
-
-Scale. The gazetteer is a reference list, collected only up to ``MAX_ENTRIES`` entries and checked to be smaller;
-each Python worker builds its automaton once. Values are matched row by row behind a cache, so a place named in a
-third of all rows is matched once a worker and nothing is shuffled.
+leaves, or matches beside other words, goes to a token-set similarity: the tokens of the value and of a name are paired,
+each equal in its sounds or one typing error away, and the share of letters that agree is the score; fewest errors win,
+a score below ``AT_LEAST`` doesn't count. Where no name is alike, a single place mentioned beside other words counts.
+Several entries of one name are told apart by the oblast that the value or its hint names, else the value stays
+unmatched. ``report`` gives unmatched values with the entry most like them.
+
+Scale. The gazetteer comes in parts of ``PART_ENTRIES`` entries at most, so no worker and no broadcast holds more of it at a
+time, however long the list is. Each part's automaton and indexes say what they know about a value; what all parts
+know is merged and decided at once, so the parts make no difference to the result. Values are matched row by
+row behind a cache, so a place named in a third of all rows is matched once a worker and nothing is shuffled; only with
+several parts the distinct values are, to bring the parts' answers together.
 """
 
 from __future__ import annotations
 
 import difflib
+import json
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -24,9 +30,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terralens.io import ship_package
 from terralens.llm.langid import plain
 
-MAX_ENTRIES = 200_000
+#: Entries of a part of the gazetteer; share of letters that must agree.
+PART_ENTRIES, AT_LEAST = 50_000, 0.6
 #: What a place is called by beside its name, in small letters.
 KINDS = set("""
 село с села селі місто м міста місті смт селище сел селища селищі н п пгт населений пункт населеному пункті громада громади хутір
@@ -146,12 +154,109 @@ def _fewest(alike: list[dict[str, int]], other: tuple[str, ...]) -> int | None:
     return costs.get((1 << len(other)) - 1)
 
 
+class Regions:
+    """The oblasts' keys, and where a value names one."""
+
+    def __init__(self, keys: list[str]):
+        self.keys = {k: sounds(k) for k in sorted(keys)}
+        self.region = lru_cache(maxsize=10_000)(self._region)
+
+    def _region(self, text: str | None) -> str | None:
+        """Key of the oblast that ``text`` names in any spelling, or null."""
+        if not text or not self.keys:
+            return None
+        s = sounds(re.sub(rf"\b{REGION_WORDS}", " ", tidy(text)).strip(" .,()/"))
+        s = re.sub(r"(?:s|z|c)?(?:ka|kaia|koi|koj|kii|koho|komu)$", "", s)
+        if not s:
+            return None
+        ranked = sorted(((difflib.SequenceMatcher(None, s, re.sub("sk$", "", k)).ratio(), key) for key, k in self.keys.items()), reverse=True)
+        return ranked[0][1] if ranked[0][0] >= 0.72 and (len(ranked) == 1 or ranked[0][0] - ranked[1][0] >= 0.05) else None
+
+    def split(self, text: str) -> tuple[str, str | None]:
+        """The value without the oblast it names, and that oblast."""
+        for pattern in (rf"[(\[]\s*([^()\[\]]+?)\s*[)\]]", r"\s/\s*([^/]+)$", rf",\s*([^,]*\b{REGION_WORDS})\s*$", rf"^([^,]*\b{REGION_WORDS})\s*,", rf"^(\S+\s+{REGION_WORDS})\s+", rf"\s(\S+\s+{REGION_WORDS})\s*$", rf"^(\S+\s+{REGION_WORDS})$", r",\s*([^,]+)$"):
+            m = re.search(pattern, text)
+            if m and (key := self.region(m[1])):
+                return (text[: m.start()] + " " + text[m.end() :]).strip(" ,"), key
+        return text, None
+
+    def read(self, value: str | None, hint: str | None) -> tuple[str, str | None]:
+        """The value tidied and without its oblast, and the oblast that it or its hint names."""
+        text, key = self.split(tidy(value) if value else "")
+        return text, key or self.region(hint)
+
+
+def tokens_of(text: str) -> list[str]:
+    """Words (with inner hyphens and apostrophes) and numbers of a tidied value."""
+    return re.findall(r"[^\W\d_]+(?:['-][^\W\d_]+)*|\d+", text)
+
+
+def core_of(text: str) -> list[str]:
+    """The tokens that may be a name: all but what a place is called."""
+    tokens = tokens_of(text)
+    return [t for t in tokens if t not in KINDS] or tokens
+
+
+def token_set_ratio(a: list[str], b: list[str]) -> float:
+    """Share of letters of ``a`` and ``b`` that agree when their tokens are paired: equal ones, then those one edit apart."""
+    total = sum(map(len, a)) + sum(map(len, b))
+    rest, agree = list(b), 0
+    for test, errors in ((lambda x, y: x == y, 0), (lambda x, y: sounds(x) == sounds(y), 0), (one_edit, 2), (lambda x, y: one_edit(sounds(x), sounds(y)), 2)):
+        for x in list(a):
+            y = next((y for y in rest if test(x, y)), None)
+            if y is not None:
+                agree += len(x) + len(y) - errors
+                rest.remove(y)
+                a = [t for k, t in enumerate(a) if k != a.index(x)]
+    return agree / total if total else 0.0
+
+
+def decide(text: str, key: str | None, found: list[dict]) -> int:
+    """Id of the entry that a value names, or 0, from what the parts of the gazetteer know about it (see ``Gazetteer.ask``)."""
+    oblast = {i: o for f in found for i, o in f["oblast"]}
+
+    def among(ids: set[int]) -> int:
+        """The one entry of ``ids``, told by the oblast if there are several; 0 if it stays open."""
+        here = [i for i in ids if oblast[i] == key] if key else []
+        if here:
+            return here[0] if len(here) == 1 else 0
+        return next(iter(ids)) if len(ids) == 1 else 0
+
+    spans: dict[tuple[int, int], dict[int, set[int]]] = {}
+    for f in found:
+        for start, end, kind, ids in f["mentions"]:
+            spans.setdefault((start, end), {}).setdefault(kind, set()).update(ids)
+    mentions: list[tuple[int, int]] = []
+    for start, end in sorted(spans, key=lambda x: (x[0] - x[1], x[0])):
+        if all(end <= a or start >= b for a, b in mentions):
+            mentions.append((start, end))
+    named = {frozenset(spans[m][min(spans[m])]) for m in mentions}
+    left: list[str] = []
+    if mentions:
+        rest = text
+        for start, end in sorted(mentions, reverse=True):
+            rest = rest[:start] + " " + rest[end:]
+        left = [t for t in re.findall(r"[^\W\d_]+|\d+", rest) if t not in KINDS]
+        if not left:
+            return among(set(*named)) if len(named) == 1 else 0
+    tokens = tokens_of(text)
+    if not tokens or any(t in VAGUE or t.isdigit() for t in tokens):
+        return 0
+    ranks = [(rank, ids) for f in found for rank, ids in f["alike"]]
+    if ranks:
+        least = min(rank for rank, _ in ranks)
+        return among(set().union(*(ids for rank, ids in ranks if rank == least)))
+    #: Other words beside the one place that is mentioned; places lying off it are vague, and words of other names make another.
+    other = {t for f in found for t in f["parts"]} | BESIDE
+    return among(set(*named)) if len(named) == 1 and not other.intersection(left) else 0
+
+
 class Gazetteer:
     """The automaton, the spellings and the tokens of a gazetteer's entries ``(id, uk, ru, en, oblast)``."""
 
-    def __init__(self, entries: list[tuple]):
+    def __init__(self, entries: list[tuple], oblasts: list[str] | None = None):
         self.oblast = {e[0]: e[4] for e in entries}
-        self.keys = {k: sounds(k) for k in sorted({e[4] for e in entries if e[4]})}
+        self.regions = Regions(sorted({e[4] for e in entries if e[4]}) if oblasts is None else oblasts)
         base: dict[str, set[int]] = defaultdict(set)
         cases: dict[str, set[int]] = defaultdict(set)
         for i, uk, ru, en, _ in entries:
@@ -207,94 +312,56 @@ class Gazetteer:
             self.sets_cases[token_set(name)] |= ids
         #: Sounds of the words that make names of several words; beside a name they make it another.
         self.parts = {t for tokens in self.sets.keys() | self.sets_cases.keys() if len(tokens) > 1 for t in tokens}
-        self.region = lru_cache(maxsize=10_000)(self._region)
         self.match = lru_cache(maxsize=200_000)(self._match)
 
-    def _region(self, text: str | None) -> str | None:
-        """Key of the oblast that ``text`` names in any spelling, or null."""
-        if not text or not self.keys:
-            return None
-        s = sounds(re.sub(rf"\b{REGION_WORDS}", " ", tidy(text)).strip(" .,()/"))
-        s = re.sub(r"(?:s|z|c)?(?:ka|kaia|koi|koj|kii|koho|komu)$", "", s)
-        if not s:
-            return None
-        ranked = sorted(((difflib.SequenceMatcher(None, s, re.sub("sk$", "", k)).ratio(), key) for key, k in self.keys.items()), reverse=True)
-        return ranked[0][1] if ranked[0][0] >= 0.72 and (len(ranked) == 1 or ranked[0][0] - ranked[1][0] >= 0.05) else None
-
-    def _split_region(self, text: str) -> tuple[str, str | None]:
-        """The value without the oblast it names, and that oblast."""
-        for pattern in (rf"[(\[]\s*([^()\[\]]+?)\s*[)\]]", r"\s/\s*([^/]+)$", rf",\s*([^,]*\b{REGION_WORDS})\s*$", rf"^([^,]*\b{REGION_WORDS})\s*,", rf"^(\S+\s+{REGION_WORDS})\s+", rf"\s(\S+\s+{REGION_WORDS})\s*$", rf"^(\S+\s+{REGION_WORDS})$", r",\s*([^,]+)$"):
-            m = re.search(pattern, text)
-            if m and (key := self.region(m[1])):
-                return (text[: m.start()] + " " + text[m.end() :]).strip(" ,"), key
-        return text, None
-
-    def _among(self, ids: set[int], key: str | None) -> int:
-        """The one entry of ``ids``, told by the oblast if there are several; 0 if it stays open."""
-        if key:
-            here = [i for i in ids if self.oblast[i] == key]
-            if len(here) == 1:
-                return here[0]
-            if len(here) > 1:
-                return 0
-        return next(iter(ids)) if len(ids) == 1 else 0
-
-    def _embedded(self, text: str) -> list[tuple[int, int, str]]:
-        """Longest non-overlapping names on word boundaries: ``(start, end, name)``."""
+    def _embedded(self, text: str) -> list[tuple[int, int, int, list[int]]]:
+        """All names on word boundaries: ``(start, end, kind, ids)``, kind 0 as listed, 1 inflected."""
         if not len(self.automaton):
             return []
         edge = lambda i: i < 0 or i >= len(text) or not (text[i].isalnum() or text[i] in "'-")
         found = [(end - len(name) + 1, end + 1, name) for end, name in self.automaton.iter(text) if edge(end - len(name)) and edge(end + 1)]
-        out: list[tuple[int, int, str]] = []
-        for s, e, name in sorted(found, key=lambda x: (x[0] - x[1], x[0])):
-            if all(e <= a or s >= b for a, b, _ in out):
-                out.append((s, e, name))
-        return sorted(out)
+        return [(s, e, kind, sorted(names[name])) for s, e, name in found for kind, names in enumerate((self.base, self.cases)) if name in names]
+
+    def ask(self, text: str, alone: bool = True) -> dict:
+        """What this gazetteer knows about a tidied value: ``mentions``, names ``alike`` by rank, words that are ``parts`` of names, ``oblast`` of all these entries.
+
+        Parts matter only beside a mention, which without ``alone`` another gazetteer may find.
+        """
+        mentions = self._embedded(text)
+        whole = any(not [t for t in tokens_of(text[:s] + " " + text[e:]) if t not in KINDS] for s, e, _, _ in mentions)
+        alike = [] if whole or any(t in VAGUE or t.isdigit() for t in tokens_of(text)) else self._alike(core_of(text))
+        words = re.findall(r"[^\W\d_]+", text)
+        ids = {i for *_, own in mentions for i in own} | {i for _, own in alike for i in own}
+        return {"mentions": mentions, "alike": alike, "parts": [t for t in words if self._is_part(t)] if not whole and (mentions or not alone) else [], "oblast": [(i, self.oblast[i]) for i in sorted(ids)]}
 
     def _match(self, value: str | None, hint: str | None) -> int:
         """Id of the entry that ``value`` names, or 0."""
-        text = tidy(value) if value else ""
-        text, key = self._split_region(text)
-        key = key or self.region(hint)
-        tokens = [t for t in re.findall(r"[^\W\d_]+(?:['-][^\W\d_]+)*|\d+", text)]
-        mentions = self._embedded(text)
-        named = {frozenset(self.base.get(n) or self.cases[n]) for _, _, n in mentions}
-        left: list[str] = []
-        if mentions:
-            rest = text
-            for s, e, _ in reversed(mentions):
-                rest = rest[:s] + " " + rest[e:]
-            left = [t for t in re.findall(r"[^\W\d_]+|\d+", rest) if t not in KINDS]
-            if not left:
-                return self._among(set(*named), key) if len(named) == 1 else 0
-        if not tokens or any(t in VAGUE for t in tokens) or any(t.isdigit() for t in tokens):
-            return 0
-        core = [t for t in tokens if t not in KINDS] or tokens
-        found = self._similar(" ".join(core), key)
-        if found is not None:
-            return found
-        #: Other words beside the one place that is mentioned; places lying off it are vague.
-        return self._among(set(*named), key) if len(named) == 1 and not any(t in BESIDE or self._is_part(t) for t in left) else 0
+        text, key = self.regions.read(value, hint)
+        return decide(text, key, [self.ask(text)])
+
+    def closest(self, value: str | None) -> tuple[int, float] | None:
+        """The entry whose name is most like ``value`` by ``token_set_ratio``, however little; null if no token is near any."""
+        core = core_of(self.regions.read(value, None)[0])
+        sets = {s for t in core for u in self._near_tokens(t) for s in self.sets_of[u]}
+        best = min(((-token_set_ratio(core, list(s)), min(self.spelt_sets[s])) for s in sets), default=None)
+        return best and (best[1], -best[0])
 
     def _is_part(self, token: str) -> bool:
         """True for a word, up to an error, of the names of several words."""
         return sounds(token) in self.parts or any(len(s) > 1 for u in self._near_tokens(token) for s in self.sets_of[u])
 
-    def _similar(self, name: str, key: str | None) -> int | None:
-        """Token-set similarity: equal sounds in any order, then one typing error in the name or one in each of its tokens; null if no name is alike."""
-        said, tokens = sounds(name), token_set(name)
-        for ids in (self.spelt.get(said), self.spelt_cases.get(said), self.sets.get(tokens), self.sets_cases.get(tokens)):
-            if ids:
-                return self._among(ids, key)
-        near = _within(name, self.near) if len(name) <= self.longest else set()
-        ids = set().union(*(self.base[n] for n in near))
-        if not ids:
+    def _alike(self, tokens: list[str]) -> list[tuple[int, list[int]]]:
+        """Entries whose names are like ``tokens``: ``(rank, ids)``, equal sounds first, then equal token sets, then by errors."""
+        name, said, kinds = " ".join(tokens), sounds(" ".join(tokens)), tuple(sorted(sounds(t) for x in tokens for t in split_tokens(x)))
+        out = [(rank, ids) for rank, ids in enumerate((self.spelt.get(said), self.spelt_cases.get(said), self.sets.get(kinds), self.sets_cases.get(kinds))) if ids][:1]
+        if not out and (near := _within(name, self.near) if len(name) <= self.longest else set()):
+            out = [(4, set().union(*(self.base[n] for n in near)))]
+        if not out:
             #: Fewest errors win: one in the sounds of the whole name, or in as few tokens as possible.
-            found = [(1, self.spelt[n]) for n in (_within(said, self.near_sound) if len(said) <= self.longest else ())]
-            found += [(n, self.spelt_sets[other]) for other, n in self._near_sets(split_tokens(name))]
-            least = min((n for n, _ in found), default=0)
-            ids = set().union(*(i for n, i in found if n == least))
-        return self._among(ids, key) if ids else None
+            out = [(5, self.spelt[n]) for n in (_within(said, self.near_sound) if len(said) <= self.longest else ())]
+            spelt = [t for x in tokens for t in split_tokens(x)]
+            out += [(4 + n, self.spelt_sets[other]) for other, n in self._near_sets(spelt) if token_set_ratio(spelt, list(other)) >= AT_LEAST]
+        return [(rank, sorted(ids)) for rank, ids in out]
 
     def _near_tokens(self, token: str) -> dict[str, int]:
         """The names' tokens at most one edit from ``token``, spelt or in sounds; 0 for equal sounds, else 1."""
@@ -312,31 +379,100 @@ class Gazetteer:
         return [(s, n) for s in sets if (n := _fewest(alike, s)) is not None]
 
 
-_built: dict[int, Gazetteer] = {}
+_built: dict[tuple, Gazetteer] = {}
+
+
+def _parts(gazetteer: DataFrame, part_entries: int) -> tuple[list, list[str]]:
+    """The gazetteer's parts, each broadcast by itself, and the keys of all oblasts."""
+    entries = gazetteer.select("id", "name_uk", "name_ru", "name_en", "oblast").distinct()
+    sc = gazetteer.sparkSession.sparkContext
+    parts = max(1, math.ceil(entries.count() / part_entries * 1.1))
+    of = F.pmod(F.xxhash64("id"), F.lit(parts))
+    oblasts = sorted(r[0] for r in entries.where("oblast IS NOT NULL").select("oblast").distinct().collect())
+    return [sc.broadcast(sorted((tuple(r) for r in entries.where(of == p).collect()), key=lambda r: (r[0] is None, r[0]))) for p in range(parts)], oblasts
+
 
+def _gazetteer(shared, number: int, oblasts: list[str]) -> Gazetteer:
+    """The part's indexes, built once in a worker."""
+    if number not in _built:
+        _built.clear()
+        _built[number] = Gazetteer(shared.value, oblasts)
+    return _built[number]
 
-def match_places(values: DataFrame, keep: tuple[str, ...], name: str, hint: str, gazetteer: DataFrame) -> DataFrame:
+
+def _number(shared) -> int:
+    return shared._jbroadcast.id() if hasattr(shared, "_jbroadcast") else id(shared)
+
+
+def _texts(column: pd.Series) -> list[str | None]:
+    return [x if isinstance(x, str) else None for x in column]
+
+
+def match_places(values: DataFrame, keep: tuple[str, ...], name: str, hint: str, gazetteer: DataFrame, part_entries: int = PART_ENTRIES) -> DataFrame:
     """``keep`` plus ``gazetteer_id``: the entry each value names, 0 if none or not to be told.
 
     ``gazetteer`` has ``id, name_uk, name_ru, name_en, oblast``. Null and blank values get 0. Names of ``keep``
     must not clash with ``gazetteer_id``.
     """
-    rows = gazetteer.select("id", "name_uk", "name_ru", "name_en", "oblast").distinct().limit(MAX_ENTRIES + 1).collect()
-    if len(rows) > MAX_ENTRIES:
-        raise ValueError(f"the reference list has more than {MAX_ENTRIES} entries: match it by oblast, part by part")
-    spark = values.sparkSession
-    shared = spark.sparkContext.broadcast(sorted((tuple(r) for r in rows), key=lambda r: r[0]))
-    number = shared._jbroadcast.id() if hasattr(shared, "_jbroadcast") else id(shared)
-    fields = values.select(*keep).schema.fields
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["gazetteer_id bigint"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if number not in _built:
-            _built.clear()
-            _built[number] = Gazetteer(shared.value)
-        match = _built[number].match
+    ship_package(values.sparkSession)
+    parts, oblasts = _parts(gazetteer, part_entries)
+    values = values.select(*keep, F.col(name).alias("_v"), F.col(hint).alias("_h"))
+    if len(parts) == 1:
+        shared, number = parts[0], _number(parts[0])
+        fields = values.select(*keep).schema.fields
+        schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["gazetteer_id bigint"])
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            match = _gazetteer(shared, number, oblasts).match
+            for pdf in batches:
+                yield pdf[list(keep)].assign(gazetteer_id=[match(v, h) for v, h in zip(_texts(pdf["_v"]), _texts(pdf["_h"]))])
+
+        return values.mapInPandas(run, schema)
+    asked = values.select("_v", "_h").distinct()
+
+    def of_part(shared, number: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            part = _gazetteer(shared, number, oblasts)
+            for pdf in batches:
+                yield pdf[["_v", "_h"]].assign(known=[json.dumps(part.ask(part.regions.read(v, h)[0], alone=False)) for v, h in zip(_texts(pdf["_v"]), _texts(pdf["_h"]))])
+
+        return asked.mapInPandas(run, "_v string, _h string, known string")
+
+    known = of_part(parts[0], _number(parts[0]))
+    for shared in parts[1:]:
+        known = known.unionByName(of_part(shared, _number(shared)))
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        regions = Regions(oblasts)
         for pdf in batches:
-            text = lambda c: [x if isinstance(x, str) else None for x in pdf[c]]
-            yield pdf[list(keep)].assign(gazetteer_id=[match(v, h) for v, h in zip(text("_v"), text("_h"))])
+            ids = [decide(*regions.read(v, h), [json.loads(k) for k in found]) for v, h, found in zip(_texts(pdf["_v"]), _texts(pdf["_h"]), pdf["known"])]
+            yield pd.DataFrame({"_v2": pdf["_v"], "_h2": pdf["_h"], "gazetteer_id": ids})
 
-    return values.select(*keep, F.col(name).alias("_v"), F.col(hint).alias("_h")).mapInPandas(run, schema)
+    settled = known.groupBy("_v", "_h").agg(F.collect_list("known").alias("known")).mapInPandas(settle, "_v2 string, _h2 string, gazetteer_id bigint")
+    return values.join(settled, F.col("_v").eqNullSafe(F.col("_v2")) & F.col("_h").eqNullSafe(F.col("_h2"))).select(*keep, "gazetteer_id")
+
+
+def report(values: DataFrame, name: str, hint: str, gazetteer: DataFrame, part_entries: int = PART_ENTRIES) -> DataFrame:
+    """Unmatched values: ``value, hint, n, closest, score``, how often each occurs and the entry whose name is most like it.
+
+    ``score`` is the ``token_set_ratio``; both are null where no token is near any of a name. Of entries as like the
+    smallest id.
+    """
+    counts = values.select(F.col(name).alias("value"), F.col(hint).alias("hint")).groupBy("value", "hint").agg(F.count(F.lit(1)).alias("n"))
+    open_ = match_places(counts, ("value", "hint", "n"), "value", "hint", gazetteer, part_entries).where("gazetteer_id = 0").drop("gazetteer_id")
+    parts, oblasts = _parts(gazetteer, part_entries)
+
+    def of_part(shared, number: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            part = _gazetteer(shared, number, oblasts)
+            for pdf in batches:
+                best = [part.closest(v) or (None, None) for v in _texts(pdf["value"])]
+                yield pdf.assign(closest=pd.array([b[0] for b in best], dtype="Int64"), score=pd.array([b[1] for b in best], dtype="Float64"))
+
+        return open_.mapInPandas(run, "value string, hint string, n bigint, closest bigint, score double")
+
+    all_ = of_part(parts[0], _number(parts[0]))
+    for shared in parts[1:]:
+        all_ = all_.unionByName(of_part(shared, _number(shared)))
+    best = F.min(F.when(F.col("closest").isNotNull(), F.struct((-F.col("score")).alias("s"), F.col("closest").alias("c")))).alias("b")
+    return all_.groupBy("value", "hint", "n").agg(best).select("value", "hint", "n", F.col("b.c").alias("closest"), F.round(-F.col("b.s"), 4).alias("score"))

@@ -120,11 +120,19 @@ P8_ITEMS_SQL = f"""
 WITH {_P8_GRAMS}, p AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n FROM g d JOIN g i ON d.side = 'd' AND i.side = 'i' AND d.gram = i.gram GROUP BY ALL)
 SELECT item_id, count(doc_id) AS documents, coalesce(max(n), 0) AS most_passages FROM eval_items LEFT JOIN p USING (item_id) GROUP BY item_id"""
 
+def _open_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "extracted_events").where("gazetteer_id IS NULL AND place_name_raw RLIKE '[^\\\\s\\\\u00a0\\\\u2000-\\\\u200f\\\\u202f\\\\u2060\\\\u3000\\\\ufeff]'")
+    return events.select("id", "place_name_raw", F.col("llm_raw.oblast").alias("hint"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events without an entry but with a place name: the entry it names, or 0."""
-    events = table(spark, sf_dir, "extracted_events").where("gazetteer_id IS NULL AND place_name_raw RLIKE '[^\\\\s\\\\u00a0\\\\u2000-\\\\u200f\\\\u202f\\\\u2060\\\\u3000\\\\ufeff]'")
-    events = events.select("id", "place_name_raw", F.col("llm_raw.oblast").alias("hint"))
-    return places.match_places(events, ("id",), "place_name_raw", "hint", table(spark, sf_dir, "gazetteer")).distinct()
+    return places.match_places(_open_places(spark, sf_dir), ("id",), "place_name_raw", "hint", table(spark, sf_dir, "gazetteer")).distinct()
+
+
+def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place names that name no entry, with the entry most like each."""
+    return places.report(_open_places(spark, sf_dir), "place_name_raw", "hint", table(spark, sf_dir, "gazetteer"))
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,5 +161,5 @@ f AS (SELECT source_id, line FROM x JOIN t USING (source_id) GROUP BY source_id,
 k AS (SELECT n.id, coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (f.line IS NULL), '') AS clean_body, CAST(count(f.line) AS INTEGER) AS lines_removed FROM n LEFT JOIN f USING (source_id, line) GROUP BY n.id)
 SELECT id, clean_body, coalesce(lines_removed, 0) AS lines_removed FROM news_items LEFT JOIN k USING (id)"""
 
-QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares, "p3_found": p3_found, "p8_found": p8_found, "p8_items": p8_items, "p8_contained": p8_contained, "p10_found": p10_found, "p10_restored": p10_restored, "p1_found": p1_found, "p1_segments": p1_segments, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_clean": p6_clean, "p6_clean_published": p6_clean_published}
+QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p8_found": p8_found, "p8_items": p8_items, "p8_contained": p8_contained, "p10_found": p10_found, "p10_restored": p10_restored, "p1_found": p1_found, "p1_segments": p1_segments, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_clean": p6_clean, "p6_clean_published": p6_clean_published}
 ORACLES = {"p6_clean": P6_CLEAN_SQL, "p5_found": P5_SQL, "p8_found": P8_SQL, "p8_items": P8_ITEMS_SQL, "p6_found": P6_SQL}

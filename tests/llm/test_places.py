@@ -73,8 +73,36 @@ def test_accuracy_on_known_entries(spark, data):
     assert rows and sum(r["known"] == r["gazetteer_id"] for r in rows) / len(rows) > 0.97
 
 
-def test_a_list_beyond_the_bound_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(P, "MAX_ENTRIES", 2)
-    v = spark.createDataFrame([(1, "x", None)], "id bigint, name string, hint string")
-    with pytest.raises(ValueError):
-        P.match_places(v, ("id",), "name", "hint", spark.createDataFrame(ENTRIES, "id int, name_uk string, name_ru string, name_en string, oblast string"))
+VALUES = [("Свечашівка", None), ("у Свечашівці", None), ("Борушезопіль", None), ("Борушезополі (Ольшанская обл.)", None), ("Хокомине Верхнє", None), ("верхна хокомина", None), ("Скрув’янове", None), ("Свечашівка, Зулкижеків", None), ("школа, Борушезопіль", "Світанська обл."), ("Верхня Свечашівка", None), ("explosion in Svechashivka", None), ("Зулкижекові", None), ("Свечашвка", None), ("школа", None), (None, "x"), ("", None)]
+
+
+@pytest.mark.parametrize("part_entries", [1, 2, 4])
+def test_parts_of_the_list_make_no_difference(spark, g, part_entries):
+    v = spark.createDataFrame([(i, *x) for i, x in enumerate(VALUES + VALUES[:3])], "id bigint, name string, hint string")
+    gaz = spark.createDataFrame(ENTRIES, "id int, name_uk string, name_ru string, name_en string, oblast string")
+    got = {r["id"]: r["gazetteer_id"] for r in P.match_places(v, ("id",), "name", "hint", gaz, part_entries).collect()}
+    assert got == {i: g.match(*x) for i, x in enumerate(VALUES + VALUES[:3])}
+
+
+@pytest.mark.parametrize("part_entries", [1, 100])
+def test_unmatched_values_are_reported_with_the_closest_entry(spark, part_entries):
+    v = spark.createDataFrame([("Хокомине", None), ("Хокомине", None), ("Борушезопіль", None), ("щось", None), (None, None), ("Свечашівка", None)], "name string, hint string")
+    gaz = spark.createDataFrame(ENTRIES, "id int, name_uk string, name_ru string, name_en string, oblast string")
+    got = {r["value"]: (r["n"], r["closest"], r["score"]) for r in P.report(v, "name", "hint", gaz, part_entries).collect()}
+    assert got == {"Хокомине": (2, 4, pytest.approx(16 / 22, abs=1e-3)), "Борушезопіль": (1, 2, 1.0), "щось": (1, None, None), None: (1, None, None)}
+
+
+def test_token_set_ratio():
+    assert P.token_set_ratio(["верхнє", "хокомине"], ["хокомине", "верхнє"]) == 1.0 and P.token_set_ratio([], []) == 0.0
+    assert P.token_set_ratio(["abcd"], ["abce"]) == 6 / 8 and P.token_set_ratio(["abcd", "xyz"], ["abcd"]) == 8 / 11 and P.token_set_ratio(["abcdef"], ["uvwxyz"]) == 0.0
+
+
+def test_switching_a_method_off_changes_the_rows(monkeypatch):
+    """Mentions come from the automaton, errors from the token sets: neither finds the other's."""
+    mention, error = "explosion in Svechashivka", "Хокомнне Верхне"
+    assert [P.Gazetteer(ENTRIES).match(x, None) for x in (mention, error)] == [1, 4]
+    monkeypatch.setattr(P.Gazetteer, "_embedded", lambda *_: [])
+    assert [P.Gazetteer(ENTRIES).match(x, None) for x in (mention, error)] == [0, 4]
+    monkeypatch.undo()
+    monkeypatch.setattr(P.Gazetteer, "_alike", lambda *_: [])
+    assert [P.Gazetteer(ENTRIES).match(x, None) for x in (mention, error)] == [1, 0]
