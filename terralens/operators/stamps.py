@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terralens.io import ship_package
+from terralens.io import checkpointed, ship_package
 
 #: First letters of the months' names in English, German, Polish, Russian and Ukrainian.
 MONTHS = {
@@ -289,7 +289,7 @@ def choose_readings(parsed: DataFrame) -> DataFrame:
     rows = parsed.where(F.size("secs") > 0).select("tbl", "row_key", "raw", "source", "chunk", "o1", "o2", "secs", "fmts", "costs")
     single = (F.size("costs") == 1) | (F.get("costs", F.lit(1)) >= F.col("costs")[0] + DOMINATED)
     own = F.min(F.when(single, F.struct("o1", "o2", F.col("secs")[0].alias("sec"), F.col("fmts")[0].alias("fmt")))).alias("own")
-    chunks = rows.groupBy("source", "chunk").agg(own).withColumn("block", F.floor(F.col("chunk") / BLOCK))
+    chunks = checkpointed(rows.groupBy("source", "chunk").agg(own)).withColumn("block", F.floor(F.col("chunk") / BLOCK))
     known = F.col("own").isNotNull()
     blocks = chunks.groupBy("source", "block").agg(F.max(F.when(known, F.col("chunk"))).alias("newest"), F.min(F.when(known, F.struct("chunk", "own"))).alias("oldest"))
     w = Window.partitionBy("source").orderBy("block")
