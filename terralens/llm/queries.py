@@ -26,11 +26,14 @@ def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.segments(_labelled(spark, sf_dir).withColumnRenamed("lang", "label"), ("id",))
 
 
+def _p5_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    titles = table(spark, sf_dir, "news_items").select(F.lit("news_items").alias("tbl"), F.col("id").alias("row_id"), F.col("title").alias("text"))
+    return titles.unionByName(table(spark, sf_dir, "extracted_events").select(F.lit("extracted_events").alias("tbl"), F.col("id").alias("row_id"), F.col("place_name_raw").alias("text")))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles and place names that hold characters other than they look."""
-    titles = table(spark, sf_dir, "news_items").select(F.lit("news_items").alias("tbl"), F.col("id").alias("row_id"), F.col("title").alias("text"))
-    places = table(spark, sf_dir, "extracted_events").select(F.lit("extracted_events").alias("tbl"), F.col("id").alias("row_id"), F.col("place_name_raw").alias("text"))
-    texts = titles.unionByName(places)
+    texts = _p5_texts(spark, sf_dir)
     odd = visual.deviations(texts, "text").where(visual.is_deviant()).select("text")
     return texts.where(F.col("text").rlike(visual.SUSPICIOUS)).join(odd, "text", "left_semi").select("tbl", "row_id").distinct()
 
@@ -44,8 +47,8 @@ UNION SELECT tbl, row_id FROM mixed"""
 
 
 def p5_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every title with the form in which equal-looking titles are equal."""
-    return visual.canonical_text(table(spark, sf_dir, "news_items").select("id", "title"), "title").select("id", "canonical")
+    """Every title and place name in the one form, with the key by which equal-looking ones are equal."""
+    return visual.canonical_text(_p5_texts(spark, sf_dir), "text").select("tbl", "row_id", "canonical", visual.comparison_key(F.col("canonical")).alias("key"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,11 @@ ordered by class, letters recomposed and the strings rebuilt. Only texts that ho
 the tables can change are exploded: for any other the result is the text itself, which is exact. Equal texts
 are exploded once.
 
-Tables. They are derived from ``unicodedata`` by rule and bounded by Unicode itself (some thousand rows), so
-broadcasting them is safe at any input size.
+A word wholly in look-alikes of another script shows no mixture, so ``comparison_key`` reduces every letter that has
+a look-alike to one of its group: texts that look alike have equal keys.
+
+Tables. They are derived from ``unicodedata`` by rule, over all of Unicode but ideographs and Hangul syllables, and bounded
+by it (some ten thousand rows), so broadcasting them is safe at any input size.
 """
 
 from __future__ import annotations
@@ -18,22 +21,31 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Letters that look alike in Latin, Cyrillic and Greek (a dot where a script has none).
+#: Letters that look alike, a group each: Latin first, then other scripts.
 LOOKALIKES = """
-aаα cсϲ dԁ. eе. hһ. iіι jј. kкκ oоο pрρ qԛ. sѕ. u.υ v.ν wԝ. xхχ yу.
-AАΑ BВΒ CСϹ EЕΕ HНΗ IІΙ JЈ. KКΚ MМΜ N.Ν OОΟ PРΡ QԚ. SЅ. TТΤ WԜ. XХΧ YУΥ Z.Ζ
+aаα cсϲ dԁ eеҽ gց hһհ iіι jјϳյ kкκ lӏ nո oоοօ pрρ qԛզ sѕ uυս vѵν wԝա xхχ yуγ
+AАΑᎪ BВΒᏴ CСϹᏟ DᎠ EЕΕᎬ GԌᏀ HНΗᎻ IІΙӀ JЈᎫ KКΚᏦ LᏞԼ MМΜᎷ NΝ OОΟՕ PРΡᏢ QԚ RᎡ SЅՏᏚ TТΤᎢ UՍ VѴᏙ WԜᎳ XХΧ YУΥ ZΖᏃ
 """
 SCRIPTS = {"LATIN": "L", "CYRILLIC": "C", "GREEK": "G", "ARMENIAN": "A", "CHEROKEE": "R", "HEBREW": "H", "ARABIC": "B"}
+#: Other alphabets and syllabaries of which a letter beside those above makes a mixed word.
+OTHER_SCRIPTS = set("""
+GEORGIAN DEVANAGARI BENGALI GURMUKHI GUJARATI ORIYA TAMIL TELUGU KANNADA MALAYALAM SINHALA THAI LAO TIBETAN MYANMAR ETHIOPIC KHMER MONGOLIAN
+COPTIC GLAGOLITIC GOTHIC SYRIAC THAANA NKO RUNIC OGHAM LISU DESERET TIFINAGH BOPOMOFO VAI OSAGE ADLAM
+""".split())
 APOSTROPHES = "'‘’ʼʹ′´`＇՚"
-BLOCKS = ((0x20, 0x0600), (0x1C80, 0x1C8F), (0x1D00, 0x2200), (0x2C60, 0x2E00), (0x2DE0, 0x2E00), (0xA640, 0xA7FF), (0xAB30, 0xAB70), (0x3000, 0x3001), (0xFB00, 0xFB18), (0xFE00, 0xFE10), (0xFEFF, 0xFF00), (0xFF01, 0xFFEF), (0x1D400, 0x1D800), (0x13A0, 0x1400), (0x115F, 0x1161), (0x3164, 0x3165), (0x180B, 0x180F), (0xE0000, 0xE0080), (0xE0100, 0xE01F0))
 
 
+@lru_cache(maxsize=200_000)
 def _script(ch: str) -> str | None:
-    return next((s for word in unicodedata.name(ch, "").split()[:2] if (s := SCRIPTS.get(word))), None) if unicodedata.category(ch)[0] == "L" else None
+    if unicodedata.category(ch)[0] != "L":
+        return None
+    words = unicodedata.name(ch, "").split()[:2]
+    return next((SCRIPTS.get(w, w) for w in words if w in SCRIPTS or w in OTHER_SCRIPTS), None)
 
 
-def _script_of(ch: str) -> str:
-    return _script(ch) or "L"
+def _listed() -> list[str]:
+    """All assigned characters but ideographs and Hangul syllables."""
+    return [c for c in map(chr, range(32, 0x110000)) if not ("\u3400" <= c <= "\u9fff" or "\uac00" <= c <= "\ud7a3" or "\U00020000" <= c <= "\U0003ffff") and unicodedata.category(c) not in ("Cn", "Cs", "Co")]
 
 
 def _kind(ch: str) -> str | None:
@@ -55,14 +67,12 @@ def code_points() -> list[tuple]:
     """Rows ``ch, kind, letter, joins, parts`` of every code point that can matter; ``parts`` is its decomposition.
 
     ``parts`` are ``(ch, ccc, script)``: nothing for an invisible one, an ordinary space for another space,
-    the compatibility letters for a full-width or joined form, else the canonical decomposition.
+    the compatibility letters for a full-width or joined form, else the canonical decomposition. A code point that is no
+    row parts words and stands for itself.
     """
     rows = []
-    for cp in sorted({c for a, b in BLOCKS for c in range(a, b)} | {9, 11, 12, 0x85}):
-        ch = chr(cp)
+    for ch in ["\t", "\x0b", "\x0c", "\x85", *_listed()]:
         category, kind = unicodedata.category(ch), _kind(ch)
-        if category in ("Cn", "Cs"):
-            continue
         joins = category[0] in "LM" or category == "Nd" or ch in APOSTROPHES or kind == "invisible"
         if kind == "invisible":
             parts = ""
@@ -74,7 +84,8 @@ def code_points() -> list[tuple]:
             parts = unicodedata.normalize("NFKD", ch)
         else:
             parts = unicodedata.normalize("NFD", ch)
-        rows.append((ch, kind, category[0] == "L", joins, [(p, unicodedata.combining(p), _script(p)) for p in parts]))
+        if joins or kind or parts != ch:
+            rows.append((ch, kind, category[0] == "L", joins, [(p, unicodedata.combining(p), _script(p)) for p in parts]))
     return rows
 
 
@@ -82,12 +93,10 @@ def code_points() -> list[tuple]:
 def compositions() -> list[tuple[str, str]]:
     """``(canonical decomposition, composed letter)`` of every letter that Unicode composes."""
     found = {}
-    for a, b in BLOCKS:
-        for cp in range(a, b):
-            ch = chr(cp)
-            parts = unicodedata.normalize("NFD", ch)
-            if len(parts) > 1 and unicodedata.normalize("NFC", parts) == ch:
-                found[parts] = ch
+    for ch in _listed():
+        parts = unicodedata.normalize("NFD", ch)
+        if len(parts) > 1 and unicodedata.normalize("NFC", parts) == ch:
+            found[parts] = ch
     return sorted(found.items())
 
 
@@ -96,11 +105,20 @@ def lookalikes() -> list[tuple[str, str, str]]:
     """``(letter, wanted script, the look-alike of that script)``."""
     rows = []
     for group in LOOKALIKES.split():
-        for a in group:
-            rows += [(a, s, b) for s, b in zip("LCG", group) if "." not in (a, b) and a != b]
+        first = {_script(c): c for c in reversed(group)}
+        rows += [(a, s, b) for a in group for s, b in first.items() if s != _script(a)]
     return rows
 
 
+def comparison_key(canonical: Column) -> Column:
+    """A text in the one form with each letter that has look-alikes as the Latin one of its group; for comparing, not for reading.
+
+    Equal-looking texts have equal keys, even where a whole word is written in another script's letters. Null stays null.
+    """
+    letters = [(c, group[0]) for group in LOOKALIKES.split() for c in group[1:]]
+    return F.translate(canonical, "".join(a for a, _ in letters), "".join(b for _, b in letters))
+
+
 #: Whatever lies outside these, or mixes scripts within a word, may change; everything else is in its one form.
 PLAIN = r"\x20-\x26\x28-\x5F\x61-\x7EЀ-џҐґÀ-ÖØ-öø-ıĴ-ľŁ-ňŊ-ž'«»“”„–—…№·•"
 LATIN, CYRILLIC = r"[A-Za-zÀ-ÖØ-öø-ž]", r"[Ѐ-ґ]"
@@ -134,8 +152,9 @@ def deviations(texts: DataFrame, text: str) -> DataFrame:
         .select(*key, "pos", "kind", "accent", "word", F.coalesce("sub", F.lit(0)).alias("sub"), F.coalesce("p.c", F.lit("")).alias("c"), F.coalesce("p.ccc", F.lit(0)).alias("ccc"), "p.script")
     )
     word = Window.partitionBy(*key, "word")
-    #: Latin and Cyrillic letters without a twin in the other decide; then the number of letters.
-    own = F.when(F.col("c").isin(sorted({a for a, s, b in lookalikes() if "G" not in (s, _script_of(a))})) | (F.col("script") == "G"), 1).otherwise(100)
+    #: Letters without a twin (of Latin and Cyrillic ones: in the other) decide; then the number of letters.
+    twinned = {a for a, s, _ in lookalikes() if _script(a) not in ("L", "C") or {s, _script(a)} == {"L", "C"}}
+    own = F.when(F.col("c").isin(sorted(twinned)), 1).otherwise(100)
     scripts = {s: F.sum(F.when(F.col("script") == s, own).otherwise(0)).over(word) for s in SCRIPTS.values()}
     best = F.array_max(F.array(*[F.struct(n.alias("n"), F.lit(s).alias("s")) for s, n in scripts.items()]))
     cps = cps.withColumns({"main": best["s"], "mixed": F.size(F.collect_set("script").over(word)) > 1})
@@ -167,5 +186,5 @@ def canonical_text(df: DataFrame, text: str, out: str = "canonical") -> DataFram
 
     Rows and other columns stay as they are; a column ``out`` of ``df`` is replaced.
     """
-    odd = deviations(df, text).select(F.col(text).alias("_terralens_text"), F.col("canonical").alias("_terralens_form"))
+    odd = deviations(df.select(text), text).select(F.col(text).alias("_terralens_text"), F.col("canonical").alias("_terralens_form"))
     return df.join(odd, F.col(text) == F.col("_terralens_text"), "left").withColumn(out, F.coalesce("_terralens_form", text)).drop("_terralens_text", "_terralens_form")

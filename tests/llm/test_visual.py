@@ -4,6 +4,7 @@ import unicodedata
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from terralens.llm import visual as V
 
@@ -28,6 +29,30 @@ def test_each_deviation(spark):
         assert flags(spark, text) == want, text
 
 
+def test_all_of_unicode_counts(spark):
+    """Invisible characters, spaces, marks and scripts outside the usual blocks."""
+    cases = {
+        "a\u061cb": {"invisible"}, "a\u1680b": {"space"}, "a\u205fb": {"space"}, "か\u3099": {"accent"}, "अa": {"mixed"}, "օne": {"mixed"}, "paypaӏ": {"mixed"}, "ՀԱՅ": set(), "हिन्दी": {"accent"}, "שלום": set(), "漢字": set(), "한국": set(), "ქართული": set(),
+    }
+    for text, want in cases.items():
+        assert flags(spark, text) == want, text
+    assert forms(spark, ["か\u3099", "օne", "paypaӏ", "θάλaσσα", "한국"]) == {0: "が", 1: "one", 2: "paypal", 3: "θάλασσα", 4: "한국"}
+
+
+def test_words_wholly_in_look_alikes_have_one_key(spark):
+    pairs = [("СОР", "COP"), ("раура", "paypa"), ("ӏ", "l"), ("ѕсоре", "scope"), ("ОСА", "OCA"), ("ΑΒΕ", "ABE"), ("Ꭺᏼ", "AᏴ"), ("СО​Р", "COP"), ("дім", "дiм")]
+    df = V.canonical_text(spark.createDataFrame([(i, side, t) for i, p in enumerate(pairs) for side, t in enumerate(p)], "id int, side int, t string"), "t").withColumn("key", V.comparison_key(F.col("canonical")))
+    keys = {(r["id"], r["side"]): r["key"] for r in df.collect()}
+    assert [i for i, _ in enumerate(pairs) if keys[i, 0] != keys[i, 1]] == [6]  # small Cherokee letters have no look-alike
+    assert keys[0, 0] == "COP" and V.comparison_key(F.lit(None)) is not None
+
+
+def test_the_table_of_look_alikes():
+    assert all(V._script(g[0]) == "L" and all(V._script(c) not in (None, "L") for c in g[1:]) for g in V.LOOKALIKES.split())
+    letters = [c for g in V.LOOKALIKES.split() for c in g]
+    assert len(letters) == len(set(letters))
+
+
 def test_one_form(spark):
     texts = ["Свечашівка", "Све​чашівка", "Свeчaшівкa", unicodedata.normalize("NFD", "Свечашівка"), "Свечашівка"]
     assert set(forms(spark, texts).values()) == {"Свечашівка"}
