@@ -1,10 +1,11 @@
 """Language of each document and of each segment in another language.
 
-Script ranges narrow a word's candidates; word scores, learnt here from a bounded sample of labelled rows,
-weigh them; Viterbi with a switching penalty (high inside a sentence, low between sentences) labels the
-words, and runs of sentences of one label become segments with a confidence.
+Script ranges narrow a word's candidates to the languages written in its script; word scores, learnt here from a
+bounded sample of labelled rows, weigh them; Viterbi with a switching penalty (high inside a sentence, low between
+sentences) labels the words, and runs of sentences of one label become segments with a confidence. Words of a sentence
+are no independent witnesses, so the scores are tempered for the confidence by a factor fitted on held-out fragments.
 
-The word scores are one small table on every executor (``MAX_WORDS`` words); each row is labelled by itself, so
+The word scores are one table on every executor, the words of ``FIT_ROWS`` rows; each row is labelled by itself, so
 nothing is shuffled. Viterbi runs over a batch of texts at once, one numpy step per word position.
 """
 
@@ -31,14 +32,18 @@ NAMES = {
     "de": "de", "deu": "de", "ger": "de", "german": "de", "pl": "pl", "pol": "pl", "polish": "pl",
 }
 #: The model is fitted on so many rows with a known label, chosen by the hash of their id.
-FIT_ROWS, MAX_WORDS, MIN_DOCS = 6000, 50_000, 3
+FIT_ROWS, MIN_DOCS = 6000, 3
 IN_SENTENCE, BETWEEN = 8.0, 1.5
 #: Padded word positions that one Viterbi pass may hold.
 CELLS = 400_000
 WORD = re.compile(r"[^\W\d_]+(?:['’ʼ][^\W\d_]+)*")
 SENTENCE = re.compile(r"(?<=[.!?…])[\s\"»”’)]+|\n+")
-#: Quoted words don't count; a quotation stays within a line and a sane length.
-QUOTED = re.compile(r"«[^«»\n]{1,300}»|[„“][^„“”\"\n]{1,300}[”“\"]|\"[^\"\n]{1,300}\"")
+#: Score of a language that is not written in a word's script: beyond what two switches cost.
+MASKED = -20.0
+#: Quoted words don't count; a quotation stays within a line.
+QUOTED = re.compile(r"«[^«»\n]+»|[„“][^„“”\"\n]+[”“\"]|\"[^\"\n]+\"")
+#: Tempering factors that are tried, and the words of a fragment they are tried on.
+TEMPERS, FRAGMENT = (0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8, 1.0, 1.3), 3
 CYRILLIC, LATIN = re.compile(r"[Ѐ-ӿ]"), re.compile(r"[a-zß-ſ]")
 #: Letters that only one of the languages writes, by position in LANGUAGES.
 LETTERS = ("іїєґ", "ыэъё", "", "äöüß", "ąęłśźżćń")
@@ -85,23 +90,32 @@ class WordModel:
 
     index: dict[str, int]
     scores: np.ndarray
+    temper: float = 1.0
+
+    def row(self, word: str) -> int:
+        """Row of a word's scores; of an unknown one by the languages' own letters, else by script (rows 0 to 7)."""
+        return self.index.get(word) or self.unknown(word)
 
     def unknown(self, word: str) -> int:
-        """Row of an unknown word: by the languages' own letters, else by script (rows 0 to 7)."""
         for i, own in enumerate(LETTERS):
             if any(c in own for c in word):
                 return 3 + i
         return 1 if CYRILLIC.search(word) else 2 if LATIN.search(word) else 0
 
 
+def _written(word: str) -> np.ndarray:
+    """True for the languages written in the word's script; for all if it has letters of neither or of both."""
+    c, x = bool(CYRILLIC.search(word)), bool(LATIN.search(word))
+    return np.array([c or not x] * 2 + [x or not c] * 3)
+
+
 def _rows_for_unknown() -> np.ndarray:
     rows = np.zeros((8, len(LANGUAGES)))
-    rows[1, 2:] = -4.0
-    rows[2, :2] = -4.0
+    rows[1, 2:] = MASKED
+    rows[2, :2] = MASKED
     for i in range(len(LANGUAGES)):
         rows[3 + i] = -2.0
-        rows[3 + i, 2:] -= 2.0 * (i < 2)
-        rows[3 + i, :2] -= 2.0 * (i >= 2)
+        rows[3 + i, ~_written("\u0430" if i < 2 else "a")] = MASKED
         rows[3 + i, i] = 0.0
     return rows
 
@@ -110,15 +124,42 @@ def _fit(counts: list[Counter]) -> WordModel:
     docs = Counter()
     for c in counts:
         docs.update(c)
-    words = [w for w, k in sorted(docs.items(), key=lambda x: (-x[1], x[0]))[:MAX_WORDS] if k >= MIN_DOCS]
+    words = sorted(w for w, k in docs.items() if k >= MIN_DOCS)
     totals = [sum(c.values()) + 1000 for c in counts]
     rows = [_rows_for_unknown()]
     if words:
         p = np.array([[(c[w] + 0.1) / t for c, t in zip(counts, totals)] for w in words])
-        rows.append(np.maximum(np.log(p / p.sum(axis=1, keepdims=True)), -6.0))
+        written = np.array([_written(w) for w in words])
+        p = np.where(written, p, 0.0)
+        with np.errstate(divide="ignore"):
+            rows.append(np.where(written, np.maximum(np.log(p / p.sum(axis=1, keepdims=True)), -6.0), MASKED))
     return WordModel({w: i + 8 for i, w in enumerate(words)}, np.vstack(rows))
 
 
+def _softmax(total: np.ndarray) -> np.ndarray:
+    e = np.exp(total - total.max(axis=-1, keepdims=True))
+    return e / e.sum(axis=-1, keepdims=True)
+
+
+def fragments(model: WordModel, sents: list[list[str]], size: int = FRAGMENT) -> tuple[np.ndarray, np.ndarray]:
+    """Summed scores of the first ``size`` words of each longer sentence, and its language by all its words but these."""
+    total, lang = [], []
+    for s in sents:
+        if len(s) >= 2 * size + 2:
+            v = model.scores[[model.row(w) for w in s]]
+            total.append(v[:size].sum(axis=0))
+            lang.append(int(np.argmax(v[size:].sum(axis=0))))
+    return np.array(total).reshape(-1, len(LANGUAGES)), np.array(lang, dtype=int)
+
+
+def fitted_temper(model: WordModel, sents: list[list[str]]) -> float:
+    """The factor under which the fragments' scores make their sentences' languages most likely; 1 without sentences."""
+    total, lang = fragments(model, sents)
+    if not len(lang):
+        return 1.0
+    return max(TEMPERS, key=lambda t: np.log(np.maximum(_softmax(total * t)[np.arange(len(lang)), lang], 1e-12)).mean())
+
+
 def language_of_label(label: str | None) -> str | None:
     """The language that a label names, or null: a code of two or three letters with or without country, or an English name, in any case."""
     return NAMES.get(re.split(r"[-_]", label.strip().lower())[0]) if label else None
@@ -134,7 +175,8 @@ def fit_word_model(docs: DataFrame, doc: str, texts: tuple[str, ...], label: str
     """Word scores from ``fit_rows`` rows with a known label, the ones whose hashed ids are smallest.
 
     Labels are noisy, so after a first count the sample's sentences are labelled by the model itself and
-    counted again. Only the sample comes to the driver.
+    counted again. The confidence's tempering is fitted on the sentences of every other row by a model of the rest. Only
+    the sample comes to the driver.
     """
     known = docs.where(label_column(F.col(label)).isNotNull())
     h = F.xxhash64(F.col(doc))
@@ -145,12 +187,14 @@ def fit_word_model(docs: DataFrame, doc: str, texts: tuple[str, ...], label: str
     for lang, sents in items:
         counts[LANGUAGES.index(lang)].update({w for s in sents for w in s})
     model = _fit(counts)
-    again = [Counter() for _ in LANGUAGES]
-    for _, sents in items:
+    halves = [[Counter() for _ in LANGUAGES] for _ in range(2)]
+    for k, (_, sents) in enumerate(items):
         for s in sents:
-            v = sum(model.scores[model.index.get(w) or model.unknown(w)] for w in s)
-            again[int(np.argmax(v))].update(set(s))
-    return _fit(again)
+            v = sum(model.scores[model.row(w)] for w in s)
+            halves[k % 2][int(np.argmax(v))].update(set(s))
+    temper = fitted_temper(_fit(halves[0]), [s for _, sents in items[1::2] for s in sents])
+    final = _fit([a + b for a, b in zip(*halves)])
+    return WordModel(final.index, final.scores, temper)
 
 
 def viterbi(ids: list[np.ndarray], starts: list[np.ndarray], scores: np.ndarray) -> list[np.ndarray]:
@@ -228,7 +272,7 @@ def _segment_batch(texts: list[list[str | None]], model: WordModel) -> dict[str,
             new = np.flatnonzero(np.append(True, (lang[1:] != lang[:-1]) | (parts[1:] != parts[:-1])))
             last = np.append(new[1:], len(lang)) - 1
             total = np.add.reduceat(score, new, axis=0)
-            conf = 1 / np.exp(np.minimum(total - total[np.arange(len(new)), lang[new]][:, None], 50.0)).sum(axis=1)
+            conf = _softmax(total * model.temper)[np.arange(len(new)), lang[new]]
             offset = np.searchsorted(parts, parts[new])
             row = {
                 "parts": parts[new].tolist(), "firsts": (new - offset).tolist(), "lasts": (last - offset).tolist(),
@@ -243,7 +287,7 @@ def label_languages(docs: DataFrame, keep: tuple[str, ...], texts: tuple[str, ..
     """``keep`` plus arrays that describe the segments of the rows' ``texts`` in order.
 
     A segment is a run of sentences of one language within one text (``parts``: which, from 0; ``firsts`` and
-    ``lasts``: its sentences, from 0), with ``langs``, ``confs`` (posterior of the language over the segment's
+    ``lasts``: its sentences, from 0), with ``langs``, ``confs`` (tempered posterior of the language over the segment's
     words) and ``sizes`` in words. Null, empty and wordless texts have no segment. Names of ``keep`` that clash
     with the result's are the caller's to rename.
     """

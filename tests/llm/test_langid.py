@@ -80,3 +80,43 @@ def test_held_out_agreement(spark, data):
     rows = [(L.language_of_label(r["lang"]), set(r["langs"])) for r in L.label_languages(held, ("id", "lang"), ("title", "body"), m).collect()]
     named = [(a, b) for a, b in rows if a and b]
     assert sum(a in b for a, b in named) / len(named) > 0.85
+
+
+def test_scripts_narrow_the_candidates():
+    """A language that is not written in a word's script is out, whatever the counts say."""
+    from collections import Counter
+
+    m = L._fit([Counter({"тест": 5, "test": 90}), Counter({"тест": 3}), Counter({"test": 4, "тест": 90}), Counter(), Counter()])
+    assert (m.scores[m.index["тест"]][2:] == L.MASKED).all() and (m.scores[m.index["test"]][:2] == L.MASKED).all()
+    assert m.scores[m.row("тест")].argmax() == 0 and m.scores[m.row("test")].argmax() == 2
+    assert (m.scores[m.row("невідоме")][2:] == L.MASKED).all() and (m.scores[m.row("straße")][:2] == L.MASKED).all() and (m.scores[m.row("漢字")] == 0).all()
+
+
+def test_long_quotations_do_not_count(spark, model):
+    quoted = " ".join([TEXTS["en"][0][:-1]] * 20)
+    assert L.mislabelled(label(spark, model, [(1, f"Очевидці кажуть, що біля міста був напис «{quoted}» на стіні.", None, "uk", None, None)]), "id", "lang").count() == 0
+
+
+def test_confidence_is_calibrated(spark, data):
+    """Fragments of held-out sentences: how often the language is right lies near the confidence, and it doesn't saturate."""
+    news = table(spark, data, "news_items")
+    m = L.fit_word_model(news.where("id % 2 = 1"), "id", ("title", "body"), "lang")
+    sents = [s for r in news.where("id % 2 = 0").select("title", "body").collect() for t in r for s in L.sentences(t)]
+    total, lang = L.fragments(m, sents)
+    p = L._softmax(total * m.temper)
+    conf, right = p.max(axis=1), p.argmax(axis=1) == lang
+    assert len(lang) > 300 and abs(conf.mean() - right.mean()) < 0.05
+    for lo, hi in ((0.0, 0.9), (0.9, 1.01)):
+        here = (conf >= lo) & (conf < hi)
+        assert here.sum() < 30 or abs(conf[here].mean() - right[here].mean()) < 0.12
+
+
+def test_recall_of_planted_segments(spark, data):
+    """Sentences of one language put into texts of another come out as segments of their own."""
+    news = table(spark, data, "news_items")
+    m = L.fit_word_model(news, "id", ("title", "body"), "lang")
+    by = {k: [" ".join(s).capitalize() + "." for r in news.where(L.label_column(L.F.col("lang")) == k).select("body").orderBy("id").limit(80).collect() for s in L.sentences(r[0]) if len(s) > 5] for k in L.LANGUAGES}
+    by = {k: [s for s in v if L._segment_batch([[s]], m)["langs"][0] == [k]] for k, v in by.items()}
+    planted = [(a, b, x, y) for a in by for b in by if a != b for x, y in list(zip(by[a][:12], by[b][12:24]))]
+    found = L._segment_batch([[f"{x} {y} {x}"] for _, _, x, y in planted], m)["langs"]
+    assert len(planted) > 60 and sum(got == [a, b, a] for (a, b, _, _), got in zip(planted, found)) >= 0.95 * len(planted)
