@@ -53,6 +53,22 @@ def boilerplate_lines(docs: DataFrame, source: str, doc: str, body: str, day: st
     return c.where((F.col("rows") >= min_rows) & (F.col("rows") + 1e-6 >= min_share * F.col("source_rows")) & (F.col("clusters") >= min_clusters) & (F.col("days") >= min_days))
 
 
+def line_report(docs: DataFrame, source: str, doc: str, body: str, day: str, min_rows: int = 4, min_share: float = 0.08, min_clusters: int = 2, min_days: int = 2) -> DataFrame:
+    """Every line repeated in a source: ``source, line_text, rows, clusters, days, source_rows, boilerplate``.
+
+    Lines in at least ``min_rows`` rows and ``min_share`` of the source's; ``boilerplate`` tells those of them that stand in
+    different documents on different days from the lines of an article that is republished. ``line_text`` is the
+    smallest of the ways the line is written.
+    """
+    found = checkpointed(boilerplate_lines(docs, source, doc, body, day, min_rows, min_share, 1, 1))
+    written = docs.select(F.col(source).alias("_s"), F.posexplode(F.arrays_zip(F.split(F.col(body), "\n", -1).alias("raw"), normalised_lines(F.col(body)).alias("norm"))).alias("_at", "_l")).where("_l.norm <> ''")
+    written = written.select("_s", F.xxhash64("_l.norm").alias("_line"), F.trim("_l.raw").alias("line_text"))
+    known = broadcast_if_small(found.select("source", "line"), MAX_BROADCAST_LINES)
+    text = written.join(known, F.col("source").eqNullSafe(F.col("_s")) & (F.col("line") == F.col("_line")), "left_semi").groupBy("_s", "_line").agg(F.min("line_text").alias("line_text"))
+    both = found.join(text, F.col("source").eqNullSafe(F.col("_s")) & (F.col("line") == F.col("_line")))
+    return both.select("source", "line_text", "rows", "clusters", "days", "source_rows", ((F.col("clusters") >= min_clusters) & (F.col("days") >= min_days)).alias("boilerplate"))
+
+
 def boilerplate_places(docs: DataFrame, source: str, doc: str, body: str, day: str, **limits) -> DataFrame:
     """``doc, line_no`` (from 1, empty lines counted) of every place where a boilerplate line stands."""
     found = broadcast_if_small(checkpointed(boilerplate_lines(docs, source, doc, body, day, **limits).select(F.col("source").alias("s"), "line")), MAX_BROADCAST_LINES)

@@ -76,12 +76,21 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.without_boilerplate(table(spark, sf_dir, "news_items"), "source_id", "id", "body", "fetched_at").select("id", "clean_body", "lines_removed")
 
 
-def p6_clean_published(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each item's body without its source's boilerplate, days counted by ``published_at``, or ``fetched_at`` where that names no instant."""
+def _dated_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with ``day``: ``published_at`` as an instant, or ``fetched_at`` where that names none."""
     news = table(spark, sf_dir, "news_items").select("id", "source_id", "body", "fetched_at", "published_at")
     published = stamps.normalise_stamps(stamps.news_stamps(news, table(spark, sf_dir, "source_clock"))).select(F.col("row_key").cast("bigint").alias("item"), F.timestamp_seconds("sec").alias("published"))
-    dated = news.join(checkpointed(published), F.col("id") == F.col("item"), "left").withColumn("day", F.coalesce("published", "fetched_at"))
-    return boilerplate.without_boilerplate(dated, "source_id", "id", "body", "day").select("id", "clean_body", "lines_removed")
+    return news.join(checkpointed(published), F.col("id") == F.col("item"), "left").withColumn("day", F.coalesce("published", "fetched_at"))
+
+
+def p6_clean_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item's body without its source's boilerplate, days counted by ``published_at``, or ``fetched_at`` where that names no instant."""
+    return boilerplate.without_boilerplate(_dated_news(spark, sf_dir), "source_id", "id", "body", "day").select("id", "clean_body", "lines_removed")
+
+
+def p6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that each source repeats, with the documents, publication days and rows they stand in, boilerplate told from republished articles."""
+    return boilerplate.line_report(_dated_news(spark, sf_dir), "source_id", "id", "body", "day").withColumnRenamed("source", "source_id")
 
 
 def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,5 +173,5 @@ f AS (SELECT source_id, line FROM x JOIN t USING (source_id) GROUP BY source_id,
 k AS (SELECT n.id, coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (f.line IS NULL), '') AS clean_body, CAST(count(f.line) AS INTEGER) AS lines_removed FROM n LEFT JOIN f USING (source_id, line) GROUP BY n.id)
 SELECT id, clean_body, coalesce(lines_removed, 0) AS lines_removed FROM news_items LEFT JOIN k USING (id)"""
 
-QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p8_found": p8_found, "p8_items": p8_items, "p8_contained": p8_contained, "p10_found": p10_found, "p10_restored": p10_restored, "p1_found": p1_found, "p1_segments": p1_segments, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_clean": p6_clean, "p6_clean_published": p6_clean_published}
+QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p8_found": p8_found, "p8_items": p8_items, "p8_contained": p8_contained, "p10_found": p10_found, "p10_restored": p10_restored, "p1_found": p1_found, "p1_segments": p1_segments, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_clean": p6_clean, "p6_lines": p6_lines, "p6_clean_published": p6_clean_published}
 ORACLES = {"p6_clean": P6_CLEAN_SQL, "p5_found": P5_SQL, "p8_found": P8_SQL, "p8_items": P8_ITEMS_SQL, "p6_found": P6_SQL}

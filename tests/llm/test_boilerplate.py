@@ -50,6 +50,20 @@ def test_clean_bodies(spark):
     assert got[0] == ("Own a", 1) and got[5] == ("", 1) and got[6] == (None, 0) and got[7][1] == 0
 
 
+def test_report_tells_notices_from_republished_articles(spark):
+    bodies = [(1, "Same story 1\nwith two lines")] * 6 + [(1, f"Own {chr(97 + i)}\n Notice {i}") for i in range(6)]
+    got = {r["line_text"]: (r["rows"], r["clusters"], r["days"], r["source_rows"], r["boilerplate"]) for r in B.line_report(frame(spark, bodies), "source_id", "id", "body", "fetched_at").collect()}
+    assert got == {"Same story 1": (6, 1, 1, 12, False), "with two lines": (6, 1, 1, 12, False), "Notice 0": (6, 6, 6, 12, True)}
+    assert B.line_report(frame(spark, []), "source_id", "id", "body", "fetched_at").count() == 0
+
+
+def test_republished_articles_with_a_new_dateline_stay(spark):
+    """Copies that differ in case, digits and spaces collapse; only what different documents share is removed."""
+    bodies = [(1, f"STORY of {i} May\nfirst  line\nsecond line\nShare  this") for i in range(8)] + [(1, f"Own {chr(97 + i)}\nshare this") for i in range(8)]
+    got = [r["clean_body"] for r in B.without_boilerplate(frame(spark, bodies), "source_id", "id", "body", "fetched_at").orderBy("id").collect()]
+    assert got == [f"STORY of {i} May\nfirst  line\nsecond line" for i in range(8)] + [f"Own {chr(97 + i)}" for i in range(8)]
+
+
 def test_empty_table(spark):
     assert places(frame(spark, [])) == set()
 
