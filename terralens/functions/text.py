@@ -46,20 +46,49 @@ def transliterate(c: Column) -> Column:
     return reduce(lambda x, kv: F.replace(F.replace(x, F.lit(kv[0]), F.lit(kv[1])), F.lit(kv[0].upper()), F.lit(kv[1])), several.items(), out)
 
 
+#: Elements whose content is no text; elements after which a line ends.
+SILENT, LINE_ENDS = ("script", "style"), ("br", "p")
+
+
 def strip_html(c: Column) -> Column:
-    """Text of a snippet of HTML: scripts and styles dropped, breaks as line ends, tags dropped, entities undone."""
-    c = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?is)<(script|style).*?</\1>", " ")
-    c = F.regexp_replace(c, r"(?i)<br\s*/?>|</p>", "\n")
-    c = F.regexp_replace(c, "<[^>]+>", "")
-    c = reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, c)
-    return strip(F.regexp_replace(c, r"[ \t]*\n\s*\n+", "\n\n"))
+    """Text of a snippet of HTML: silent elements dropped with their content, line ends kept, no other tags, entities undone.
+
+    The snippet is cut at its opening angle brackets into a text and tagged pieces; each piece gives what its tag stands
+    for and the text after it. A bracket that no other closes is text. At most one empty line is kept in a row.
+    """
+    for name in SILENT:
+        c = F.regexp_replace(c, rf"(?is)<{name}\b.*?</{name}>", " ")
+    pieces = F.split(F.coalesce(c, F.lit("")), "<")
+    tag_name = lambda x: F.lower(F.regexp_extract(x, r"^(/?[A-Za-z0-9]*)", 1))
+    ends = [n if n == "br" else f"/{n}" for n in LINE_ENDS]
+    after = lambda x: F.concat(F.when(tag_name(x).isin(ends), "\n").otherwise(""), F.regexp_replace(x, "^[^>]*>", ""))
+    text = F.transform(pieces, lambda x, i: F.when(i == 0, x).when(F.instr(x, ">") <= 1, F.concat(F.lit("<"), x)).otherwise(after(x)))
+    c = F.array_join(text, "")
+    for written, meant in ENTITIES:
+        c = F.replace(c, F.lit(written), F.lit(meant))
+    return strip(F.regexp_replace(c, r"[ \t]*\n(?:\s*\n)+", "\n\n"))
 
 
 def headline(body: Column, at_least: int = 24, at_most: int = 200) -> Column:
-    """The first lines that hold a letter or digit, joined until long enough, then cut."""
+    """The first lines that hold a letter or digit, joined until long enough, then cut; the whole body on one line if none does."""
     lines = F.filter(F.transform(F.split(body, "\n"), lambda x: strip(x)), lambda x: x.rlike(r"[\p{L}\p{N}]"))
     joined = F.aggregate(lines, F.lit(""), lambda acc, x: F.when(F.length(acc) >= at_least, acc).otherwise(strip(F.concat_ws(" ", F.nullif(acc, F.lit("")), x))))
-    return F.substring(joined, 1, at_most)
+    return F.substring(F.when(F.size(lines) > 0, joined).otherwise(strip(squeeze(body))), 1, at_most)
+
+
+def truncated(c: Column, size: int = 4000) -> Column:
+    """Cut at ``size`` characters with a blank and an ellipsis."""
+    return F.when(F.length(c) > size, F.concat(F.rtrim(F.substring(c, 1, size)), F.lit(" …"))).otherwise(c)
+
+
+def slug_of(url: Column) -> Column:
+    """The channel's name in an address such as ``https://host/s/name`` or ``https://host/name/12``; null if there is none."""
+    return F.nullif(F.regexp_extract(url, r"^(?:https?://)?[^/\s]+/(?:s/)?([A-Za-z0-9_]+)", 1), F.lit(""))
+
+
+def post_number(external_id: Column) -> Column:
+    """The number after the last slash, or null."""
+    return F.substring_index(external_id, "/", -1).try_cast("bigint")
 
 
 def snippet(c: Column, size: int = 240) -> Column:

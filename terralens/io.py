@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -37,10 +38,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """The shared folder for intermediate results: the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a laptop) is a local folder chosen.
+    Only where that is unset and the master is local (tests, a laptop) is a local folder chosen; a cluster without a
+    shared folder is an error, for its executors would each write to a folder of their own.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return shared or os.path.join(tempfile.gettempdir(), "terralens-checkpoints")
+    if shared:
+        return shared
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "terralens-checkpoints")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from terralens.io import checkpointed
 
 
+def _fingerprint(links: DataFrame) -> tuple:
+    """Number and order-free hash sums of distinct links: equal for equal sets, one small aggregation."""
+    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))).first())
+
+
 def connected_components(nodes: DataFrame, links: DataFrame, node: str = "node", a: str = "a", b: str = "b") -> DataFrame:
     """``node, component`` (the smallest node it is linked with, over any number of links).
 
@@ -18,6 +23,7 @@ def connected_components(nodes: DataFrame, links: DataFrame, node: str = "node",
     """
     e = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     e = checkpointed(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    state = _fingerprint(e)
     while True:
         #: Large star: larger neighbours are linked with the smallest neighbour.
         both = e.union(e.select("v", "u").toDF("u", "v"))
@@ -28,8 +34,9 @@ def connected_components(nodes: DataFrame, links: DataFrame, node: str = "node",
         small = large.join(least, "u")
         new = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         new = checkpointed(new)
-        if new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty():
+        e, before = new, state
+        state = _fingerprint(e)
+        if state == before:
             break
-        e = new
     found = e.groupBy(F.col("u").alias(node)).agg(F.min("v").alias("component"))
     return nodes.select(node).distinct().join(found, node, "left").withColumn("component", F.coalesce("component", node))

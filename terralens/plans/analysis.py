@@ -40,8 +40,8 @@ def zone_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_similarity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight most similar gazetteer entries for each distinct place name."""
-    names = events(spark, sf_dir).select(similarity.name_key_column(F.col("place_name_raw")).alias("q")).distinct()
-    g = table(spark, sf_dir, "gazetteer").select("id", "population", F.array_join(F.array_distinct(F.array(*[similarity.name_key_column(F.col(c)) for c in ("name_uk", "name_ru", "name_en")])), " ").alias("blob"))
+    names = table(spark, sf_dir, "extracted_events").where("place_name_raw IS NOT NULL").select("place_name_raw").distinct().select(similarity.name_key(F.col("place_name_raw")).alias("q")).distinct()
+    g = table(spark, sf_dir, "gazetteer").select("id", "population", F.array_join(F.array_distinct(F.array(*[similarity.name_key(F.col(c)) for c in ("name_uk", "name_ru", "name_en")])), " ").alias("blob"))
     return similarity.similar(names.where("length(q) >= 3"), "q", g, "id", "blob", "population")
 
 
@@ -73,7 +73,7 @@ Q_BURSTS = "WITH n AS (SELECT source_id, CAST(floor(epoch(fetched_at)) AS BIGINT
 
 def nested_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by the oblast and country that their nested record names."""
-    return events(spark, sf_dir).groupBy(F.col("llm_raw.oblast").alias("oblast"), F.col("llm_raw.country").alias("country")).agg(F.count(F.lit(1)).alias("n"))
+    return events(spark, sf_dir, "llm_raw").groupBy(F.col("llm_raw.oblast").alias("oblast"), F.col("llm_raw.country").alias("country")).agg(F.count(F.lit(1)).alias("n"))
 
 
 Q_HINTS = f"WITH {EV} SELECT llm_raw.oblast AS oblast, llm_raw.country AS country, count(*) AS n FROM ev GROUP BY ALL"

@@ -83,7 +83,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind("event_zone", spatial.points_in_regions(events, zones, "id", "zone"), "id", "zone")
         .union(kind("report_zone", spatial.points_in_regions(reports, zones, "id", "zone"), "id", "zone"))
         .union(kind("claim_event", spatial.distance_join(claims.withColumnRenamed("id", "claim"), events, "claim", "id", 5000.0), "claim", "id"))
-        .union(kind("report_report", spatial.distance_join(reports.withColumnRenamed("id", "a"), reports.withColumnRenamed("id", "b"), "a", "b", 3000.0).where("a < b"), "a", "b"))
+        .union(kind("report_report", spatial.distance_join(reports.withColumnRenamed("id", "a"), reports.withColumnRenamed("id", "b"), "a", "b", 3000.0, ordered=True), "a", "b"))
         .distinct()
     )
 

@@ -19,6 +19,8 @@ FROM_S, TO_S = 1709251200, 1717200000  # 2024-03-01 and 2024-06-01
 NOW_S = 1735689600  # 2025-01-01
 BOX = (24.0, 45.5, 38.5, 50.5)
 DAY = 86400
+#: Places above which an item is a digest; tokens that one request may hold.
+DIGEST_PLACES, PACK_TOKENS = 5, 4000
 
 
 def sec(c: str | Column) -> Column:
@@ -44,19 +46,30 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "news_items").withColumn("fetched_s", sec("fetched_at"))
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events, exact duplicate rows once, with ``occurred_s``."""
-    return table(spark, sf_dir, "extracted_events").dropDuplicates(["id"]).withColumn("occurred_s", sec("occurred_at"))
+def events(spark: SparkSession, sf_dir: str, columns: str, where: str | Column | None = None) -> DataFrame:
+    """The given columns (``id`` and ``occurred_s`` among those there are) of the events that ``where`` lets pass, exact duplicate rows once.
+
+    Filter and projection come before the duplicates are dropped, so both reach the scan and only these columns are shuffled.
+    """
+    e = table(spark, sf_dir, "extracted_events")
+    if where is not None:
+        e = e.where(where)
+    names = columns.split()
+    return e.select("id", *[c for c in names if c not in ("id", "occurred_s")], *[sec("occurred_at").alias(c) for c in names if c == "occurred_s"]).distinct()
 
 
 EV = "ev AS (SELECT DISTINCT *, CAST(floor(epoch(occurred_at)) AS BIGINT) AS occurred_s FROM extracted_events)"
 NEWS = "nw AS (SELECT *, CAST(floor(epoch(fetched_at)) AS BIGINT) AS fetched_s FROM news_items)"
 
 
-def star(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visible events with their visible items and sources."""
+def star(spark: SparkSession, sf_dir: str, columns: str, where: str | Column = "visible") -> DataFrame:
+    """Visible events (their given columns, those that ``where`` lets pass) with their visible items and sources.
+
+    The list of sources is small by its file's size, which Spark checks before it broadcasts it.
+    """
     n = news(spark, sf_dir).where("visible").select(F.col("id").alias("news_item_id"), "source_id", "title", "lang", "fetched_s")
-    return events(spark, sf_dir).where("visible").join(n, "news_item_id").join(F.broadcast(sources(spark, sf_dir)), "source_id")
+    e = events(spark, sf_dir, f"news_item_id {columns}", where).join(n, "news_item_id")
+    return e.join(sources(spark, sf_dir), "source_id")
 
 
 STAR = f"{SRC}, {EV}, {NEWS}, star AS (SELECT ev.*, nw.source_id, nw.title, nw.lang, nw.fetched_s, src.source_name, src.perspective, src.side, src.tier FROM ev JOIN nw ON nw.id = ev.news_item_id JOIN src USING (source_id) WHERE ev.visible AND nw.visible)"
@@ -67,7 +80,9 @@ STAR = f"{SRC}, {EV}, {NEWS}, star AS (SELECT ev.*, nw.source_id, nw.title, nw.l
 
 def events_points_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest thousand placed events of a window, a box, some types and perspectives (the limit is the feature)."""
-    df = rel.where_all(star(spark, sf_dir), F.col("occurred_s").between(FROM_S, TO_S), F.col("event_type").isin("shelling", "deep_strike", "frontline_claim"), F.col("perspective").isin("ukrainian", "western"), rel.in_box(F.col("lon"), F.col("lat"), BOX))
+    at = F.col("occurred_at").between(F.timestamp_seconds(F.lit(FROM_S)), F.timestamp_seconds(F.lit(TO_S + 1))) & sec("occurred_at").between(FROM_S, TO_S)
+    kept = F.col("visible") & at & F.col("event_type").isin("shelling", "deep_strike", "frontline_claim") & rel.in_box(F.col("lon"), F.col("lat"), BOX)
+    df = rel.where_all(star(spark, sf_dir, "event_type lon lat occurred_s place_name_raw", kept), F.col("perspective").isin("ukrainian", "western"))
     out = df.select("id", "event_type", F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"), "occurred_s", "perspective", text.display(F.col("place_name_raw"), F.col("title")).alias("label"))
     return out.orderBy(F.desc("occurred_s"), F.desc("id")).limit(1000)
 
@@ -80,11 +95,11 @@ ORDER BY occurred_s DESC, id DESC LIMIT 1000"""
 def events_grid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by grid cell with conditional counts and the damped share of one side."""
     kinds = {f"n_{k}": F.col("event_type") == k for k in ("shelling", "deep_strike", "debunk")} | {f"n_{k}": F.col("side") == k for k in ("ukrainian", "russian", "western")}
-    cells = rel.grid_clusters(star(spark, sf_dir), 6, kinds)
+    cells = rel.grid_clusters(star(spark, sf_dir, "event_type lon lat", "visible AND lon IS NOT NULL"), 6, kinds)
     return cells.withColumn("lean", rel.damped_share(F.col("n_russian"), F.col("n_ukrainian")))
 
 
-Q_GRID = f"""WITH {STAR} SELECT CAST(round_even(lon / 0.25, 0) AS BIGINT) AS cx, CAST(round_even(lat / 0.25, 0) AS BIGINT) AS cy, count(*) AS n, round(avg(lon), 5) AS lon, round(avg(lat), 5) AS lat,
+Q_GRID = f"""WITH {STAR} SELECT CAST(round_even(lon / 0.25, 0) AS BIGINT) AS cx, CAST(round_even(lat / 0.25, 0) AS BIGINT) AS cy, count(*) AS n, floor((sum(CAST(round_even(lon * 1e6, 0) AS BIGINT)) * 2 + count(*) * 10) / (count(*) * 20)) / 1e5 AS lon, floor((sum(CAST(round_even(lat * 1e6, 0) AS BIGINT)) * 2 + count(*) * 10) / (count(*) * 20)) / 1e5 AS lat,
 round(min(lon) - 0.0625, 5) AS west, round(min(lat) - 0.0625, 5) AS south, round(max(lon) + 0.0625, 5) AS east, round(max(lat) + 0.0625, 5) AS north,
 count(*) FILTER (event_type = 'shelling') AS n_shelling, count(*) FILTER (event_type = 'deep_strike') AS n_deep_strike, count(*) FILTER (event_type = 'debunk') AS n_debunk,
 count(*) FILTER (side = 'ukrainian') AS n_ukrainian, count(*) FILTER (side = 'russian') AS n_russian, count(*) FILTER (side = 'western') AS n_western,
@@ -93,7 +108,7 @@ round((count(*) FILTER (side = 'russian') + 1) / CAST(count(*) FILTER (side = 'r
 
 def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     zones = table(spark, sf_dir, "blackout_zones").where("active").select(F.col("id").alias("zone"), "geom")
-    return spatial.points_in_regions(spatial.with_point(events(spark, sf_dir).select("id", "geom")), zones, "id", "zone").select("id").distinct()
+    return spatial.points_in_regions(spatial.with_point(events(spark, sf_dir, "geom", "geom IS NOT NULL")), zones, "id", "zone").select("id").distinct()
 
 
 MASK = """rings AS (SELECT id AS zone, unnest(regexp_extract_all(geom, '\\(([^()]+)\\)', 1)) AS ring FROM blackout_zones WHERE active),
@@ -104,7 +119,7 @@ masked AS (SELECT DISTINCT id FROM (SELECT ev.id, zone FROM ev JOIN edges ON (y1
 
 def events_blackout_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Placed events outside every active zone."""
-    return events(spark, sf_dir).where("lon IS NOT NULL").select("id", "event_type").join(_masked(spark, sf_dir), "id", "left_anti")
+    return events(spark, sf_dir, "event_type", "lon IS NOT NULL").join(_masked(spark, sf_dir), "id", "left_anti")
 
 
 Q_MASK = f"WITH {EV}, {MASK} SELECT id, event_type FROM ev WHERE lon IS NOT NULL AND id NOT IN (SELECT id FROM masked)"
@@ -112,9 +127,8 @@ Q_MASK = f"WITH {EV}, {MASK} SELECT id, event_type FROM ev WHERE lon IS NOT NULL
 
 def news_placement_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items, placed if a visible event of theirs has a point."""
-    placed = events(spark, sf_dir).where("visible AND lon IS NOT NULL").select(F.col("news_item_id").alias("id")).distinct()
-    n = news(spark, sf_dir).where("visible").select("id", "source_id")
-    return n.join(placed, "id", "left_semi").withColumn("placed", F.lit(True)).unionByName(n.join(placed, "id", "left_anti").withColumn("placed", F.lit(False)))
+    placed = table(spark, sf_dir, "extracted_events").where("visible AND lon IS NOT NULL").select(F.col("news_item_id").alias("id")).distinct().withColumn("placed", F.lit(True))
+    return news(spark, sf_dir).where("visible").select("id", "source_id").join(placed, "id", "left").withColumn("placed", F.coalesce("placed", F.lit(False)))
 
 
 Q_PLACED = f"WITH {EV} SELECT id, source_id, EXISTS (SELECT 1 FROM ev WHERE ev.news_item_id = n.id AND ev.visible AND lon IS NOT NULL) AS placed FROM news_items n WHERE visible"
@@ -122,7 +136,7 @@ Q_PLACED = f"WITH {EV} SELECT id, source_id, EXISTS (SELECT 1 FROM ev WHERE ev.n
 
 def news_blackout_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items left when those go whose placed events all lie in active zones; one aggregation instead of nested anti-joins."""
-    e = events(spark, sf_dir).where("visible AND lon IS NOT NULL").select("id", "news_item_id").join(_masked(spark, sf_dir).withColumn("m", F.lit(1)), "id", "left")
+    e = events(spark, sf_dir, "news_item_id", "visible AND lon IS NOT NULL").join(_masked(spark, sf_dir).withColumn("m", F.lit(1)), "id", "left")
     g = e.groupBy(F.col("news_item_id").alias("id")).agg(F.count(F.lit(1)).alias("n_placed"), F.count("m").alias("n_masked"))
     return news(spark, sf_dir).where("visible").select("id").join(g, "id", "left").fillna(0, ["n_placed", "n_masked"]).where("NOT (n_placed > 0 AND n_placed = n_masked)")
 
@@ -154,7 +168,7 @@ Q_ILIKE = "SELECT id, source_id FROM news_items WHERE coalesce(title ILIKE '%в
 
 def news_relevance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items that are processed and yet have no event at all."""
-    have = events(spark, sf_dir).select(F.col("news_item_id").alias("id")).distinct()
+    have = table(spark, sf_dir, "extracted_events").select(F.col("news_item_id").alias("id")).distinct()
     return news(spark, sf_dir).where(F.col("llm_status").isin("done", "skipped")).select("id", "llm_status").join(have, "id", "left_anti")
 
 
@@ -172,7 +186,7 @@ SELECT id, CASE WHEN length(t) > 240 THEN regexp_replace(substr(t, 1, 240), '\s+
 
 def news_events_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each visible item with its events in order of id as one string; none gives an empty one."""
-    e = events(spark, sf_dir).where("visible").groupBy(F.col("news_item_id").alias("id")).agg(
+    e = events(spark, sf_dir, "news_item_id event_type", "visible").groupBy(F.col("news_item_id").alias("id")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("id").alias("e"), F.coalesce("event_type", F.lit("")).alias("t")))), lambda x: F.concat_ws(":", x["e"].cast("string"), x["t"])), ",").alias("events"), F.count(F.lit(1)).alias("n_events"))
     return news(spark, sf_dir).where("visible").select("id").join(e, "id", "left").fillna("", ["events"]).fillna(0, ["n_events"])
 
@@ -205,7 +219,8 @@ Q_STORY = f"WITH {NEWS} SELECT source_id, external_id, arg_max(id, (fetched_s, i
 
 def timeline_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible events of the last 400 days by UTC day."""
-    e = events(spark, sf_dir).where(F.col("visible") & F.col("occurred_s").between(NOW_S - 400 * DAY, NOW_S))
+    since = F.col("occurred_at") >= F.timestamp_seconds(F.lit(NOW_S - 400 * DAY))
+    e = events(spark, sf_dir, "occurred_s", F.col("visible") & since).where(F.col("occurred_s") <= NOW_S)
     return e.groupBy(F.floor(F.col("occurred_s") / DAY).alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -214,8 +229,10 @@ Q_HIST = f"WITH {EV} SELECT occurred_s // {DAY} AS day, count(*) AS n FROM ev WH
 
 def timeline_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First percentile and last event time by type: an exact ordered-set aggregate."""
-    e = events(spark, sf_dir).where("visible AND occurred_s IS NOT NULL")
-    return e.groupBy("event_type").agg(F.expr("cast(percentile_disc(0.01) WITHIN GROUP (ORDER BY occurred_s) as bigint)").alias("first_s"), F.max("occurred_s").alias("last_s"), F.countDistinct("news_item_id").alias("items"))
+    e = events(spark, sf_dir, "news_item_id event_type occurred_s", "visible AND occurred_at IS NOT NULL")
+    first = rel.percentile_disc(e, ["event_type"], "occurred_s", 0.01).select(F.col("event_type").alias("t"), F.col("occurred_s").alias("first_s"))
+    g = e.groupBy("event_type").agg(F.max("occurred_s").alias("last_s"), F.countDistinct("news_item_id").alias("items"))
+    return g.join(first, F.col("event_type").eqNullSafe(F.col("t"))).select("event_type", "first_s", "last_s", "items")
 
 
 Q_BOUNDS = f"WITH {EV} SELECT event_type, CAST(percentile_disc(0.01) WITHIN GROUP (ORDER BY occurred_s) AS BIGINT) AS first_s, max(occurred_s) AS last_s, count(DISTINCT news_item_id) AS items FROM ev WHERE visible AND occurred_s IS NOT NULL GROUP BY 1"
@@ -267,7 +284,7 @@ Q_LASTK = f"WITH {NEWS} SELECT id, fetched_s // {DAY} AS day, CAST(row_number()
 
 
 def _pts(spark: SparkSession, sf_dir: str, name: str, key: str, *more: str) -> DataFrame:
-    return spatial.with_point(table(spark, sf_dir, name).select(F.col("id").alias(key), "geom", *more).dropDuplicates([key]))
+    return spatial.with_point(table(spark, sf_dir, name).select(F.col("id").alias(key), "geom", *more)).drop("geom").distinct()
 
 
 _ELL = "sqrt(pow({m} * radians({b}.lat - {a}.lat), 2) + pow({n} * cos(radians(({a}.lat + {b}.lat) / 2)) * radians({b}.lon - {a}.lon), 2))".replace("{m}", "(6378137.0 * (1 - 0.0066943799901413165) / pow(sqrt(1 - 0.0066943799901413165 * pow(sin(radians(({a}.lat + {b}.lat) / 2)), 2)), 3))").replace("{n}", "(6378137.0 / sqrt(1 - 0.0066943799901413165 * pow(sin(radians(({a}.lat + {b}.lat) / 2)), 2)))")
@@ -292,13 +309,20 @@ def nearest_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
 Q_NEAR = f"WITH {EV}, p AS (SELECT b.id AS event_id, a.id AS claim_id, {_ELL.format(a='b', b='a')} AS d, CASE a.status WHEN 'pending' THEN 1 WHEN 'confirmed' THEN 2 ELSE 3 END AS r FROM frontline_claims a JOIN ev b ON a.status IN ('pending','confirmed','reverted') AND abs(a.lat - b.lat) < 0.11 AND {_ELL.format(a='b', b='a')} <= 10000) SELECT event_id, claim_id, round(d, 2) AS dist_m FROM p QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY r, d, claim_id) = 1"
 
 
+def _near_in_time(spark: SparkSession, sf_dir: str, radius_m: float, slack_s: int) -> DataFrame:
+    """``event_id, report_id, type, dist_m``: type and a bucket of time are part of the join's key, so that only pairs of one type and about one time are compared."""
+    e = _pts(spark, sf_dir, "extracted_events", "event_id", "event_type", "occurred_at").withColumns({"at": sec("occurred_at"), "type": F.col("event_type")}).where("at IS NOT NULL AND type IS NOT NULL")
+    r = spatial.with_point(_reports(spark, sf_dir).select(F.col("id").alias("report_id"), "geom", F.col("event_type").alias("type"), "first_s", "last_s")).where("type IS NOT NULL AND first_s <= last_s")
+    bucket = max(slack_s, DAY)
+    spans = r.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("first_s") - slack_s) / bucket), F.floor((F.col("last_s") + slack_s) / bucket))))
+    pairs = spatial.distance_join(spans, e.withColumn("bucket", F.floor(F.col("at") / bucket)), "report_id", "event_id", radius_m, spatial.ellipsoid_m, ("type", "bucket"))
+    out = pairs.join(e.select("event_id", "at"), "event_id").join(r.select("report_id", "first_s", "last_s"), "report_id")
+    return out.where(F.col("at").between(F.col("first_s") - slack_s, F.col("last_s") + slack_s)).select("event_id", "report_id", "type", "dist_m")
+
+
 def space_time_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events and reports of one type within 30 km, the event at most 30 days outside the report's time span."""
-    e = _pts(spark, sf_dir, "extracted_events", "event_id", "event_type", "occurred_at").withColumn("at", sec("occurred_at"))
-    r = spatial.with_point(_reports(spark, sf_dir).select(F.col("id").alias("report_id"), "geom", F.col("event_type").alias("r_type"), "first_s", "last_s"))
-    pairs = spatial.distance_join(r, e, "report_id", "event_id", 30000.0, spatial.ellipsoid_m)
-    out = pairs.join(e.select("event_id", "event_type", "at"), "event_id").join(r.select("report_id", "r_type", "first_s", "last_s"), "report_id")
-    return out.where(f"event_type = r_type AND at BETWEEN first_s - {30 * DAY} AND last_s + {30 * DAY}").select("event_id", "report_id", "event_type")
+    return _near_in_time(spark, sf_dir, 30000.0, 30 * DAY).select("event_id", "report_id", F.col("type").alias("event_type")).distinct()
 
 
 Q_SPACE_TIME = f"WITH {EV}, {REP} SELECT e.id AS event_id, r.id AS report_id, e.event_type FROM ev e JOIN rep r ON e.event_type = r.event_type AND e.occurred_s BETWEEN r.first_s - {30 * DAY} AND r.last_s + {30 * DAY} AND {_ELL.format(a='r', b='e')} <= 30000"
@@ -317,18 +341,19 @@ Q_ASOF = "WITH c AS (SELECT id, direction, CAST(floor(epoch(updated_at)) AS BIGI
 # ---- members, places, packs
 
 
-def digest_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items that name more than five places."""
+def digest_items(spark: SparkSession, sf_dir: str, more_than: int = DIGEST_PLACES) -> DataFrame:
+    """Items that name more than ``more_than`` places."""
     place = F.coalesce(F.col("gazetteer_id").cast("string"), F.lower("place_name_raw"), F.col("id").cast("string"))
-    return events(spark, sf_dir).groupBy("news_item_id").agg(F.countDistinct(place).alias("places")).where("places > 2")
+    e = events(spark, sf_dir, "news_item_id gazetteer_id place_name_raw")
+    return e.groupBy("news_item_id").agg(F.countDistinct(place).alias("places")).where(F.col("places") > more_than)
 
 
-Q_DIGEST = f"WITH {EV} SELECT news_item_id, count(DISTINCT coalesce(CAST(gazetteer_id AS VARCHAR), lower(place_name_raw), CAST(id AS VARCHAR))) AS places FROM ev GROUP BY 1 HAVING places > 2"
+Q_DIGEST = f"WITH {EV} SELECT news_item_id, count(DISTINCT coalesce(CAST(gazetteer_id AS VARCHAR), lower(place_name_raw), CAST(id AS VARCHAR))) AS places FROM ev GROUP BY 1 HAVING places > {DIGEST_PLACES}"
 
 
 def perspective_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By gazetteer entry: the distinct sides that report it, sources, best tier and whether any event is a debunk."""
-    g = star(spark, sf_dir).where("gazetteer_id IS NOT NULL").groupBy("gazetteer_id").agg(
+    g = star(spark, sf_dir, "event_type gazetteer_id", "visible AND gazetteer_id IS NOT NULL").groupBy("gazetteer_id").agg(
         F.array_join(F.array_sort(F.collect_set("side")), "+").alias("sides"), F.countDistinct("source_id").alias("n_sources"), F.min("tier").alias("best_tier"), F.bool_or(F.col("event_type") == "debunk").alias("disputed"), F.array_join(F.array_sort(F.collect_set(F.col("tier").cast("string"))), ",").alias("tiers"))
     return g
 
@@ -338,7 +363,7 @@ Q_SETS = f"WITH {STAR} SELECT gazetteer_id, string_agg(DISTINCT side, '+' ORDER
 
 def modal_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place name most often typed for each gazetteer entry."""
-    return rel.modal(events(spark, sf_dir).where("gazetteer_id IS NOT NULL"), ["gazetteer_id"], "place_name_raw")
+    return rel.modal(events(spark, sf_dir, "gazetteer_id place_name_raw", "gazetteer_id IS NOT NULL AND place_name_raw IS NOT NULL"), ["gazetteer_id"], "place_name_raw")
 
 
 Q_MODAL = f"WITH {EV}, c AS (SELECT gazetteer_id, place_name_raw, count(*) AS n FROM ev WHERE gazetteer_id IS NOT NULL AND place_name_raw IS NOT NULL GROUP BY ALL) SELECT gazetteer_id, place_name_raw, n FROM c QUALIFY row_number() OVER (PARTITION BY gazetteer_id ORDER BY n DESC, place_name_raw) = 1"
@@ -346,7 +371,7 @@ Q_MODAL = f"WITH {EV}, c AS (SELECT gazetteer_id, place_name_raw, count(*) AS n
 
 def member_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to 12 events of each gazetteer entry, the sides in turn, best tier and newest first within a side."""
-    s = star(spark, sf_dir).where("gazetteer_id IS NOT NULL")
+    s = star(spark, sf_dir, "gazetteer_id occurred_s", "visible AND gazetteer_id IS NOT NULL").drop("title", "lang", "source_name")
     return rel.round_robin(s, ["gazetteer_id"], "side", [F.asc("tier"), F.desc_nulls_last("occurred_s"), F.desc("id")], 12).select("gazetteer_id", "id", "side", "turn", "pick")
 
 
@@ -356,26 +381,28 @@ Q_ROBIN = f"WITH {STAR}, t AS (SELECT gazetteer_id, id, side, CAST(row_number()
 def recent_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims whose newest event within 5 km (or creation, if none) is at most a week before the given instant."""
     c = _pts(spark, sf_dir, "frontline_claims", "claim_id", "created_at").withColumn("created_s", sec("created_at"))
-    e = _pts(spark, sf_dir, "extracted_events", "event_id", "occurred_at").withColumn("at", sec("occurred_at"))
-    newest = spatial.distance_join(c, e, "claim_id", "event_id", 5000.0, spatial.ellipsoid_m).join(e.select("event_id", "at"), "event_id").where(f"at <= {NOW_S}").groupBy("claim_id").agg(F.max("at").alias("newest_s"))
-    return c.select("claim_id", "created_s").join(newest, "claim_id", "left").withColumn("active_s", F.coalesce("newest_s", "created_s")).where(f"active_s >= {NOW_S - 7 * DAY}").select("claim_id", "active_s")
+    e = _pts(spark, sf_dir, "extracted_events", "event_id", "occurred_at").withColumn("at", sec("occurred_at")).where(f"at <= {NOW_S}")
+    #: Of the events at one place only the newest can decide, and places are what is compared.
+    spots = e.groupBy("x", "y").agg(F.max("at").alias("at"))
+    near = spatial.near_places(c.select("x", "y").distinct(), spots, 5000.0, spatial.ellipsoid_m).join(spots.withColumnsRenamed({"x": "x2", "y": "y2"}), ["x2", "y2"]).groupBy(F.col("x1").alias("x"), F.col("y1").alias("y")).agg(F.max("at").alias("newest_s"))
+    return c.select("claim_id", "created_s", "x", "y").join(near, ["x", "y"], "left").withColumn("active_s", F.coalesce("newest_s", "created_s")).where(f"active_s >= {NOW_S - 7 * DAY}").select("claim_id", "active_s")
 
 
 Q_RECENT = f"WITH {EV}, c AS (SELECT id, lon, lat, CAST(floor(epoch(created_at)) AS BIGINT) AS created_s FROM frontline_claims), p AS (SELECT a.id AS claim_id, max(b.occurred_s) AS newest_s FROM c a JOIN ev b ON abs(a.lat - b.lat) < 0.06 AND {_ELL.format(a='a', b='b')} <= 5000 AND b.occurred_s <= {NOW_S} GROUP BY 1) SELECT id AS claim_id, coalesce(newest_s, created_s) AS active_s FROM c LEFT JOIN p ON p.claim_id = c.id WHERE coalesce(newest_s, created_s) >= {NOW_S - 7 * DAY}"
 
 
-def token_prefix_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each source's newest items while their estimated tokens fit a budget of 400 a day."""
-    n = news(spark, sf_dir).withColumns({"day": F.floor(F.col("fetched_s") / DAY), "tokens": text.estimated_tokens(F.col("body"))})
-    return rel.prefix_pack(n, ["source_id", "day"], [F.desc("fetched_s"), F.desc("id")], F.col("tokens"), 400).select("id", "source_id", "day", "used", "position")
+def token_prefix_pack(spark: SparkSession, sf_dir: str, budget: int = PACK_TOKENS) -> DataFrame:
+    """Each source's newest items while their estimated tokens fit the budget of a day; a first item above it is granted the budget, at least 200."""
+    n = news(spark, sf_dir).select("id", "source_id", "fetched_s", F.floor(F.col("fetched_s") / DAY).alias("day"), text.estimated_tokens(F.col("body")).alias("tokens"))
+    return rel.prefix_pack(n, ["source_id", "day"], [F.desc("fetched_s"), F.desc("id")], F.col("tokens"), budget, 200).select("id", "source_id", "day", "used", "position", "granted")
 
 
-Q_PACK = f"WITH {NEWS}, t AS (SELECT id, source_id, fetched_s // {DAY} AS day, fetched_s, CASE WHEN length(coalesce(body, '')) > 0 THEN length(body) // 2 + 1 ELSE 0 END AS tokens FROM nw) SELECT id, source_id, day, CAST(sum(tokens) OVER w AS BIGINT) AS used, CAST(row_number() OVER w AS INTEGER) AS position FROM t WINDOW w AS (PARTITION BY source_id, day ORDER BY fetched_s DESC, id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) QUALIFY used <= 400 OR position = 1"
+Q_PACK = f"WITH {NEWS}, t AS (SELECT id, source_id, fetched_s // {DAY} AS day, fetched_s, CASE WHEN length(coalesce(body, '')) > 0 THEN length(body) // 2 + 1 ELSE 0 END AS tokens FROM nw) SELECT id, source_id, day, CAST(sum(tokens) OVER w AS BIGINT) AS used, CAST(row_number() OVER w AS INTEGER) AS position, CAST(CASE WHEN sum(tokens) OVER w > {PACK_TOKENS} THEN least(tokens, greatest({PACK_TOKENS}, 200)) ELSE tokens END AS BIGINT) AS granted FROM t WINDOW w AS (PARTITION BY source_id, day ORDER BY fetched_s DESC, id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) QUALIFY used <= {PACK_TOKENS} OR position = 1"
 
 
 def report_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bursts of events of one type at one gazetteer entry: a gap of more than a day opens a new one."""
-    e = events(spark, sf_dir).where("gazetteer_id IS NOT NULL AND occurred_s IS NOT NULL")
+    e = events(spark, sf_dir, "gazetteer_id event_type occurred_s", "gazetteer_id IS NOT NULL AND occurred_at IS NOT NULL")
     s = rel.sessions(e, ["gazetteer_id", "event_type"], "occurred_s", DAY)
     return s.groupBy("gazetteer_id", "event_type", "session").agg(F.count(F.lit(1)).alias("n"), F.min("occurred_s").alias("first_s"), F.max("occurred_s").alias("last_s"))
 
@@ -385,7 +412,7 @@ Q_SESSIONS = f"WITH {EV}, g AS (SELECT gazetteer_id, event_type, occurred_s, CAS
 
 def debunk_url_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Debunking events with the items whose address (slashes at its end aside) they name."""
-    e = events(spark, sf_dir).where("llm_raw.debunk_target IS NOT NULL").select(F.col("id").alias("event_id"), F.rtrim(F.col("llm_raw.debunk_target"), F.lit("/")).alias("u"))
+    e = table(spark, sf_dir, "extracted_events").where("llm_raw.debunk_target IS NOT NULL").select("id", "llm_raw.debunk_target").distinct().select(F.col("id").alias("event_id"), F.rtrim(F.col("debunk_target"), F.lit("/")).alias("u"))
     return e.join(news(spark, sf_dir).where("url IS NOT NULL").select(F.col("id").alias("item_id"), F.rtrim(F.col("url"), F.lit("/")).alias("u")), "u").select("event_id", "item_id")
 
 
@@ -420,8 +447,8 @@ def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return news(spark, sf_dir).where("body IS NOT NULL").select("id", text.headline(F.col("body")).alias("headline"))
 
 
-Q_HEADLINES = r"""WITH l AS (SELECT id, list_filter(list_transform(string_split(body, chr(10)), lambda x: regexp_replace(x, '^[\s\p{Z}\x0b\x{0085}]+|[\s\p{Z}\x0b\x{0085}]+$', '', 'g')), lambda x: regexp_matches(x, '[\p{L}\p{N}]')) AS ls FROM news_items WHERE body IS NOT NULL)
-SELECT id, substr(CASE WHEN len(ls) = 0 THEN '' ELSE list_reduce(ls, lambda a, x: CASE WHEN length(a) >= 24 THEN a ELSE a || ' ' || x END) END, 1, 200) AS headline FROM l"""
+Q_HEADLINES = r"""WITH l AS (SELECT id, body, list_filter(list_transform(string_split(body, chr(10)), lambda x: regexp_replace(x, '^[\s\p{Z}\x0b\x{0085}]+|[\s\p{Z}\x0b\x{0085}]+$', '', 'g')), lambda x: regexp_matches(x, '[\p{L}\p{N}]')) AS ls FROM news_items WHERE body IS NOT NULL)
+SELECT id, substr(CASE WHEN len(ls) = 0 THEN regexp_replace(regexp_replace(body, '[\s\p{Z}\x0b\x{0085}]+', ' ', 'g'), '^ | $', '', 'g') ELSE list_reduce(ls, lambda a, x: CASE WHEN length(a) >= 24 THEN a ELSE a || ' ' || x END) END, 1, 200) AS headline FROM l"""
 
 #: Word stems and phrases of the relevance filter.
 RELEVANCE = (
@@ -473,7 +500,7 @@ Q_DUE = f"WITH {SRC}, {NEWS}, l AS (SELECT source_id, max(fetched_s) AS last_s F
 
 def location_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first event of each item and place (name and rounded point)."""
-    e = events(spark, sf_dir).select("news_item_id", F.coalesce(F.lower(F.trim("place_name_raw")), F.lit("")).alias("name"), F.coalesce(F.rint(F.col("lat") * 1e5).cast("bigint"), F.lit(-1)).alias("y"), F.coalesce(F.rint(F.col("lon") * 1e5).cast("bigint"), F.lit(-1)).alias("x"), "id")
+    e = events(spark, sf_dir, "news_item_id place_name_raw lon lat").select("news_item_id", F.coalesce(F.lower(F.trim("place_name_raw")), F.lit("")).alias("name"), F.coalesce(F.rint(F.col("lat") * 1e5).cast("bigint"), F.lit(-1)).alias("y"), F.coalesce(F.rint(F.col("lon") * 1e5).cast("bigint"), F.lit(-1)).alias("x"), "id")
     return rel.first_per_key(e, ["news_item_id", "name", "y", "x"], ["id"]).select("news_item_id", "id")
 
 
