@@ -25,6 +25,8 @@ from terralens.operators.spatial import WGS84_A, WGS84_E2, region_edges
 TRAPEZOIDS = "tile bigint, x0 double, x1 double, lo0 double, lo1 double, hi0 double, hi1 double, layers array<string>"
 #: Coordinates are compared on a grid of so many decimals of a degree.
 DECIMALS = 9
+#: Corners of an outline nearer than this are one.
+SAME = 1e-7
 #: Edges of a tile above which it is split; a tile is halved so often at most.
 TILE_EDGES, MOST_HALVINGS = 2000, 12
 
@@ -226,13 +228,19 @@ def rings_of(trapezoids: pd.DataFrame) -> list[list[tuple[float, float]]]:
 
 
 def _straightened(ring: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """A closed ring without corners that lie on a straight line."""
-    pts = ring[:-1]
+    """A closed ring without repeated corners and those that lie on a straight line."""
+    pts: list[tuple[float, float]] = []
+    for p in ring[:-1]:
+        #: Two edges meet at a rounded longitude, so a corner may come twice, a hair apart.
+        if not pts or max(abs(p[0] - pts[-1][0]), abs(p[1] - pts[-1][1])) > SAME:
+            pts.append(p)
+    while len(pts) > 1 and max(abs(pts[0][0] - pts[-1][0]), abs(pts[0][1] - pts[-1][1])) <= SAME:
+        pts.pop()
     changed = True
     while changed and len(pts) > 3:
-        kept = []
+        kept: list[tuple[float, float]] = []
         for i, p in enumerate(pts):
-            a, b = (kept[-1] if kept else pts[i - 1]), pts[(i + 1) % len(pts)]
+            a, b = (kept[-1] if kept else pts[-1]), pts[(i + 1) % len(pts)]
             length = max(abs(b[0] - a[0]), abs(b[1] - a[1]), 1e-12)
             if abs((b[0] - a[0]) * (p[1] - a[1]) - (p[0] - a[0]) * (b[1] - a[1])) / length > 2 * 10.0**-DECIMALS:
                 kept.append(p)

@@ -86,3 +86,58 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in graph.connected_components(nodes, spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {i: (1 if i < 40 else 100 if i < 161 else 200 if i < 300 else 300) for i in got} and len(got) == 103
     assert graph.connected_components(nodes.limit(0), spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def shoelace(ring):
+    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring[:-1], ring[1:])) / 2
+
+
+def rings(wkt):
+    import re
+
+    return [[tuple(map(float, p.split())) for p in r.split(",")] for r in re.findall(r"\(([^()]+)\)", wkt)]
+
+
+def test_polygons_of_squares_with_a_hole_and_touching_corners(spark):
+    rows = [("a", box(0, 0, 2, 2)), ("a", box(1, 1, 3, 3)), ("a", box(5, 5, 6, 6)), ("a", box(6, 6, 7, 7)), ("h", "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 3 1, 3 3, 1 3, 1 1))")]
+    df = spark.createDataFrame(rows, "l string, geom string")
+    got = {}
+    for name in ("a", "h"):
+        t = O.overlay(df, "l").where(F.array_contains("layers", name)).drop("layers")
+        got[name] = [rings(r["geom"]) for r in O.polygons(t).collect()]
+    assert sorted(round(sum(map(shoelace, p)), 6) for p in got["a"]) == [1, 1, 7] and all(len(p) == 1 and len(p[0]) in (5, 9) for p in got["a"])
+    assert [sorted(round(shoelace(r), 6) for r in p) for p in got["h"]] == [[-4, 16]]
+    assert all(r[0] == r[-1] for p in got["a"] + got["h"] for r in p)
+
+
+def test_polygons_keep_the_area_of_random_overlays(spark):
+    rng = random.Random(3)
+
+    def star(cx, cy, n=40):
+        pts = [(cx + r * math.cos(2 * math.pi * k / n), cy + r * math.sin(2 * math.pi * k / n)) for k in range(n) for r in [rng.uniform(0.3, 1.1)]]
+        return "POLYGON ((" + ", ".join(f"{x!r} {y!r}" for x, y in pts + pts[:1]) + "))"
+
+    df = spark.createDataFrame([("a", star(30, 48)), ("b", star(30.5, 48.2)), ("a", star(31, 48.9))], "l string, geom string")
+    t = O.overlay(df, "l", tile_edges=20)
+    for wanted in (F.size("layers") == 2, F.size("layers") == 1, F.lit(True)):
+        some = t.where(wanted).drop("layers")
+        plain = some.agg(F.sum((F.col("x1") - F.col("x0")) * (F.col("hi0") - F.col("lo0") + F.col("hi1") - F.col("lo1")) / 2)).first()[0]
+        found = O.polygons(some).collect()
+        assert sum(shoelace(r) for p in found for r in rings(p["geom"])) == pytest.approx(plain, rel=1e-6)
+        #: Valid: read again and laid over, the pieces cover the same area.
+        again = O.overlay(spark.createDataFrame([("x", p["geom"]) for p in found], "l string, geom string"), "l")
+        assert again.agg(F.sum((F.col("x1") - F.col("x0")) * (F.col("hi0") - F.col("lo0") + F.col("hi1") - F.col("lo1")) / 2)).first()[0] == pytest.approx(plain, rel=1e-6)
+
+
+def test_splitting_dense_tiles_changes_nothing(spark):
+    rows = [("a", box(30, 48, 30.4, 48.4)), ("b", box(30.1, 48.1, 30.7, 48.2))]
+    assert plane(spark, rows, tile_edges=1) == {k: pytest.approx(v) for k, v in plane(spark, rows).items()}
+
+
+def test_the_same_polygon_twice_counts_once(spark):
+    assert plane(spark, [("a", box(0, 0, 1, 1))] * 2) == {("a",): pytest.approx(1)}
+
+
+def test_geojson(spark):
+    cases = {"POINT (37.1234567 48)": '{"type":"Point","coordinates":[37.12346,48.0]}', "SRID=4326;POINT(1 2)": '{"type":"Point","coordinates":[1.0,2.0]}', "POLYGON ((0 0, 1 0, 1 1, 0 0), (0.1 0.1, 0.2 0.1, 0.2 0.2, 0.1 0.1))": '{"type":"Polygon","coordinates":[[[0.0,0.0],[1.0,0.0],[1.0,1.0],[0.0,0.0]],[[0.1,0.1],[0.2,0.1],[0.2,0.2],[0.1,0.1]]]}', "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 5, 6 5, 6 6, 5 5)))": '{"type":"MultiPolygon","coordinates":[[[[0.0,0.0],[1.0,0.0],[1.0,1.0],[0.0,0.0]]],[[[5.0,5.0],[6.0,5.0],[6.0,6.0],[5.0,5.0]]]]}', "LINESTRING (0 0, 1 1)": None, "": None, None: None, "POINT EMPTY": None}
+    assert {r[0]: r[1] for r in spark.createDataFrame([(k,) for k in cases], "g string").select("g", O.geojson(F.col("g"))).collect()} == cases
