@@ -53,10 +53,9 @@ def similar_place(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by UTC day and type, counted by a stream over the table's files."""
-    name = f"daily_{uuid.uuid4().hex[:8]}"
     stream = streams.table_stream(spark, f"{sf_dir}/extracted_events.parquet")
-    streams.run_once(streams.daily_counts(stream, "occurred_at", ("event_type",), "3650 days"), name, "complete", f"{scratch(spark)}/{name}")
-    return spark.table(name).select(F.floor(F.unix_seconds("day") / DAY).alias("day"), "event_type", "n")
+    counts = streams.run_once(streams.daily_counts(stream, "occurred_at", ("event_type",), "3650 days"), "complete", f"{scratch(spark)}/daily_{uuid.uuid4().hex[:12]}")
+    return counts.select(F.floor(F.unix_seconds("day") / DAY).alias("day"), "event_type", "n")
 
 
 Q_STREAM = f"SELECT CAST(floor(epoch(occurred_at)) AS BIGINT) // {DAY} AS day, event_type, count(*) AS n FROM extracted_events WHERE occurred_at IS NOT NULL GROUP BY ALL"

@@ -3,30 +3,40 @@
 ``spark.dataSource.register(FeedSource)``, then ``spark.read.format("terralens_feed").load(path)`` or
 ``spark.readStream.format("terralens_feed").load(path)``. A stream's offset holds each file's state (size and time of
 change); a poll in which none has changed gives no rows, and a changed file is read again as a whole, so that the
-insert-if-absent sink decides what is new.
+insert-if-absent sink decides what is new. The driver only lists files; each is read and parsed by the task of its
+partition. Paths may be local or those of any file system that ``pyarrow.fs`` knows (``hdfs://``, ``s3://``, ``gs://``).
 """
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import json
-import os
+import posixpath
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyarrow import fs
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from terralens.sources.files import ITEM, feed_instant, parse_feed
 
 FIELDS = ("external_id", "title", "body", "url", "published")
 
 
-def _paths(options) -> list[str]:
-    path = options.get("path", "")
-    return sorted(glob.glob(os.path.join(path, "*") if os.path.isdir(path) else path))
+def _listed(options) -> tuple[fs.FileSystem, list[fs.FileInfo]]:
+    """The files of a folder, of a pattern in one, or the one file, by path."""
+    system, path = fs.FileSystem.from_uri(options.get("path", "")) if "://" in options.get("path", "") else (fs.LocalFileSystem(), options.get("path", ""))
+    info = system.get_file_info(path)
+    if info.type == fs.FileType.File:
+        return system, [info]
+    folder, name = (path, "*") if info.type == fs.FileType.Directory else posixpath.split(path)
+    found = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+    return system, sorted((f for f in found if f.type == fs.FileType.File and fnmatch.fnmatch(f.base_name, name)), key=lambda f: f.path)
 
 
-def _rows(path: str) -> Iterator[tuple]:
-    with open(path, "rb") as f:
+def _rows(options, path: str) -> Iterator[tuple]:
+    uri = options.get("path", "")
+    system = fs.FileSystem.from_uri(uri)[0] if "://" in uri else fs.LocalFileSystem()
+    with system.open_input_stream(path) as f:
         for item in parse_feed(f.read()):
             yield (path, *(item[k] for k in FIELDS), feed_instant(item["published"]))
 
@@ -42,36 +52,33 @@ class FeedReader(DataSourceReader):
     """All files once."""
 
     def __init__(self, options):
-        self.paths = _paths(options)
+        self.options = options
 
     def partitions(self):
-        return [FilePartition(p) for p in self.paths]
+        return [FilePartition(f.path) for f in _listed(self.options)[1]]
 
     def read(self, partition):
-        yield from _rows(partition.path)
+        yield from _rows(self.options, partition.path)
 
 
-class FeedStreamReader(SimpleDataSourceStreamReader):
-    """Files that changed since the last offset."""
+class FeedStreamReader(DataSourceStreamReader):
+    """Files that changed since the last offset, a partition each."""
 
     def __init__(self, options):
         self.options = options
 
-    def _state(self) -> dict:
-        return {p: f"{os.stat(p).st_size}:{os.stat(p).st_mtime_ns}" for p in _paths(self.options)}
-
     def initialOffset(self):
         return {"files": "{}"}
 
-    def read(self, start):
-        now, before = self._state(), json.loads(start["files"])
-        changed = [p for p, s in now.items() if before.get(p) != s]
-        rows = [r for p in changed for r in _rows(p)]
-        return iter(rows), ({"files": json.dumps(now, sort_keys=True)} if changed else start)
+    def latestOffset(self):
+        return {"files": json.dumps({f.path: f"{f.size}:{f.mtime_ns}" for f in _listed(self.options)[1]}, sort_keys=True)}
 
-    def readBetweenOffsets(self, start, end):
+    def partitions(self, start, end):
         before, now = json.loads(start["files"]), json.loads(end["files"])
-        return iter([r for p, s in now.items() if before.get(p) != s for r in _rows(p)])
+        return [FilePartition(p) for p, s in sorted(now.items()) if before.get(p) != s]
+
+    def read(self, partition):
+        yield from _rows(self.options, partition.path)
 
 
 class FeedSource(DataSource):
@@ -87,5 +94,5 @@ class FeedSource(DataSource):
     def reader(self, schema):
         return FeedReader(self.options)
 
-    def simpleStreamReader(self, schema):
+    def streamReader(self, schema):
         return FeedStreamReader(self.options)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralens.functions import text
+from terralens.io import ship_package
 
 ITEM = "path string, external_id string, title string, body string, url string, published string"
 
@@ -165,6 +166,7 @@ def _parsed(spark: SparkSession, path: str, parse) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame([{"path": p, **item} for p, content in zip(pdf["path"], pdf["content"]) for item in parse(content)], columns=names)
 
+    ship_package(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, ITEM)
 
 
@@ -186,10 +188,12 @@ def newer_posts(posts: DataFrame, last_number: int | None) -> DataFrame:
     return posts if last_number is None else posts.where(F.coalesce(number, F.lit(0)) > last_number)
 
 
+#: Codes of populated places, and the one of districts that are places of their own.
+PLACE_CODES = ("PPL", "PPLA", "PPLA2", "PPLA3", "PPLA4", "PPLA5", "PPLC", "PPLG", "PPLS", "PPLL", "PPLF", "PPLX")
 PLACE_FIELDS = "geonameid name asciiname alternatenames lat lon fclass fcode country cc2 admin1 admin2 admin3 admin4 population elevation dem tz modified".split()
 
 
-def places_zip(spark: SparkSession, path: str, codes: tuple[str, ...] = ("PPL", "PPLA", "PPLA2", "PPLA3", "PPLA4", "PPLA5", "PPLC", "PPLG", "PPLS", "PPLL", "PPLF", "PPLX")) -> DataFrame:
+def places_zip(spark: SparkSession, path: str, codes: tuple[str, ...] = PLACE_CODES) -> DataFrame:
     """Populated places of a zipped tab-separated list; lines of another number of fields are dropped."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,6 +205,7 @@ def places_zip(spark: SparkSession, path: str, codes: tuple[str, ...] = ("PPL",
                             rows = [line.rstrip("\n").split("\t") for line in io.TextIOWrapper(z.open(name), "utf-8")]
                             yield pd.DataFrame([r for r in rows if len(r) == len(PLACE_FIELDS)], columns=PLACE_FIELDS)
 
+    ship_package(spark)
     df = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, ", ".join(f"{f} string" for f in PLACE_FIELDS))
     return df.where(F.col("fcode").isin(*codes)).withColumns({"lat": F.col("lat").try_cast("double"), "lon": F.col("lon").try_cast("double"), "population": F.col("population").try_cast("bigint")})
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,16 +29,22 @@ def _fs(spark: SparkSession, path: str):
 
 
 def write_version(df: DataFrame, root: str) -> int:
-    """Write ``df`` as the next version of the table at ``root``; a version counts once its manifest is renamed in place."""
+    """Write ``df`` as the next version of the table at ``root``; a version counts once its manifest is renamed in place.
+
+    Each writer has a folder of its own, which the manifest names, so two writers of one version don't touch each
+    other's data: one wins, the other gets an error.
+    """
     spark = df.sparkSession
     version = (current_version(spark, root) or 0) + 1
-    df.write.mode("overwrite").parquet(f"{root}/v={version}")
-    fs, tmp = _fs(spark, f"{root}/_current.{version}.tmp")
+    folder = f"v={version}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(f"{root}/{folder}")
+    fs, tmp = _fs(spark, f"{root}/_writing.{folder}.tmp")
     out = fs.create(tmp, True)
-    out.write(bytearray(json.dumps({"version": version}).encode()))
+    out.write(bytearray(json.dumps({"version": version, "folder": folder}).encode()))
     out.close()
     _, final = _fs(spark, f"{root}/_manifest.{version:012d}.json")
-    if not fs.rename(tmp, final):
+    if fs.exists(final) or not fs.rename(tmp, final):
+        fs.delete(tmp, False)
         raise OSError(f"version {version} of {root} was written by another")
     return version
 
@@ -53,7 +60,20 @@ def current_version(spark: SparkSession, root: str) -> int | None:
 
 def read_version(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
     """A version of the table at ``root``, the newest by default."""
-    return spark.read.parquet(f"{root}/v={version or current_version(spark, root)}")
+    number = version or current_version(spark, root)
+    if number is None:
+        raise FileNotFoundError(f"{root} has no version")
+    fs, final = _fs(spark, f"{root}/_manifest.{number:012d}.json")
+    stream = fs.open(final)
+    manifest = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    stream.close()
+    return spark.read.parquet(f"{root}/{manifest['folder']}")
+
+
+def append_audit(spark: SparkSession, path: str, actor: str, action: str, target: str, detail: dict | None = None) -> None:
+    """Append one line to the audit trail at ``path``: who did what to what, and when."""
+    row = spark.createDataFrame([(actor, action, target, json.dumps(detail or {}, sort_keys=True))], "actor string, action string, target string, detail string")
+    row.withColumn("at", F.current_timestamp()).write.mode("append").parquet(path)
 
 
 def params_key(**params: object) -> str:

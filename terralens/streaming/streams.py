@@ -7,7 +7,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from terralens.io import ship_package
+from terralens.sources.sinks import _fs
 
 
 def table_stream(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
@@ -53,14 +56,31 @@ def source_health(stream: DataFrame, degraded_at: int = 5, dead_at: int = 20) ->
         status = "dead" if failures >= dead_at else "degraded" if failures >= degraded_at or empty >= degraded_at else "ok"
         yield pd.DataFrame({"source_id": [key[0]], "failures": [failures], "empty": [empty], "status": [status], "seen": [seen]})
 
+    ship_package(stream.sparkSession)
     return stream.groupBy("source_id").applyInPandasWithState(step, HEALTH, "failures int, empty int, seen bigint", "update", "NoTimeout")
 
 
-def run_once(df: DataFrame, name: str, mode: str, checkpoint: str) -> StreamingQuery:
-    """Run a stream over all input there is into the in-memory table ``name``."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return q
+def run_once(df: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Run a stream over all input there is; its result, from files under ``folder`` (shared by all executors).
+
+    In ``complete`` mode every trigger's result replaces the last, in ``append`` mode the triggers' results add up. A trigger
+    that is run again after a failure writes the same numbered folder again.
+    """
+    spark = df.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/trigger={number:09d}")
+
+    query = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    files, path = _fs(spark, f"{folder}/out")
+    if not files.exists(path):
+        return spark.createDataFrame([], df.schema)
+    out = spark.read.schema(StructType([*df.schema.fields, StructField("trigger", IntegerType())])).option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+    if mode == "complete":
+        last = out.agg(F.max("trigger")).first()[0]
+        out = out.where(F.col("trigger") == last)
+    return out.drop("trigger")
 
 
 def each_batch(df: DataFrame, do: Callable[[DataFrame, int], None], checkpoint: str) -> None:

@@ -75,6 +75,11 @@ def test_sinks(spark, tmp_path):
     root = str(tmp_path / "table")
     assert sinks.current_version(spark, root) is None
     assert (sinks.write_version(df, root), sinks.write_version(df.limit(1), root)) == (1, 2)
+    with pytest.raises(FileNotFoundError):
+        sinks.read_version(spark, root + "-none")
+    for _ in range(2):
+        sinks.append_audit(spark, f"{root}-audit", "me", "merge", "report:1", {"b": 1, "a": None})
+    assert [r["detail"] for r in spark.read.parquet(f"{root}-audit").collect()] == ['{"a": null, "b": 1}'] * 2
     assert sinks.read_version(spark, root).count() == 1 and sinks.read_version(spark, root, 1).count() == 3
     parts = str(tmp_path / "parts")
     sinks.replace_partitions(df, parts, ["k"])

@@ -16,25 +16,29 @@ def _table(spark, path, n=200):
 def test_daily_counts_equal_batch(spark, tmp_path):
     batch = _table(spark, str(tmp_path / "t"))
     stream = St.table_stream(spark, str(tmp_path / "t"), 1000)
-    St.run_once(St.daily_counts(stream, "at", ("kind",), "30 days"), "daily", "complete", str(tmp_path / "c"))
-    got = {(r["day"], r["kind"], r["n"]) for r in spark.table("daily").collect()}
+    counts = St.run_once(St.daily_counts(stream, "at", ("kind",), "30 days"), "complete", str(tmp_path / "c"))
+    got = {(r["day"], r["kind"], r["n"]) for r in counts.collect()}
     assert got == {(r["day"], r["kind"], r["n"]) for r in batch.groupBy(F.date_trunc("day", "at").alias("day"), "kind").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 def test_first_seen_and_sessions(spark, tmp_path):
     _table(spark, str(tmp_path / "t"))
     stream = St.table_stream(spark, str(tmp_path / "t"), 1000)
-    St.run_once(St.first_seen(stream, "id", "at", "30 days"), "seen", "append", str(tmp_path / "c1"))
-    assert spark.table("seen").count() == 50
-    St.run_once(St.sessions(stream, "at", ("kind",), "5 hours", "1 hour"), "bursts", "complete", str(tmp_path / "c2"))
-    assert {(r["kind"], r["n"]) for r in spark.table("bursts").collect()} == {("t0", 67), ("t1", 67), ("t2", 66)}
+    assert St.run_once(St.first_seen(stream, "id", "at", "30 days"), "append", str(tmp_path / "c1")).count() == 50
+    bursts = St.run_once(St.sessions(stream, "at", ("kind",), "5 hours", "1 hour"), "complete", str(tmp_path / "c2"))
+    assert {(r["kind"], r["n"]) for r in bursts.collect()} == {("t0", 67), ("t1", 67), ("t2", 66)}
+
+
+def test_a_stream_without_input(spark, tmp_path):
+    spark.createDataFrame([], "id bigint, kind string, at timestamp").write.parquet(str(tmp_path / "t"))
+    assert St.run_once(St.daily_counts(St.table_stream(spark, str(tmp_path / "t")), "at", ("kind",)), "complete", str(tmp_path / "c")).count() == 0
 
 
 def test_health(spark, tmp_path):
     polls = [(1, False, 0)] * 6 + [(2, True, 0)] * 5 + [(3, False, 0)] * 25 + [(4, True, 3)]
     spark.createDataFrame(polls, "source_id int, ok boolean, items int").coalesce(1).write.parquet(str(tmp_path / "p"))
-    St.run_once(St.source_health(St.table_stream(spark, str(tmp_path / "p"))), "health", "update", str(tmp_path / "c"))
-    assert {(r["source_id"], r["status"]) for r in spark.table("health").collect()} == {(1, "degraded"), (2, "degraded"), (3, "dead"), (4, "ok")}
+    health = St.run_once(St.source_health(St.table_stream(spark, str(tmp_path / "p"))), "update", str(tmp_path / "c"))
+    assert {(r["source_id"], r["status"]) for r in health.collect()} == {(1, "degraded"), (2, "degraded"), (3, "dead"), (4, "ok")}
 
 
 def test_batches_are_handed_on(spark, tmp_path):
