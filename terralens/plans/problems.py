@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terralens.io import table
 from terralens.operators import late, spatial, stamps
+from terralens.plans.stamps_sql import P2_SQL, P4_ALL_SQL, P4_SQL
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(~F.col("raw").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$")).select("tbl", "row_key", stamps.as_utc(F.col("sec")).alias("utc")).distinct()
 
 
+def p2_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By table: stamps with so many readings, of them open ones, and how often the path took another than the cheapest."""
+    found = stamps.normalise_stamps(
+        stamps.news_stamps(table(spark, sf_dir, "news_items"), table(spark, sf_dir, "source_clock"))
+        .unionByName(stamps.geoconfirmed_stamps(table(spark, sf_dir, "geoconfirmed_head")))
+        .unionByName(stamps.warspotting_stamps(table(spark, sf_dir, "warspotting_recent")))
+    )
+    return found.groupBy("tbl", "readings", "open").agg(F.count(F.lit(1)).alias("stamps"), F.count_if("moved").alias("moved"))
+
+
 def _event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, event_type, event_s, arrival_s`` of ``extracted_events``; exact duplicate rows count once."""
     news = table(spark, sf_dir, "news_items")
@@ -105,5 +116,5 @@ UNION SELECT 'claim_event', a.id, b.id FROM pts a JOIN pts b ON a.t = 'c' AND b.
 UNION SELECT 'report_report', a.id, b.id FROM pts a JOIN pts b ON a.t = 'r' AND b.t = 'r' AND a.id < b.id AND b.y BETWEEN a.y - 0.04 AND a.y + 0.04 AND {_D.format(a="a", b="b")} <= 3000
 """
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_revisions": p4_revisions, "p4_all_revisions": p4_all_revisions, "p7_found": p7_found}
-ORACLES = {"p4_revisions": P4_REVISIONS_SQL, "p7_found": P7_SQL}
+QUERIES = {"p2_found": p2_found, "p2_readings": p2_readings, "p4_found": p4_found, "p4_revisions": p4_revisions, "p4_all_revisions": p4_all_revisions, "p7_found": p7_found}
+ORACLES = {"p2_found": P2_SQL, "p4_found": P4_SQL, "p4_revisions": P4_REVISIONS_SQL, "p4_all_revisions": P4_ALL_SQL, "p7_found": P7_SQL}
