@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terralens.functions.text import TRANSLITERATION
 from terralens.io import ship_package
 from terralens.llm.langid import plain
 
@@ -62,10 +63,9 @@ REGION_WORDS = r"(?:область|області|обл\.?|області|об
 #: Sounds of the Cyrillic letters in a common spelling of the languages at hand.
 SOUNDS = dict(zip("абвгґдежзийклмнопрстуфхцчшыіїэ", "abvhhdežziiklmnoprstufxcčšiiie")) | {"щ": "šč", "ю": "iu", "я": "ia", "є": "ie", "ё": "e", "ь": "", "ъ": ""}
 LATIN_SOUNDS = [("shch", "šč"), ("zh", "ž"), ("kh", "x"), ("ts", "c"), ("ch", "č"), ("sh", "š"), ("g", "h"), ("y", "i")]
-#: Letters of the usual transliterations.
-TO_LATIN = dict(zip("абвдезклмнопрстуф", "abvdezklmnoprstuf")) | {"ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ю": "iu", "я": "ia", "ь": "", "ъ": "", "'": "", "-": "-", " ": " "}
-UK_LATIN = TO_LATIN | {"г": "h", "ґ": "g", "и": "y", "і": "i", "ї": "i", "й": "i", "є": "ie"}
-RU_LATIN = TO_LATIN | {"г": "g", "и": "i", "й": "i", "ы": "y", "э": "e", "ё": "e"}
+#: The transliteration of Ukrainian names, and of Russian ones where it differs.
+UK_LATIN = TRANSLITERATION
+RU_LATIN = TRANSLITERATION | {"г": "g", "и": "i"}
 #: Endings of place names and of adjectives, with those of their other cases.
 UK_CASES = {
     "ське": "ському ського ським ськім", "цьке": "цькому цького цьким", "піль": "полі поля полю полем", "ичі": "ичах ичів ичам ичами", "ка": "ці ки ку кою", "ця": "ці цю цею", "ів": "ові ова ову овом ове",

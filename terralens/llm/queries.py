@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terralens.io import checkpointed, table
 from terralens.llm import boilerplate, langid, leakage, mixing, mojibake, places, visual
 from terralens.operators import stamps
+from terralens.plans.stamps_sql import STAMPS
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,5 +174,12 @@ f AS (SELECT source_id, line FROM x JOIN t USING (source_id) GROUP BY source_id,
 k AS (SELECT n.id, coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (f.line IS NULL), '') AS clean_body, CAST(count(f.line) AS INTEGER) AS lines_removed FROM n LEFT JOIN f USING (source_id, line) GROUP BY n.id)
 SELECT id, clean_body, coalesce(lines_removed, 0) AS lines_removed FROM news_items LEFT JOIN k USING (id)"""
 
+#: Days of publication where the stamp names an instant, else of arrival.
+_DATED = r"(SELECT n.* REPLACE (coalesce(to_timestamp(i.sec), n.fetched_at) AS fetched_at) FROM news_items n LEFT JOIN instants i ON i.tbl = 'news_items' AND i.row_key = CAST(n.id AS VARCHAR))"
+P6_CLEAN_PUBLISHED_SQL = P6_CLEAN_SQL.replace("WITH l AS", f"WITH {STAMPS}, published AS {_DATED}, l AS", 1).replace("AS raw FROM news_items WHERE body", "AS raw FROM published WHERE body", 1)
+P6_LINES_SQL = P6_CLEAN_PUBLISHED_SQL[: P6_CLEAN_PUBLISHED_SQL.index("f AS (SELECT")] + r"""f AS (SELECT source_id, line, CAST(sum(copies) AS BIGINT) AS rows, count(*) AS clusters, count(DISTINCT day) AS days, total AS source_rows FROM x JOIN t USING (source_id) GROUP BY source_id, line, total HAVING sum(copies) >= 4 AND sum(copies) >= 0.08 * total),
+w AS (SELECT source_id, line, min(trim(raw, ' ')) AS line_text FROM n GROUP BY ALL)
+SELECT source_id, line_text, rows, clusters, days, source_rows, clusters >= 2 AND days >= 2 AS boilerplate FROM f JOIN w USING (source_id, line)"""
+
 QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p8_found": p8_found, "p8_items": p8_items, "p8_contained": p8_contained, "p10_found": p10_found, "p10_restored": p10_restored, "p1_found": p1_found, "p1_segments": p1_segments, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_clean": p6_clean, "p6_lines": p6_lines, "p6_clean_published": p6_clean_published}
-ORACLES = {"p6_clean": P6_CLEAN_SQL, "p5_found": P5_SQL, "p8_found": P8_SQL, "p8_items": P8_ITEMS_SQL, "p6_found": P6_SQL}
+ORACLES = {"p6_clean": P6_CLEAN_SQL, "p6_clean_published": P6_CLEAN_PUBLISHED_SQL, "p6_lines": P6_LINES_SQL, "p5_found": P5_SQL, "p8_found": P8_SQL, "p8_items": P8_ITEMS_SQL, "p6_found": P6_SQL}
