@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import html.parser
 import io
+import re
 import zipfile
 from collections.abc import Iterator
+from datetime import date, timedelta
 from email.utils import parsedate_to_datetime
 from xml.etree import ElementTree
 
@@ -46,6 +48,21 @@ def geolocated_csv(spark: SparkSession, path: str, required: tuple[str, ...] = (
     return df.withColumns({"lat": F.col("Latitude").try_cast("double"), "lon": F.col("Longitude").try_cast("double"), "published_at": date(F.nullif(F.col("Date"), F.lit("")))}).where("lat IS NOT NULL AND lon IS NOT NULL")
 
 
+def geolocated_items(df: DataFrame) -> DataFrame:
+    """Rows of ``geolocated_csv`` as items: ``external_id, title, body, url, lat, lon, published_at``; titles are cut at 200 characters."""
+    text_of = lambda *c: F.concat_ws(" — ", *[F.nullif(F.col(x), F.lit("")) for x in c if x in df.columns])
+    url = F.coalesce(*[F.nullif(F.col(x), F.lit("")) for x in ("Geolocation", "Source") if x in df.columns], F.lit(None).cast("string"))
+    return df.select(F.col("Id").alias("external_id"), F.substring(F.coalesce(F.nullif(text_of("Name"), F.lit("")), F.col("Id")), 1, 200).alias("title"), text_of("Description", "Equipment", "Units").alias("body"), url.alias("url"), "lat", "lon", "published_at")
+
+
+def complete_export(spark: SparkSession, path: str, at_least: int = 1000) -> str:
+    """``path``, if the files there hold at least so many bytes; a smaller export is an error page and raises ValueError."""
+    size = spark.read.format("binaryFile").load(path).select("length").agg(F.sum("length")).first()[0] or 0
+    if size < at_least:
+        raise ValueError(f"{path} holds {size} bytes only")
+    return path
+
+
 def recent(df: DataFrame, when: str, since: Column) -> DataFrame:
     """Rows since an instant; rows without a date stay."""
     return df.where(F.col(when).isNull() | (F.col(when) >= since))
@@ -54,12 +71,13 @@ def recent(df: DataFrame, when: str, since: Column) -> DataFrame:
 LOSSES = "losses array<struct<id bigint, type string, model string, status string, lost_by string, date string, nearest_location string, geo string, unit string, tags string>>"
 
 
-def losses_json(spark: SparkSession, path: str) -> DataFrame:
+def losses_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per entry of ``losses`` with ``lat, lon, tag_list, title``; entries without ``lat,lon`` in ``geo`` are dropped.
 
     ``tags`` may be a list or a string with commas.
     """
-    df = spark.read.schema(LOSSES).json(path, multiLine=True).select(F.explode("losses").alias("l")).select("l.*")
+    read = spark.read.schema(LOSSES).json(path, multiLine=True) if path else spark.createDataFrame([], LOSSES)
+    df = read.select(F.explode("losses").alias("l")).select("l.*")
     geo = F.split(F.trim("geo"), r"\s*,\s*", 2)
     tags = F.coalesce(F.from_json("tags", "array<string>"), F.split("tags", ","))
     tags = F.filter(F.transform(F.coalesce(tags, F.array()), lambda t: F.trim(t)), lambda t: t != "")
@@ -68,6 +86,18 @@ def losses_json(spark: SparkSession, path: str) -> DataFrame:
     return df.where("lat IS NOT NULL AND lon IS NOT NULL")
 
 
+def losses_by_date(spark: SparkSession, pattern: str, last_day: str, days: int = 7) -> DataFrame:
+    """``losses_json`` of the files of the ``days`` days up to ``last_day``; ``pattern`` holds ``{day}``, days without a readable file are skipped."""
+    last = date.fromisoformat(last_day)
+    wanted = [pattern.format(day=(last - timedelta(days=k)).isoformat()) for k in range(days)]
+    return losses_json(spark, [p for p in wanted if _exists(spark, p)])
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 #: Tokens in the names of the features of a control layer.
 OCCUPIED = ("status.occupied", "territories.crimea", "territories.ordlo")
 GREY = ("status.unknown",)
@@ -89,6 +119,36 @@ def control_layers(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("layer", F.when(F.col("token").isin(*OCCUPIED), "occupied").when(F.col("token").isin(*GREY), "grey").otherwise("dropped"))
 
 
+def dropped_tokens(layers: DataFrame) -> DataFrame:
+    """How many features of ``control_layers`` were dropped, by token."""
+    return layers.where("layer = 'dropped'").groupBy("token").agg(F.count(F.lit(1)).alias("dropped"))
+
+
+def history_index(spark: SparkSession, path: str) -> DataFrame:
+    """Snapshots that an index lists, the oldest first: ``id, valid_s``; entries without an id or a plausible instant are left out.
+
+    The index is a JSON list of objects with ``id`` (an instant or a name) and perhaps ``createdAt`` (milliseconds or an ISO time).
+    """
+    raw = spark.read.schema("id string, createdAt string").json(path, multiLine=True)
+    written = F.coalesce(F.floor(F.col("createdAt").try_cast("double") / 1000).cast("string"), F.unix_seconds(F.col("createdAt").try_cast("timestamp")).cast("string"))
+    return raw.select("id", F.coalesce(snapshot_instant(F.col("id")), snapshot_instant(written)).alias("valid_s")).where("id IS NOT NULL AND valid_s IS NOT NULL").orderBy("valid_s", "id")
+
+
+EDITED = "features array<struct<properties struct<EditDate bigint>, geometry string>>"
+
+
+def edited_layer(spark: SparkSession, path: str, seen_ms: int | None = None) -> tuple[DataFrame, int | None]:
+    """Polygons ``path, geom`` of a layer whose features carry ``EditDate``, and the newest of these; no rows if that is ``seen_ms``."""
+    newest = spark.read.schema(EDITED).json(path, multiLine=True).select(F.explode("features.properties.EditDate").alias("d")).agg(F.max("d")).first()[0]
+    layer = control_layers(spark, path).select("path", "geom")
+    return (layer.limit(0) if newest is not None and newest == seen_ms else layer), newest
+
+
+def service_name(names: list[str], patterns: list[str]) -> str | None:
+    """The first of ``names`` that the first matching pattern finds: patterns are tried in order of preference."""
+    return next((n for p in patterns for n in names if re.search(p, n, re.IGNORECASE)), None)
+
+
 def snapshot_instant(snapshot_id: Column) -> Column:
     """Seconds since 1970 that a snapshot id names, or null outside the plausible span."""
     n = snapshot_id.try_cast("bigint")
@@ -182,9 +242,15 @@ def channel_pages(spark: SparkSession, path: str, block: str = "message", body:
     return df.withColumn("title", text.headline(F.col("body")))
 
 
+def watermark(posts: DataFrame, last_number: int | None) -> tuple[DataFrame, int | None, bool]:
+    """``newer_posts``, the new highest number, and whether the page was empty, which is told before anything is filtered."""
+    n, top = posts.agg(F.count(F.lit(1)), F.max(text.post_number(F.col("external_id")))).first()
+    return newer_posts(posts, last_number), max((x for x in (top, last_number) if x is not None), default=None), n == 0
+
+
 def newer_posts(posts: DataFrame, last_number: int | None) -> DataFrame:
     """Posts whose number (after the last slash of ``external_id``) is above the last one seen; all if none was."""
-    number = F.substring_index("external_id", "/", -1).try_cast("bigint")
+    number = text.post_number(F.col("external_id"))
     return posts if last_number is None else posts.where(F.coalesce(number, F.lit(0)) > last_number)
 
 
@@ -193,8 +259,11 @@ PLACE_CODES = ("PPL", "PPLA", "PPLA2", "PPLA3", "PPLA4", "PPLA5", "PPLC", "PPLG"
 PLACE_FIELDS = "geonameid name asciiname alternatenames lat lon fclass fcode country cc2 admin1 admin2 admin3 admin4 population elevation dem tz modified".split()
 
 
-def places_zip(spark: SparkSession, path: str, codes: tuple[str, ...] = PLACE_CODES) -> DataFrame:
-    """Populated places of a zipped tab-separated list; lines of another number of fields are dropped."""
+def places_zip(spark: SparkSession, path: str, codes: tuple[str, ...] = PLACE_CODES, city_regions: tuple[str, ...] = ()) -> DataFrame:
+    """Populated places of a zipped tab-separated list; lines of another number of fields are dropped.
+
+    Of the regions (``admin1``) that are cities, ``city_regions``, the districts (``ADM2``) are places too.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -207,7 +276,8 @@ def places_zip(spark: SparkSession, path: str, codes: tuple[str, ...] = PLACE_CO
 
     ship_package(spark)
     df = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, ", ".join(f"{f} string" for f in PLACE_FIELDS))
-    return df.where(F.col("fcode").isin(*codes)).withColumns({"lat": F.col("lat").try_cast("double"), "lon": F.col("lon").try_cast("double"), "population": F.col("population").try_cast("bigint")})
+    districts = (F.col("fcode") == "ADM2") & F.col("admin1").isin(*(city_regions or ("",)))
+    return df.where(F.col("fcode").isin(*codes) | districts).withColumns({"lat": F.col("lat").try_cast("double"), "lon": F.col("lon").try_cast("double"), "population": F.col("population").try_cast("bigint")})
 
 
 def places_json(spark: SparkSession, path: str) -> DataFrame:
@@ -233,6 +303,63 @@ def sniffed_csv(spark: SparkSession, path: str, sample: int = 4096) -> DataFrame
     return df.toDF(*[c.replace("﻿", "").strip() for c in df.columns])
 
 
+def column_of(df: DataFrame, pattern: str, share: float = 0.5) -> str | None:
+    """The first column of which at least ``share`` of the filled values match a pattern, told by its values, not by its name."""
+    tests = [F.try_divide(F.count_if(F.col(f"`{c}`").rlike(pattern)), F.count(F.nullif(F.col(f"`{c}`"), F.lit("")))).alias(str(i)) for i, c in enumerate(df.columns)]
+    row = df.agg(*tests).first()
+    return next((c for i, c in enumerate(df.columns) if (row[str(i)] or 0) >= share), None)
+
+
+#: Fixed value: addresses that look like feeds.
+FEEDISH = r"(?i)(rss|feed|\.xml|atom)"
+
+
+def source_catalogue(df: DataFrame, perspectives: dict[str, str], intervals: dict[str, int], starters: tuple[str, ...] = (), default_interval: int = 900) -> DataFrame:
+    """Sources of a catalogue: ``name, type, url, perspective, poll_interval_s, enabled, meta``, an address once (the first row by title).
+
+    Only rows with a title, a known affiliation and free access. A channel's page is made of its name in ``url`` or
+    ``handle_or_feed``; other rows need a feed's address in one of these, one that looks like a feed before others.
+    """
+    col = lambda c: F.coalesce(F.trim(F.col(c)), F.lit(""))
+    view = F.coalesce(*[F.when(col("affiliation_perspective") == k, F.lit(v)) for k, v in perspectives.items()], F.lit(None).cast("string"))
+    slug = F.coalesce(*[F.nullif(F.regexp_extract(col(c), r"(?:^|//)t\.me/(?:s/)?([A-Za-z0-9_]+)", 1), F.lit("")) for c in ("url", "handle_or_feed")], F.when((col("primary_platform") == "Telegram") & col("handle_or_feed").startswith("@"), F.expr("substring(trim(handle_or_feed), 2)")))
+    links = F.flatten(F.array(*[F.regexp_extract_all(col(c), F.lit(r"https?://[^\s,;|]+"), F.lit(0)) for c in ("handle_or_feed", "url")]))
+    feed = F.when(col("machine_readable").contains("RSS"), F.coalesce(F.get(F.filter(links, lambda x: x.rlike(FEEDISH)), F.lit(0)), F.get(links, F.lit(0))))
+    channel = (col("primary_platform") == "Telegram") & slug.isNotNull()
+    interval = F.coalesce(*[F.when(col("update_frequency") == k, F.lit(v)) for k, v in intervals.items()], F.lit(default_interval))
+    enabled = F.lit(False)
+    for name in starters:
+        enabled = enabled | F.lower(col("title")).contains(name.lower())
+    rows = df.select(
+        col("title").alias("name"), F.when(channel, "channel").otherwise("feed").alias("type"), F.when(channel, F.concat(F.lit("https://t.me/s/"), slug)).otherwise(feed).alias("url"), view.alias("perspective"), interval.cast("int").alias("poll_interval_s"), enabled.alias("enabled"),
+        F.map_filter(F.create_map(F.lit("slug"), F.when(channel, slug), F.lit("category"), F.col("category"), F.lit("language"), F.col("language")), lambda _, v: v.isNotNull()).alias("meta"), F.lower(col("access")).contains("free").alias("_free"),
+    )
+    rows = rows.where("name <> '' AND perspective IS NOT NULL AND _free AND url IS NOT NULL").drop("_free")
+    best = rows.groupBy("url").agg(F.min(F.struct("name", "type", "perspective", "poll_interval_s", "enabled", F.to_json("meta").alias("meta"))).alias("b"))
+    return best.select("b.name", "b.type", "url", "b.perspective", "b.poll_interval_s", "b.enabled", F.from_json("b.meta", "map<string,string>").alias("meta"))
+
+
+def backward_pages(read_page, newest: int, horizon_s: int, max_pages: int = 50) -> list[list[dict]]:
+    """Pages read backwards from ``newest``: until one is empty, its oldest post (``number``, ``at_s``) is before the horizon, or there are enough.
+
+    ``read_page(before)`` gives the posts before a number; pages depend on each other, so one channel is one task.
+    """
+    pages: list[list[dict]] = []
+    before = newest
+    while len(pages) < max_pages:
+        page = read_page(before)
+        if not page:
+            break
+        pages.append(page)
+        if any(p["at_s"] is not None and p["at_s"] < horizon_s for p in page):
+            break
+        lowest = min(p["number"] for p in page)
+        if lowest >= before:
+            break
+        before = lowest
+    return pages
+
+
 def feed_instant(published: str | None) -> int | None:
     """Seconds since 1970 of a feed's date in either usual form, or None."""
     if not published:

@@ -87,3 +87,61 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(parts).count() == 2
     assert sinks.weak_etag(df) == sinks.weak_etag(df.orderBy(F.desc("t"))) != sinks.weak_etag(df.limit(2))
     assert sinks.params_key(a=1, b=None) == sinks.params_key(a=1) != sinks.params_key(a=2)
+
+
+def test_items_and_sizes_of_exports(spark, tmp_path):
+    p = tmp_path / "a.csv"
+    p.write_text("Date;Name;Latitude;Longitude;Id;Geolocation;Source;Description\n16-04-2024;" + "n" * 300 + ";48.1;37.2;x1;;https://s;d\n;;48.1;37.2;x2;https://g;;\n")
+    rows = {r["external_id"]: r for r in files.geolocated_items(files.geolocated_csv(spark, str(p))).collect()}
+    assert len(rows["x1"]["title"]) == 200 and rows["x1"]["url"] == "https://s" and rows["x1"]["body"] == "d" and rows["x2"]["title"] == "x2" and rows["x2"]["url"] == "https://g"
+    assert files.complete_export(spark, str(p), 100) == str(p)
+    with pytest.raises(ValueError):
+        files.complete_export(spark, str(p))
+
+
+def test_days_history_and_edits(spark, tmp_path):
+    for day, i in (("2024-01-05", 1), ("2024-01-03", 2), ("2023-12-01", 3)):
+        (tmp_path / f"{day}.json").write_text(json.dumps({"losses": [{"id": i, "geo": "1,2"}]}))
+    assert {r["id"] for r in files.losses_by_date(spark, f"{tmp_path}/{{day}}.json", "2024-01-06").collect()} == {1, 2}
+    assert files.losses_by_date(spark, f"{tmp_path}/{{day}}.json", "2030-01-06").count() == 0
+    (tmp_path / "h.json").write_text(json.dumps([{"id": "1700000900"}, {"id": "1700000000"}, {"id": "b", "createdAt": "2024-01-01T00:00:00Z"}, {"id": "c"}, {"createdAt": 1700000000000}, {"id": "d", "createdAt": 1700000500000}]))
+    assert [(r["id"], r["valid_s"]) for r in files.history_index(spark, str(tmp_path / "h.json")).collect()] == [("1700000000", 1700000000), ("d", 1700000500), ("1700000900", 1700000900), ("b", 1704067200)]
+    square = {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]]]}
+    (tmp_path / "e.json").write_text(json.dumps({"features": [{"properties": {"EditDate": 5}, "geometry": square}, {"properties": {"EditDate": 9}, "geometry": {"type": "Point", "coordinates": [0, 0]}}]}))
+    layer, newest = files.edited_layer(spark, str(tmp_path / "e.json"))
+    assert newest == 9 and layer.count() == 1 and files.edited_layer(spark, str(tmp_path / "e.json"), 9)[0].count() == 0
+    assert files.service_name(["Old_Layer", "Assessed_2024"], ["assessed", "layer"]) == "Assessed_2024" and files.service_name(["x"], ["y"]) is None
+
+
+def test_watermarks_pagers_and_columns(spark, tmp_path):
+    posts = spark.createDataFrame([("c/7",), ("c/9",), (None,)], "external_id string")
+    new, top, empty = files.watermark(posts, 7)
+    assert [r[0] for r in new.collect()] == ["c/9"] and top == 9 and not empty
+    assert files.watermark(posts.limit(0), 7)[1:] == (7, True) and files.watermark(posts.where("external_id = 'c/7'"), 8)[1:] == (8, False)
+    history = {n: {"number": n, "at_s": n * 10} for n in range(1, 40)}
+    read = lambda before: [history[n] for n in range(max(1, before - 5), before)]
+    assert [p[0]["number"] for p in files.backward_pages(read, 40, 200)] == [35, 30, 25, 20, 15] and len(files.backward_pages(read, 40, 0, 3)) == 3
+    assert files.backward_pages(lambda _: [], 40, 0) == [] and len(files.backward_pages(read, 4, 0)) == 1
+    df = spark.createDataFrame([("x", "UA12"), ("y", "UA34"), ("", "z"), (None, "UA5")], "`a b` string, code string")
+    assert files.column_of(df, "^UA\\d+") == "code" and files.column_of(df, "^q") is None and files.column_of(df.limit(0), "x") is None
+
+
+def test_catalogue(spark):
+    names = "title affiliation_perspective access primary_platform handle_or_feed url machine_readable update_frequency reliability_notes source_type category language".split()
+    rows = [
+        ("A", "Ukr", "Free", "Telegram", "@chan", None, "", "daily", None, None, "news", "uk"), ("B", "Ukr", "free tier", "Web", "https://b.example/x https://b.example/feed.xml", "https://b.example", "RSS", "hourly", None, None, None, None),
+        ("C", "Ukr", "paid", "Web", "https://c.example/rss", None, "RSS", "", None, None, None, None), ("D", "?", "free", "Web", "https://d.example/rss", None, "RSS", "", None, None, None, None), ("AA", "Ukr", "free", "Telegram", None, "https://t.me/s/chan", "", "", None, None, None, None),
+        ("E", "Rus", "free", "Web", None, "https://e.example", "no", "", None, None, None, None), (None, "Ukr", "free", "Telegram", "@x", None, "", "", None, None, None, None),
+    ]
+    got = {r["name"]: r for r in files.source_catalogue(spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names)), {"Ukr": "ukrainian", "Rus": "russian"}, {"daily": 86400}, ("b",)).collect()}
+    assert set(got) == {"A", "B"} and got["A"]["url"] == "https://t.me/s/chan" and got["A"]["meta"] == {"slug": "chan", "category": "news", "language": "uk"} and got["A"]["poll_interval_s"] == 86400 and not got["A"]["enabled"]
+    assert got["B"]["url"] == "https://b.example/feed.xml" and got["B"]["type"] == "feed" and got["B"]["enabled"] and got["B"]["poll_interval_s"] == 900
+
+
+def test_city_districts_and_tallies(spark, tmp_path):
+    line = ["1", "D", "D", "", "48.1", "37.2", "A", "ADM2", "UA", "", "12", "", "", "", "0", "", "", "tz", "d"]
+    with zipfile.ZipFile(tmp_path / "p.zip", "w") as z:
+        z.writestr("UA.txt", "\n".join(["\t".join(line), "\t".join([*line[:10], "05", *line[11:]])]))
+    assert files.places_zip(spark, str(tmp_path / "p.zip")).count() == 0 and files.places_zip(spark, str(tmp_path / "p.zip"), city_regions=("12",)).count() == 1
+    layers = spark.createDataFrame([("dropped", "a"), ("dropped", "a"), ("grey", "b")], "layer string, token string")
+    assert {tuple(r) for r in files.dropped_tokens(layers).collect()} == {("a", 2)}
