@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -21,7 +23,9 @@ def ship_package(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="terralens-")) / "terralens.zip"
+    folder = tempfile.mkdtemp(prefix="terralens-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / "terralens.zip"
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(package.rglob("*.py")):
             z.write(p, p.relative_to(package.parent))

@@ -11,6 +11,7 @@ from terralens.functions import text
 from terralens.io import scratch, table
 from terralens.operators import overlay, similarity
 from terralens.operators import relational as rel
+from terralens.plans.analysis_sql import OVERLAY_AREA, SIMILAR_PLACE, SIMILARITY
 from terralens.plans.serving import EV, events, news
 from terralens.streaming import streams
 
@@ -88,6 +89,6 @@ Q_PLAIN = r"""WITH h AS (SELECT id, '<p class=''x''>' || replace(replace(body, '
 a AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(c, '(?is)<script.*?</script>', ' ', 'g'), '(?i)<br\s*/?>|</p>', chr(10), 'g'), '<[^>]+>', '', 'g') AS c FROM h)
 SELECT id, regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(c, '&nbsp;', ' '), '&amp;', '&'), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '[ \t]*\n\s*\n+', chr(10) || chr(10), 'g'), '^[\s\p{Z}\x0b\x{0085}]+|[\s\p{Z}\x0b\x{0085}]+$', '', 'g') AS body FROM a"""
 
-_ALL = ((overlay_area, None), (overlay_parts, None), (zone_outlines, None), (word_similarity_topk, None), (similar_place, None), (stream_daily_counts, Q_STREAM), (batch_sessions, Q_BURSTS), (nested_hints, Q_HINTS), (plain_text, Q_PLAIN))
+_ALL = ((overlay_area, OVERLAY_AREA), (overlay_parts, None), (zone_outlines, None), (word_similarity_topk, SIMILARITY), (similar_place, SIMILAR_PLACE), (stream_daily_counts, Q_STREAM), (batch_sessions, Q_BURSTS), (nested_hints, Q_HINTS), (plain_text, Q_PLAIN))
 QUERIES = {f.__name__: f for f, _ in _ALL}
 ORACLES = {f.__name__: q for f, q in _ALL if q}

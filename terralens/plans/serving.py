@@ -14,6 +14,7 @@ from terralens.functions import text
 from terralens.io import table
 from terralens.operators import relational as rel
 from terralens.operators import spatial
+from terralens.plans.analysis_sql import COORDINATES
 
 FROM_S, TO_S = 1709251200, 1717200000  # 2024-03-01 and 2024-06-01
 NOW_S = 1735689600  # 2025-01-01
@@ -530,7 +531,7 @@ _ALL = (
     (news_relevance_gate, Q_GATE), (news_snippets, Q_SNIPPETS), (news_events_nested, Q_NESTED), (content_hash_dedupe, Q_DEDUPE), (story_versions, Q_STORY), (timeline_histogram, Q_HIST), (timeline_bounds, Q_BOUNDS), (source_rollup, Q_ROLLUP),
     (retention_rank, Q_RANK), (retention_keep_n, Q_KEEP), (per_day_last_k, Q_LASTK), (distance_join_5km, Q_DIST), (nearest_claim, Q_NEAR), (space_time_neighbours, Q_SPACE_TIME), (asof_snapshot, Q_ASOF), (digest_items, Q_DIGEST),
     (perspective_sets, Q_SETS), (modal_place, Q_MODAL), (member_round_robin, Q_ROBIN), (recent_claims, Q_RECENT), (token_prefix_pack, Q_PACK), (report_sessions, Q_SESSIONS), (debunk_url_targets, Q_DEBUNK), (needs_translation, Q_TRANSLATE),
-    (place_transliterations, Q_LATIN), (headlines, Q_HEADLINES), (relevance_prefilter, Q_RELEVANT), (coord_scan, None), (due_sources, Q_DUE), (location_dedupe, Q_LOCATION), (active_window, Q_ACTIVE), (report_upsert, Q_UPSERT),
+    (place_transliterations, Q_LATIN), (headlines, Q_HEADLINES), (relevance_prefilter, Q_RELEVANT), (coord_scan, COORDINATES), (due_sources, Q_DUE), (location_dedupe, Q_LOCATION), (active_window, Q_ACTIVE), (report_upsert, Q_UPSERT),
 )
 QUERIES = {f.__name__: f for f, _ in _ALL}
 ORACLES = {f.__name__: q for f, q in _ALL if q}

@@ -10,12 +10,8 @@ CASES = [(m, k) for m in MODULES for k in m.QUERIES]
 #: What a query without SQL must give on the smallest tables.
 HOLDS = {
     "p2_readings": lambda rows: sum(r["stamps"] for r in rows) > 100 and all(r["open"] <= r["readings"] for r in rows),
-    "coord_scan": lambda rows: len(rows) > 20 and all(r["lat"] is not None and r["lon"] is not None for r in rows),
-    "overlay_area": lambda rows: {r["layers"] for r in rows} <= {"active", "inactive", "active+inactive"} and all(r["km2"] > 0 for r in rows) and len(rows) >= 2,
     "overlay_parts": lambda rows: len(rows) > 5 and all(r["km2"] >= 0.5 and r["west"] < r["east"] for r in rows),
     "zone_outlines": lambda rows: len(rows) == 42 and all(r["geom"].upper().startswith(("POLYGON", "MULTIPOLYGON", "SRID")) for r in rows),
-    "word_similarity_topk": lambda rows: len(rows) > 20 and all(0.6 <= r["score"] <= 1 and 1 <= r["rank"] <= 8 for r in rows),
-    "similar_place": lambda rows: len(rows) > 20 and len({r["query"] for r in rows}) == len(rows),
     "hinted_places": lambda rows: len(rows) > 20 and all(0.55 <= r["score"] <= 1 and r["resolution"] in ("hinted", "countrywide", "fallback") for r in rows) and not any(r["ambiguous"] and r["resolution"] != "countrywide" for r in rows),
     "review_queue": lambda rows: len(rows) > 5 and all(1 <= r["rank"] <= 5 for r in rows) and len({(r["id"], r["rank"]) for r in rows}) == len(rows),
     "front_layers": lambda rows: {r["layer"] for r in rows} >= {"agreed", "disputed", "held", "grey"},
