@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terralens.functions import text
 from terralens.io import table
 from terralens.operators import clusters, relational as rel, spatial
-from terralens.plans.serving import _ELL, DAY, EV, MASK, NEWS, NOW_S, REP, SRC, _near_in_time, _pts, _reports, events, news, sec, sources
+from terralens.plans.serving import _ELL, DAY, EV, MASK, NEWS, NOW_S, REP, SRC, STAR, _near_in_time, _pts, _reports, events, news, sec, sources, star
 
 #: Region of interest (south, north, west, east); confidence below which an event doesn't count.
 REGION, FLOOR = (43.0, 53.6, 21.0, 41.4), 0.4
@@ -334,6 +334,63 @@ def place_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 Q_PLACE_UPSERT = f"WITH r AS (SELECT DISTINCT id AS report_id, lower(place_name) AS name, lon, lat FROM synthesized_reports WHERE place_name IS NOT NULL AND lon IS NOT NULL), g AS (SELECT DISTINCT id AS entry, unnest([lower(name_uk), lower(name_ru), lower(name_en)]) AS name, lon, lat FROM gazetteer WHERE lat IS NOT NULL AND lon IS NOT NULL), p AS (SELECT report_id, entry, {_ELL.format(a='r', b='g')} AS d FROM r JOIN g ON r.name = g.name AND {_ELL.format(a='r', b='g')} <= 3000), b AS (SELECT report_id, arg_min(entry, (d, entry)) AS entry FROM p GROUP BY 1) SELECT report_id, entry, CASE WHEN entry IS NULL THEN 'inserted' ELSE 'updated' END AS action FROM r LEFT JOIN b USING (report_id)"
 
 
+def domestic_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that may be matched to a place of the list: those said to lie in another country are not."""
+    e = table(spark, sf_dir, "extracted_events").where(F.coalesce(F.lower(F.trim(F.col("llm_raw.country"))), F.lit("ua")).isin("ua", ""))
+    return e.where("place_name_raw IS NOT NULL").select("id", "place_name_raw").distinct()
+
+
+Q_DOMESTIC = "SELECT DISTINCT id, place_name_raw FROM extracted_events WHERE coalesce(lower(trim(llm_raw.country)), 'ua') IN ('ua', '') AND place_name_raw IS NOT NULL"
+
+
+def record_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Geolocated records as items and their events in one: title, content hash and point; copies once, records without a point dropped."""
+    g = table(spark, sf_dir, "geoconfirmed_head").where("Latitude BETWEEN -90 AND 90 AND Longitude BETWEEN -180 AND 180").select("Id", "Name", "Description", "Latitude", "Longitude").distinct()
+    title = F.substring(F.coalesce(F.nullif(F.trim("Name"), F.lit("")), F.col("Id")), 1, 200)
+    return g.select(F.col("Id").alias("external_id"), title.alias("title"), text.content_hash(title, F.col("Description")).alias("hash"), F.col("Latitude").alias("lat"), F.col("Longitude").alias("lon"), F.lit("geolocation_proof").alias("event_type"))
+
+
+_CLEAN = r"regexp_replace({c}, '^[\s\p{{Z}}\x0b\x{{0085}}]+|[\s\p{{Z}}\x0b\x{{0085}}]+$', '', 'g')"
+Q_RECORDS = r"""WITH g AS (SELECT DISTINCT Id, substr(coalesce(nullif(trim(Name, ' '), ''), Id), 1, 200) AS title, Description, Latitude, Longitude FROM geoconfirmed_head WHERE Latitude BETWEEN -90 AND 90 AND Longitude BETWEEN -180 AND 180)
+SELECT Id AS external_id, title, sha256(lower(regexp_replace(""" + _CLEAN.format(c="title || chr(10) || " + _CLEAN.format(c="coalesce(Description, '')")) + r""", '[\s\p{Z}\x0b\x{0085}]+', ' ', 'g'))) AS hash, Latitude AS lat, Longitude AS lon, 'geolocation_proof' AS event_type FROM g"""
+
+
+def story_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events to delete because their story (source and external id) has a newer version than the item they come from."""
+    n = news(spark, sf_dir).where("external_id IS NOT NULL").select("id", "source_id", "external_id", "fetched_s")
+    newest = n.groupBy("source_id", "external_id").agg(F.max(F.struct("fetched_s", "id")).alias("b")).select("source_id", "external_id", F.col("b.id").alias("newest"))
+    old = n.join(newest, ["source_id", "external_id"]).where("id <> newest").select(F.col("id").alias("news_item_id"), "newest")
+    return events(spark, sf_dir, "news_item_id").join(old, "news_item_id").select("id", "news_item_id", "newest")
+
+
+Q_RESETS = f"WITH {EV}, {NEWS}, v AS (SELECT id, first_value(id) OVER (PARTITION BY source_id, external_id ORDER BY fetched_s DESC NULLS LAST, id DESC) AS newest FROM nw WHERE external_id IS NOT NULL) SELECT ev.id, news_item_id, newest FROM ev JOIN v ON v.id = news_item_id WHERE v.id <> newest"
+
+
+def claim_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain of evidence of each claim: visible events within 10 km with their item, source and side, in order of time."""
+    c = _pts(spark, sf_dir, "frontline_claims", "claim_id")
+    e = _pts(spark, sf_dir, "extracted_events", "event_id", "visible").where("visible")
+    near = spatial.distance_join(c, e, "claim_id", "event_id", 10000.0, spatial.ellipsoid_m)
+    chain = near.join(star(spark, sf_dir, "occurred_s").withColumnRenamed("id", "event_id"), "event_id")
+    step = F.row_number().over(Window.partitionBy("claim_id").orderBy(F.asc_nulls_last("occurred_s"), "event_id"))
+    return chain.select("claim_id", step.alias("step"), "event_id", "news_item_id", "source_name", "side", F.round("dist_m", 2).alias("dist_m"))
+
+
+Q_CHAIN = f"WITH {STAR}, p AS (SELECT c.id AS claim_id, s.*, {_ELL.format(a='c', b='s')} AS d FROM frontline_claims c JOIN star s ON abs(c.lat - s.lat) < 0.11 AND {_ELL.format(a='c', b='s')} <= 10000) SELECT claim_id, CAST(row_number() OVER (PARTITION BY claim_id ORDER BY occurred_s NULLS LAST, id) AS INTEGER) AS step, id AS event_id, news_item_id, source_name, side, round(d, 2) AS dist_m FROM p"
+
+
+def claim_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a claiming event comes to: merged with the nearest claim of its side within 25 km, or a claim of its own."""
+    side = F.when(F.col("claimed_by").isin("ru", "ua"), F.concat("claimed_by", F.lit("_advance")))
+    e = _pts(spark, sf_dir, "extracted_events", "event_id", "event_type", "claimed_by").where("event_type IN ('frontline_claim', 'frontline_advance')").withColumn("direction", side).where("direction IS NOT NULL")
+    c = _pts(spark, sf_dir, "frontline_claims", "claim_id", "direction")
+    best = spatial.nearest_join(e, c, "event_id", "claim_id", 25000.0, spatial.ellipsoid_m, on=("direction",))
+    return e.select("event_id").distinct().join(best, "event_id", "left").select("event_id", "claim_id", F.when(F.col("claim_id").isNull(), "new").otherwise("merged").alias("outcome"))
+
+
+Q_INTAKE = f"WITH {EV}, e AS (SELECT id, lon, lat, claimed_by || '_advance' AS direction FROM ev WHERE event_type IN ('frontline_claim', 'frontline_advance') AND claimed_by IN ('ru', 'ua') AND lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90), p AS (SELECT e.id AS event_id, c.id AS claim_id, {_ELL.format(a='e', b='c')} AS d FROM e JOIN frontline_claims c ON c.direction = e.direction AND abs(c.lat - e.lat) < 0.27 AND {_ELL.format(a='e', b='c')} <= 25000), b AS (SELECT event_id, arg_min(claim_id, (d, claim_id)) AS claim_id FROM p GROUP BY 1) SELECT e.id AS event_id, claim_id, CASE WHEN claim_id IS NULL THEN 'new' ELSE 'merged' END AS outcome FROM e LEFT JOIN b ON b.event_id = e.id"
+
+
 # ---- clusters
 
 
@@ -353,7 +410,7 @@ _ALL = (
     (event_instants, Q_INSTANTS), (region_gate, Q_REGION), (tier_ceiling, Q_TIER), (confident_events, Q_CONFIDENT), (items_with_content, Q_CONTENT), (placeable_pending, Q_PLACEABLE), (source_list, Q_SOURCES), (news_id_page, Q_ID_PAGE),
     (work_queue, Q_QUEUE), (evidence_last, Q_EVIDENCE), (merged_page, Q_MERGED), (feed_refresh, Q_REFRESH), (stacked_shortlist, Q_STACK), (nearest_report, Q_NEAREST), (nearest_report_wide, Q_NEAREST_WIDE), (debunks_of_place, Q_SAME_PLACE), (debunk_proof_pairs, Q_PROOFS),
     (first_event_of_item, Q_FIRST), (since_latest_claim, Q_SINCE), (claims_near_border, Q_BORDER), (disputed_items, Q_DISPUTED), (disputed_events, Q_OVER), (news_events_json, Q_JSON), (intake_counters, Q_COUNTERS), (reason_tally, Q_TALLY),
-    (peak_histogram, Q_PEAK), (truncated_bodies, Q_TRUNCATED), (item_slugs, Q_SLUGS), (positional_points, Q_POSITIONAL), (merged_meta, Q_META), (place_upsert, Q_PLACE_UPSERT), (report_clusters, Q_CLUSTERS),
+    (peak_histogram, Q_PEAK), (truncated_bodies, Q_TRUNCATED), (item_slugs, Q_SLUGS), (positional_points, Q_POSITIONAL), (merged_meta, Q_META), (place_upsert, Q_PLACE_UPSERT), (domestic_events, Q_DOMESTIC), (record_events, Q_RECORDS), (story_resets, Q_RESETS), (claim_evidence, Q_CHAIN), (claim_intake, Q_INTAKE), (report_clusters, Q_CLUSTERS),
 )
 QUERIES = {f.__name__: f for f, _ in _ALL}
 ORACLES = {f.__name__: q for f, q in _ALL if q}
