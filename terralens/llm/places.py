@@ -35,7 +35,7 @@ from terralens.io import ship_package
 from terralens.llm.langid import plain
 
 #: Entries of a part of the gazetteer; share of letters that must agree.
-PART_ENTRIES, AT_LEAST = 50_000, 0.6
+PART_ENTRIES, AT_LEAST = 20_000, 0.6
 #: What a place is called by beside its name, in small letters.
 KINDS = set("""
 село с села селі місто м міста місті смт селище сел селища селищі н п пгт населений пункт населеному пункті громада громади хутір
@@ -330,9 +330,14 @@ class Gazetteer:
         mentions = self._embedded(text)
         whole = any(not [t for t in tokens_of(text[:s] + " " + text[e:]) if t not in KINDS] for s, e, _, _ in mentions)
         alike = [] if whole or any(t in VAGUE or t.isdigit() for t in tokens_of(text)) else self._alike(core_of(text))
-        words = re.findall(r"[^\W\d_]+", text)
         ids = {i for *_, own in mentions for i in own} | {i for _, own in alike for i in own}
-        return {"mentions": mentions, "alike": alike, "parts": [t for t in words if self._is_part(t)] if not whole and (mentions or not alone) else [], "oblast": [(i, self.oblast[i]) for i in sorted(ids)]}
+        parts: list[str] = []
+        if not (whole or alike) and (mentions or not alone):
+            inside = bytearray(len(text))
+            for s, e, _, _ in mentions if alone else []:
+                inside[s:e] = b"\1" * (e - s)
+            parts = [m[0] for m in re.finditer(r"[^\W\d_]+", text) if not inside[m.start()] and self._is_part(m[0])]
+        return {"mentions": mentions, "alike": alike, "parts": parts, "oblast": [(i, self.oblast[i]) for i in sorted(ids)]}
 
     def _match(self, value: str | None, hint: str | None) -> int:
         """Id of the entry that ``value`` names, or 0."""
