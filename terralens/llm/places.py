@@ -77,13 +77,19 @@ RU_CASES = {
 }
 
 
+_APOSTROPHES, _SOUND_TABLE = str.maketrans("", "", "'’ʼ`"), str.maketrans(SOUNDS)
+_DOUBLED = re.compile(r"(.)\1+")
+_LATIN = re.compile("[a-z]")
+
+
+@lru_cache(maxsize=200_000)
 def sounds(text: str) -> str:
     """A spelling common to Ukrainian, Russian and their transliterations; doubled letters are single."""
-    text = re.sub(r"['’ʼ`]", "", text.lower())
-    for a, b in LATIN_SOUNDS:
-        text = text.replace(a, b)
-    text = "".join(SOUNDS.get(c, c) for c in text)
-    return re.sub(r"(.)\1+", r"\1", text)
+    text = text.lower().translate(_APOSTROPHES)
+    if _LATIN.search(text):
+        for a, b in LATIN_SOUNDS:
+            text = text.replace(a, b)
+    return _DOUBLED.sub(r"\1", text.translate(_SOUND_TABLE))
 
 
 def inflected(name: str, cases: dict[str, str]) -> set[str]:
