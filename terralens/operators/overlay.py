@@ -127,26 +127,26 @@ def with_area(trapezoids: DataFrame) -> DataFrame:
     return trapezoids.withColumn("area_m2", area_m2(*[F.col(c) for c in ("x0", "x1", "lo0", "lo1", "hi0", "hi1")]))
 
 
-def parts(trapezoids: DataFrame) -> DataFrame:
-    """``trapezoids`` plus ``part``: the connected piece each belongs to.
+def parts(trapezoids: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``trapezoids`` plus ``part``: the connected piece each belongs to, among those equal in ``by`` (nulls are left out).
 
     Pieces touch where one's right border and another's left overlap in more than a point, or where one lies on
     another within a slab. Both are equi-joins on the border's longitude.
     """
-    t = trapezoids.withColumn("node", F.xxhash64("x0", "x1", "lo0", "lo1", "hi0", "hi1"))
-    a = t.select(F.col("node").alias("a"), F.round("x1", DECIMALS).alias("x"), F.col("lo1").alias("la"), F.col("hi1").alias("ha"))
-    b = t.select(F.col("node").alias("b"), F.round("x0", DECIMALS).alias("x"), F.col("lo0").alias("lb"), F.col("hi0").alias("hb"))
-    across = a.join(b, "x").where("least(ha, hb) - greatest(la, lb) > 1e-9").select("a", "b")
-    upper = t.select(F.col("node").alias("b"), "x0", "x1", F.round("lo0", DECIMALS).alias("y0"), F.round("lo1", DECIMALS).alias("y1"))
-    lower = t.select(F.col("node").alias("a"), "x0", "x1", F.round("hi0", DECIMALS).alias("y0"), F.round("hi1", DECIMALS).alias("y1"))
-    stacked = lower.join(upper, ["x0", "x1", "y0", "y1"]).select("a", "b")
+    t = trapezoids.withColumn("node", F.xxhash64(*by, "x0", "x1", "lo0", "lo1", "hi0", "hi1"))
+    a = t.select(*by, F.col("node").alias("a"), F.round("x1", DECIMALS).alias("x"), F.col("lo1").alias("la"), F.col("hi1").alias("ha"))
+    b = t.select(*by, F.col("node").alias("b"), F.round("x0", DECIMALS).alias("x"), F.col("lo0").alias("lb"), F.col("hi0").alias("hb"))
+    across = a.join(b, [*by, "x"]).where("least(ha, hb) - greatest(la, lb) > 1e-9").select("a", "b")
+    upper = t.select(*by, F.col("node").alias("b"), "x0", "x1", F.round("lo0", DECIMALS).alias("y0"), F.round("lo1", DECIMALS).alias("y1"))
+    lower = t.select(*by, F.col("node").alias("a"), "x0", "x1", F.round("hi0", DECIMALS).alias("y0"), F.round("hi1", DECIMALS).alias("y1"))
+    stacked = lower.join(upper, [*by, "x0", "x1", "y0", "y1"]).select("a", "b")
     found = connected_components(t, across.union(stacked)).withColumnRenamed("component", "part")
     return t.join(found, "node").drop("node")
 
 
-def without_slivers(trapezoids: DataFrame, at_least_m2: float) -> DataFrame:
+def without_slivers(trapezoids: DataFrame, at_least_m2: float, by: tuple[str, ...] = ()) -> DataFrame:
     """The trapezoids of connected pieces of at least the given area, with ``part`` and ``area_m2``."""
-    p = with_area(parts(trapezoids))
+    p = with_area(parts(trapezoids, by))
     big = p.groupBy("part").agg(F.sum("area_m2").alias("_sum")).where(F.col("_sum") >= at_least_m2).select("part")
     return p.join(big, "part", "left_semi")
 
@@ -253,12 +253,12 @@ def _ring_area(ring: list[tuple[float, float]]) -> float:
 
 
 def polygons(trapezoids: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """``by, part, geom, area_m2``: the connected pieces of trapezoids that don't overlap, as valid polygons in well-known text.
+    """``by, part, geom, area_m2``: the connected pieces of trapezoids (of each group ``by``) that don't overlap, as valid polygons in well-known text.
 
     Each piece is one outer ring against the clock and its holes. A piece is one row, so it is put together in one task.
     """
     ship_package(trapezoids.sparkSession)
-    p = with_area(parts(trapezoids) if "part" not in trapezoids.columns else trapezoids)
+    p = with_area(parts(trapezoids, by) if "part" not in trapezoids.columns else trapezoids)
     fields = trapezoids.select(*by).schema.fields
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], "part bigint, geom string, area_m2 double"])
 

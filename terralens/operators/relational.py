@@ -183,11 +183,10 @@ def merged_feed(newer: DataFrame, older: DataFrame, when: str, key: str, size: i
 def unseen(latest: DataFrame, shown: DataFrame, when: str, key: str) -> DataFrame:
     """Rows of ``latest`` to put before those ``shown``: unknown ones not older than the newest shown, or all if none is.
 
-    The newest time is one row, joined by an equality that always holds.
+    The newest time is a scalar subquery, not a join.
     """
-    top = shown.agg(F.max(when).alias("_top")).withColumn("_one", F.lit(1))
-    fresh = latest.join(shown.select(key).distinct(), key, "left_anti").withColumn("_one", F.lit(1)).join(F.broadcast(top), "_one").drop("_one")
-    return fresh.where(F.col("_top").isNull() | (F.col(when) >= F.col("_top"))).drop("_top")
+    top = shown.agg(F.max(when)).scalar()
+    return latest.join(shown.select(key).distinct(), key, "left_anti").where(top.isNull() | (F.col(when) >= top))
 
 
 def merged_maps(old: Column, new: Column) -> Column:

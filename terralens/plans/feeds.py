@@ -193,10 +193,10 @@ Q_FIRST = f"WITH {EV} SELECT n.id, (SELECT min(e.id) FROM ev e WHERE e.news_item
 
 
 def since_latest_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events after the latest change of any claim: one row joined to all by an equality that always holds."""
-    top = table(spark, sf_dir, "frontline_claims").agg(F.max(sec("updated_at")).alias("latest_s")).withColumn("one", F.lit(1))
-    e = events(spark, sf_dir, "occurred_s", "occurred_at IS NOT NULL").withColumn("one", F.lit(1))
-    return e.join(F.broadcast(top), "one").where("occurred_s > latest_s").select("id", (F.col("occurred_s") - F.col("latest_s")).alias("after_s"))
+    """Events after the latest change of any claim, a scalar subquery."""
+    latest = table(spark, sf_dir, "frontline_claims").agg(F.max(sec("updated_at"))).scalar()
+    e = events(spark, sf_dir, "occurred_s", "occurred_at IS NOT NULL")
+    return e.where(F.col("occurred_s") > latest).select("id", (F.col("occurred_s") - latest).alias("after_s"))
 
 
 Q_SINCE = f"WITH {EV}, t AS (SELECT CAST(floor(epoch(max(updated_at))) AS BIGINT) AS latest_s FROM frontline_claims) SELECT id, occurred_s - latest_s AS after_s FROM ev, t WHERE occurred_s > latest_s"
@@ -271,8 +271,7 @@ Q_TALLY = r"SELECT coalesce(nullif(regexp_extract(lower(reason), '^(\w+)', 1), '
 def peak_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by week, each as a share of the fullest."""
     e = events(spark, sf_dir, "occurred_s", "visible AND occurred_at IS NOT NULL").groupBy(F.floor(F.col("occurred_s") / (7 * DAY)).alias("week")).agg(F.count(F.lit(1)).alias("n"))
-    top = e.agg(F.max("n").alias("top")).withColumn("one", F.lit(1))
-    return e.withColumn("one", F.lit(1)).join(F.broadcast(top), "one").select("week", "n", F.round(F.col("n") / F.col("top"), 4).alias("height"))
+    return e.select("week", "n", F.round(F.col("n") / e.agg(F.max("n")).scalar(), 4).alias("height"))
 
 
 Q_PEAK = f"WITH {EV}, h AS (SELECT occurred_s // {7 * DAY} AS week, count(*) AS n FROM ev WHERE visible AND occurred_at IS NOT NULL GROUP BY 1) SELECT week, n, round(n / (max(n) OVER ()), 4) AS height FROM h"

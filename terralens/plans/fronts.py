@@ -64,11 +64,7 @@ def front_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def front_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each layer's connected pieces as GeoJSON with their area."""
-    layers = _layers(spark, sf_dir)
-    pieces = None
-    for name in ("agreed", "disputed", "held", "grey"):
-        p = overlay.polygons(layers.where(F.col("layer") == name), ("layer",))
-        pieces = p if pieces is None else pieces.unionByName(p)
+    pieces = overlay.polygons(_layers(spark, sf_dir).drop("layers"), ("layer",))
     return pieces.select("layer", overlay.geojson(F.col("geom")).alias("geojson"), F.round(F.col("area_m2") / 1e6, 3).alias("km2"))
 
 

@@ -25,14 +25,13 @@ Q_TOP = f"WITH {STAR} SELECT CAST(round_even(lon / 0.08, 0) AS BIGINT) AS cx, CA
 
 def timeline_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The usable span of the timeline in one row: from the earlier of the first claim and the first percentile of events to the later of both ends, with the claims' instants."""
-    one = F.lit(1).alias("one")
     e = events(spark, sf_dir, "occurred_s", "lon IS NOT NULL AND occurred_at IS NOT NULL")
-    first = rel.percentile_disc(e.withColumn("one", F.lit(1)), ["one"], "occurred_s", 0.01).withColumnRenamed("occurred_s", "ev_from")
-    ends = e.agg(F.min("occurred_s").alias("events_from"), F.max("occurred_s").alias("ev_to")).select(one, "*")
+    first = rel.percentile_disc(e.withColumn("one", F.lit(1)), ["one"], "occurred_s", 0.01).select("occurred_s").scalar()
     at = sec("created_at")
-    claims = table(spark, sf_dir, "frontline_claims").agg(F.min(at).alias("front_from"), F.max(at).alias("front_to"), F.count(F.lit(1)).alias("snapshots"), F.array_join(F.array_sort(F.collect_set(F.floor(at / DAY))).cast("array<string>"), ",").alias("days")).select(one, "*")
-    row = ends.join(first, "one", "left").join(claims, "one")
-    return row.select(F.least("ev_from", "front_from").alias("from_s"), F.greatest("ev_to", "front_to").alias("to_s"), "events_from", "front_from", "front_to", "snapshots", "days")
+    days = F.array_join(F.array_sort(F.collect_set(F.floor(at / DAY))).cast("array<string>"), ",")
+    claims = table(spark, sf_dir, "frontline_claims").agg(F.min(at).alias("front_from"), F.max(at).alias("front_to"), F.count(F.lit(1)).alias("snapshots"), days.alias("days"))
+    span = F.least(first, F.col("front_from")).alias("from_s"), F.greatest(e.agg(F.max("occurred_s")).scalar(), F.col("front_to")).alias("to_s")
+    return claims.select(*span, e.agg(F.min("occurred_s")).scalar().alias("events_from"), "front_from", "front_to", "snapshots", "days")
 
 
 Q_SPAN = f"""WITH {EV}, e AS (SELECT CAST(percentile_disc(0.01) WITHIN GROUP (ORDER BY occurred_s) AS BIGINT) AS ev_from, min(occurred_s) AS events_from, max(occurred_s) AS ev_to FROM ev WHERE lon IS NOT NULL AND occurred_s IS NOT NULL),
