@@ -25,21 +25,25 @@ def normalised_lines(body: Column) -> Column:
     return F.transform(F.split(text, "\n", -1), lambda x: F.trim(x))
 
 
-def _hashed(docs: DataFrame, source: str, doc: str, body: str, day: str) -> DataFrame:
+def _hashed(docs: DataFrame, source: str, doc: str, body: str, day: str | None = None) -> DataFrame:
     lines = normalised_lines(F.col(body))
     return docs.select(
-        F.col(source).alias("source"), F.col(doc).alias("doc"), F.to_date(F.col(day)).alias("day"),
+        F.col(source).alias("source"), F.col(doc).alias("doc"), (F.to_date(F.col(day)) if day else F.lit(None).cast("date")).alias("day"),
         F.transform(lines, lambda x: F.when(x != "", F.xxhash64(x))).alias("lines"), F.hash(F.lower(body)).alias("check"),
     )
 
 
-def line_counts(docs: DataFrame, source: str, doc: str, body: str, day: str) -> DataFrame:
+def line_counts(docs: DataFrame, source: str, doc: str, body: str, day: str, dates: DataFrame | None = None) -> DataFrame:
     """``source, line, rows, clusters, days, source_rows``: how often each non-blank line stands in a source.
 
     A line counts once per document however often it stands there; documents with a null body count for
-    ``source_rows`` only. A null source is a source of its own.
+    ``source_rows`` only. A null source is a source of its own. With ``dates``, a table of the columns ``doc`` and ``day``, the
+    days come from there and meet the documents' hashes, not their bodies.
     """
-    hashed = _hashed(docs, source, doc, body, day).select("source", "day", F.array_sort(F.array_distinct(F.filter("lines", lambda x: x.isNotNull()))).alias("lines"), F.hash("lines").alias("h1"), F.xxhash64("lines").alias("h2"))
+    hashed = _hashed(docs, source, doc, body, day if dates is None else None)
+    if dates is not None:
+        hashed = hashed.drop("day").join(dates.select(F.col(doc).alias("doc"), F.to_date(F.col(day)).alias("day")), "doc", "left")
+    hashed = hashed.select("source", "day", F.array_sort(F.array_distinct(F.filter("lines", lambda x: x.isNotNull()))).alias("lines"), F.hash("lines").alias("h1"), F.xxhash64("lines").alias("h2"))
     clusters = hashed.where(F.size("lines") > 0).groupBy("source", "h1", "h2").agg(F.count(F.lit(1)).alias("rows"), F.min("day").alias("day"), F.first("lines").alias("lines"))
     per_day = clusters.select("source", "rows", "day", F.explode("lines").alias("line")).groupBy("source", "line", "day").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("clusters"))
     lines = per_day.groupBy("source", "line").agg(F.sum("rows").alias("rows"), F.sum("clusters").alias("clusters"), F.count(F.lit(1)).alias("days"))
@@ -47,20 +51,20 @@ def line_counts(docs: DataFrame, source: str, doc: str, body: str, day: str) ->
     return lines.join(totals, F.col("source").eqNullSafe(F.col("source_t"))).drop("source_t")
 
 
-def boilerplate_lines(docs: DataFrame, source: str, doc: str, body: str, day: str, min_rows: int = 4, min_share: float = 0.08, min_clusters: int = 2, min_days: int = 2) -> DataFrame:
+def boilerplate_lines(docs: DataFrame, source: str, doc: str, body: str, day: str, min_rows: int = 4, min_share: float = 0.08, min_clusters: int = 2, min_days: int = 2, dates: DataFrame | None = None) -> DataFrame:
     """The lines of ``line_counts`` in at least ``min_rows`` rows, ``min_share`` of the source's rows, ``min_clusters`` different documents and ``min_days`` days."""
-    c = line_counts(docs, source, doc, body, day)
+    c = line_counts(docs, source, doc, body, day, dates)
     return c.where((F.col("rows") >= min_rows) & (F.col("rows") + 1e-6 >= min_share * F.col("source_rows")) & (F.col("clusters") >= min_clusters) & (F.col("days") >= min_days))
 
 
-def line_report(docs: DataFrame, source: str, doc: str, body: str, day: str, min_rows: int = 4, min_share: float = 0.08, min_clusters: int = 2, min_days: int = 2) -> DataFrame:
+def line_report(docs: DataFrame, source: str, doc: str, body: str, day: str, min_rows: int = 4, min_share: float = 0.08, min_clusters: int = 2, min_days: int = 2, dates: DataFrame | None = None) -> DataFrame:
     """Every line repeated in a source: ``source, line_text, rows, clusters, days, source_rows, boilerplate``.
 
     Lines in at least ``min_rows`` rows and ``min_share`` of the source's; ``boilerplate`` tells those of them that stand in
     different documents on different days from the lines of an article that is republished. ``line_text`` is the
     smallest of the ways the line is written.
     """
-    found = checkpointed(boilerplate_lines(docs, source, doc, body, day, min_rows, min_share, 1, 1))
+    found = checkpointed(boilerplate_lines(docs, source, doc, body, day, min_rows, min_share, 1, 1, dates))
     written = docs.select(F.col(source).alias("_s"), F.posexplode(F.arrays_zip(F.split(F.col(body), "\n", -1).alias("raw"), normalised_lines(F.col(body)).alias("norm"))).alias("_at", "_l")).where("_l.norm <> ''")
     written = written.select("_s", F.xxhash64("_l.norm").alias("_line"), F.trim("_l.raw").alias("line_text"))
     known = broadcast_if_small(found.select("source", "line"), MAX_BROADCAST_LINES)
@@ -72,7 +76,7 @@ def line_report(docs: DataFrame, source: str, doc: str, body: str, day: str, min
 def boilerplate_places(docs: DataFrame, source: str, doc: str, body: str, day: str, **limits) -> DataFrame:
     """``doc, line_no`` (from 1, empty lines counted) of every place where a boilerplate line stands."""
     found = broadcast_if_small(checkpointed(boilerplate_lines(docs, source, doc, body, day, **limits).select(F.col("source").alias("s"), "line")), MAX_BROADCAST_LINES)
-    places = _hashed(docs, source, doc, body, day).select("source", "doc", F.posexplode("lines").alias("at", "line")).where(F.col("line").isNotNull())
+    places = _hashed(docs, source, doc, body).select("source", "doc", F.posexplode("lines").alias("at", "line")).where(F.col("line").isNotNull())
     return places.join(found, places.source.eqNullSafe(found.s) & (places.line == found.line), "left_semi").select(F.col("doc").alias(doc), (F.col("at") + 1).cast("bigint").alias("line_no"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralens.io import checkpointed, table
+from terralens.io import table
 from terralens.llm import boilerplate, langid, leakage, mixing, mojibake, places, visual
 from terralens.operators import stamps
 from terralens.plans.stamps_sql import STAMPS
@@ -77,21 +77,23 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.without_boilerplate(table(spark, sf_dir, "news_items"), "source_id", "id", "body", "fetched_at").select("id", "clean_body", "lines_removed")
 
 
-def _dated_news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items with ``day``: ``published_at`` as an instant, or ``fetched_at`` where that names none."""
-    news = table(spark, sf_dir, "news_items").select("id", "source_id", "body", "fetched_at", "published_at")
+def _dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, day`` of the items: ``published_at`` as an instant, or ``fetched_at`` where that names none."""
+    news = table(spark, sf_dir, "news_items")
     published = stamps.normalise_stamps(stamps.news_stamps(news, table(spark, sf_dir, "source_clock"))).select(F.col("row_key").cast("bigint").alias("item"), F.timestamp_seconds("sec").alias("published"))
-    return news.join(checkpointed(published), F.col("id") == F.col("item"), "left").withColumn("day", F.coalesce("published", "fetched_at"))
+    return news.select("id", "fetched_at").join(published, F.col("id") == F.col("item"), "left").select("id", F.coalesce("published", "fetched_at").alias("day"))
 
 
 def p6_clean_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each item's body without its source's boilerplate, days counted by ``published_at``, or ``fetched_at`` where that names no instant."""
-    return boilerplate.without_boilerplate(_dated_news(spark, sf_dir), "source_id", "id", "body", "day").select("id", "clean_body", "lines_removed")
+    news = table(spark, sf_dir, "news_items").select("id", "source_id", "body")
+    return boilerplate.without_boilerplate(news, "source_id", "id", "body", "day", dates=_dates(spark, sf_dir)).select("id", "clean_body", "lines_removed")
 
 
 def p6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines that each source repeats, with the documents, publication days and rows they stand in, boilerplate told from republished articles."""
-    return boilerplate.line_report(_dated_news(spark, sf_dir), "source_id", "id", "body", "day").withColumnRenamed("source", "source_id")
+    news = table(spark, sf_dir, "news_items").select("id", "source_id", "body")
+    return boilerplate.line_report(news, "source_id", "id", "body", "day", dates=_dates(spark, sf_dir)).withColumnRenamed("source", "source_id")
 
 
 def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
