@@ -83,11 +83,19 @@ def boilerplate_places(docs: DataFrame, source: str, doc: str, body: str, day: s
 def without_boilerplate(docs: DataFrame, source: str, doc: str, body: str, day: str, **limits) -> DataFrame:
     """``docs`` plus ``clean_body``, the body without its source's boilerplate lines, and ``lines_removed``.
 
-    ``doc`` must be unique. Null bodies stay null; a body of boilerplate alone becomes empty. Columns of these two
-    names are replaced.
+    Null bodies stay null; a body of boilerplate alone becomes empty. Columns of these two names are replaced. Each body
+    meets the list of its source's lines and is read once; bodies are not shuffled unless all sources' lists together are
+    too long to broadcast.
     """
-    places = boilerplate_places(docs, source, doc, body, day, **limits).groupBy(F.col(doc).alias("_terralens_doc")).agg(F.collect_list("line_no").alias("_terralens_cut"))
+    found = checkpointed(boilerplate_lines(docs, source, doc, body, day, **limits).select("source", "line"))
+    cuts = found.groupBy(F.col("source").alias("_terralens_source")).agg(F.collect_list("line").alias("_terralens_cut"))
+    if found.limit(MAX_BROADCAST_LINES + 1).count() <= MAX_BROADCAST_LINES:
+        cuts = F.broadcast(cuts)
     cut = F.coalesce("_terralens_cut", F.array().cast("array<bigint>"))
-    kept = F.filter(F.split(F.col(body), "\n", -1), lambda x, i: ~F.array_contains(cut, (i + 1).cast("bigint")))
-    joined = docs.join(places, F.col(doc) == F.col("_terralens_doc"), "left")
-    return joined.withColumns({"clean_body": F.array_join(kept, "\n"), "lines_removed": F.size(cut)}).drop("_terralens_cut", "_terralens_doc")
+    pairs = F.arrays_zip(F.split(F.col(body), "\n", -1).alias("raw"), normalised_lines(F.col(body)).alias("norm"))
+    kept = F.filter(pairs, lambda x: (x["norm"] == "") | ~F.array_contains(cut, F.xxhash64(x["norm"])))
+    joined = docs.join(cuts, F.col(source).eqNullSafe(F.col("_terralens_source")), "left")
+    joined = joined.withColumn("_terralens_kept", F.when(F.size(cut) > 0, kept).otherwise(pairs))
+    clean = F.array_join(F.transform("_terralens_kept", lambda x: x["raw"]), "\n")
+    removed = F.coalesce(F.size(F.split(F.col(body), "\n", -1)) - F.size("_terralens_kept"), F.lit(0))
+    return joined.withColumns({"clean_body": F.when(F.col(body).isNotNull(), clean), "lines_removed": F.when(F.col(body).isNotNull(), removed).otherwise(0).cast("int")}).drop("_terralens_cut", "_terralens_source", "_terralens_kept")
