@@ -34,7 +34,10 @@ from terralens.llm.bitmap import bitmap, marked
 #: Encodings a text may have been shown in, and written in. Names are Python's; ``western`` is cp1252 or latin-1.
 SHOWN = ("western", "cp1251", "koi8_r", "koi8_u", "cp866", "cp437", "cp850", "cp852", "cp1250", "iso8859_2", "iso8859_5", "mac_cyrillic", "mac_roman", "iso8859_15")
 WRITTEN = ("utf_8", "cp1251", "koi8_u", "koi8_r", "cp866", "cp1250", "iso8859_2", "cp1252", "iso8859_5", "mac_cyrillic", "cp852")
-FIT_ROWS = 4000
+#: A letter pair is known if it is counted once in so many documents on average, or at all in fewer.
+PER_ROWS = 4000
+#: Distinct words of a task that are counted before their letter pairs are.
+WORDS_HELD = 200_000
 #: Parts that a skeleton's clean sentences are spread over.
 SALTS = 8
 #: Votes that a transformation needs; nats by which a token must become more probable, in all and a character.
@@ -256,17 +259,28 @@ class LetterModel:
         return "\n".join(lines), hits
 
 
-def _letters(rows: list[str]) -> tuple[dict[str, float], float]:
+def _pair_counts(words: Counter) -> Counter:
+    """Letter pairs of the clean ones of counted words."""
     pairs: Counter = Counter()
+    for w, n in words.items():
+        if CLEAN_WORD.match(w):
+            for p in _pairs(w.lower()):
+                pairs[p] += n
+    return pairs
+
+
+def _letter_scores(pairs: dict[str, int], docs: int) -> tuple[dict[str, float], float]:
+    """Log probabilities of letter pairs by their counts in ``docs`` documents, taken as of ``PER_ROWS`` so that chance pairs of a large corpus stay unknown."""
+    each = max(1.0, docs / PER_ROWS)
     first: Counter = Counter()
-    for text in rows:
-        for w in set(TOKEN.findall(text)):
-            if CLEAN_WORD.match(w):
-                low = w.lower()
-                for p in _pairs(low):
-                    pairs[p] += 1
-                    first[p[0]] += 1
-    return {p: math.log(k / (first[p[0]] + 60)) for p, k in pairs.items()}, -9.0
+    for p, n in pairs.items():
+        first[p[0]] += n / each
+    return {p: math.log(n / each / (first[p[0]] + 60)) for p, n in pairs.items() if n >= each}, -9.0
+
+
+def _letters(rows: list[str]) -> tuple[dict[str, float], float]:
+    """The letter scores of some texts."""
+    return _letter_scores(_pair_counts(Counter(w for text in rows for w in set(TOKEN.findall(text)))), len(rows))
 
 
 def _runs(text: str) -> list[str]:
@@ -354,50 +368,75 @@ def _skeletons(unit: str) -> tuple[int, int, int]:
     return _hash(marked.replace(b"?", b"")), _hash(marked), _hash(marked.replace(b"?", b"??"))
 
 
-def _sentences(docs: DataFrame, text: str, odd: bool, wanted: np.ndarray | None = None) -> DataFrame:
-    """``skeleton, unit`` of the sentences with a non-ASCII character that look garbled (``odd``) or clean.
+def _units(text: str, odd: bool) -> list[str]:
+    """Sentences with a non-ASCII character that look garbled (``odd``) or clean."""
+    if text.isascii():
+        return []
+    some = ODD.search(text) is not None
+    if odd and not some:
+        return []
+    return [u for u in SENTENCE.split(text) if not u.isascii() and (some and ODD.search(u) is not None) == odd]
+
 
-    With ``wanted`` (a bitmap) only those of the skeletons that it marks.
+def _garbled_and_pairs(docs: DataFrame, text: str) -> DataFrame:
+    """``skeleton, unit, n``: distinct sentences that look garbled (``n`` is null), and the letter pairs of all clean words.
+
+    Pairs have no skeleton; ``n`` is how many different words of a document have them, over all documents, and for the
+    unit "" the number of documents. One pass serves both.
     """
     ship_package(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def counted(words: Counter, number: int) -> pd.DataFrame:
+        pairs = _pair_counts(words)
+        return pd.DataFrame({"skeleton": pd.array([None] * (len(pairs) + 1), dtype="Int64"), "unit": [*pairs, ""], "n": pd.array([*pairs.values(), number], dtype="Int64")})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        want = shared.value
+        words: Counter = Counter()
+        number = 0
         for pdf in batches:
-            keys: list[int] = []
-            units: list[str] = []
+            found: list[str] = []
             for t in pdf["t"]:
-                if t.isascii():
-                    continue
-                some = ODD.search(t) is not None
-                if odd and not some:
-                    continue
-                for u in SENTENCE.split(t):
-                    if u.isascii() or (some and (ODD.search(u) is not None)) != odd:
-                        continue
-                    found = (_skeleton(u),) if odd else _skeletons(u)
-                    keys += found
-                    units += [u] * len(found)
-            k = np.array(keys, dtype=np.int64)
-            keep = np.ones(len(k), dtype=bool) if want is None else marked(want, k.view(np.uint64))
-            yield pd.DataFrame({"skeleton": k[keep], "unit": np.array(units, dtype=object)[keep]})
+                number += t != ""
+                words.update(set(TOKEN.findall(t)))
+                found += _units(t, True)
+                if len(words) > WORDS_HELD:
+                    yield counted(words, number)
+                    words, number = Counter(), 0
+            yield pd.DataFrame({"skeleton": pd.array([_skeleton(u) for u in found], dtype="Int64"), "unit": np.array(found, dtype=object), "n": pd.array([None] * len(found), dtype="Int64")})
+        yield counted(words, number)
+
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).mapInPandas(run, "skeleton bigint, unit string, n bigint")
+    return rows.groupBy("skeleton", "unit").agg(F.sum("n").alias("n"))
+
+
+def _clean_sentences(docs: DataFrame, text: str, wanted: np.ndarray) -> DataFrame:
+    """``skeleton, unit`` of the clean sentences with a non-ASCII character, of the skeletons that the bitmap ``wanted`` marks."""
+    ship_package(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            units = [u for t in pdf["t"] for u in _units(t, False)]
+            k = np.array([k for u in units for k in _skeletons(u)], dtype=np.int64)
+            at = np.flatnonzero(marked(shared.value, k.view(np.uint64)))
+            yield pd.DataFrame({"skeleton": k[at], "unit": np.array([units[i // 3] for i in at], dtype=object)})
 
     return docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).mapInPandas(run, "skeleton bigint, unit string")
 
 
-def learn(docs: DataFrame, doc: str, text: str, fit_rows: int = FIT_ROWS, min_votes: int = MIN_VOTES) -> LetterModel:
-    """The letter model (from ``fit_rows`` rows, those with the smallest hashed ids) and the transformations of ``docs``.
+def learn(docs: DataFrame, doc: str, text: str, min_votes: int = MIN_VOTES) -> LetterModel:
+    """The letter model and the transformations of ``docs``, both from all of them, whatever their keys ``doc``.
 
     A transformation needs ``min_votes`` garbled sentences; what was done once to UTF-8 may have been done twice, so the
     repetition of a learnt step counts as learnt, and no other succession does without votes. Maps of letters that no encodings explain are put together
     from the pairs that as many sentences show, each letter's most frequent counterpart, if three of four agree.
     """
-    h = F.xxhash64(F.col(doc))
-    bound = docs.select(h.alias("h")).orderBy("h").limit(fit_rows).agg(F.max("h")).first()[0]
-    rows = [r[0] for r in docs.where(h <= bound).select(text).limit(2 * fit_rows).collect() if r[0]] if bound is not None else []
-    garbled = checkpointed(_sentences(docs, text, True).distinct().withColumnRenamed("unit", "garbled"))
-    clean = _sentences(docs, text, False, bitmap(garbled, "skeleton"))
+    seen = checkpointed(_garbled_and_pairs(docs, text))
+    #: At most as many rows as the letters of clean words have pairs.
+    pairs = {r["unit"]: r["n"] for r in seen.where("skeleton IS NULL").select("unit", "n").collect()}
+    number = pairs.pop("", 0)
+    garbled = seen.where("skeleton IS NOT NULL").select("skeleton", F.col("unit").alias("garbled"))
+    clean = _clean_sentences(docs, text, bitmap(garbled, "skeleton"))
     clean = clean.distinct().select("skeleton", F.col("unit").alias("clean"), F.pmod(F.xxhash64("unit"), F.lit(SALTS)).alias("salt"))
     salted = garbled.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     votes = salted.join(clean, ["skeleton", "salt"]).select("garbled", "clean").mapInPandas(_vote, "unit bigint, how bigint, letters string").distinct().groupBy("how", "letters").agg(F.count(F.lit(1)).alias("votes"))
@@ -406,7 +445,7 @@ def learn(docs: DataFrame, doc: str, text: str, fit_rows: int = FIT_ROWS, min_vo
     every = transformations()
     named = [every[r["how"]] for r in counted if r["how"] >= 0]
     named += [how * 2 for how in named if len(how) == 1 and how[0][1] == "utf_8" and how * 2 not in named]
-    return LetterModel(*_letters(rows), tuple(named) + _learnt_map([(r["letters"], r["votes"]) for r in counted if r["how"] < 0]))
+    return LetterModel(*_letter_scores(pairs, number), tuple(named) + _learnt_map([(r["letters"], r["votes"]) for r in counted if r["how"] < 0]))
 
 
 def _learnt_map(pairs: list[tuple[str, int]]) -> tuple[Transformation, ...]:

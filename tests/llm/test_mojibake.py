@@ -56,6 +56,19 @@ def test_nothing_to_learn_from(spark):
     assert J.restore(nulls, "doc", "text", J.learn(nulls, "doc", "text")).count() == 2
 
 
+def test_letter_pairs_come_from_all_documents(spark, monkeypatch):
+    """Counts of every document, in the same proportion however many there are; pairs seldomer than one in ``PER_ROWS`` documents stay unknown."""
+    texts = [f"слово {w}" for w in ("ґанок", "їжак", "щука", "żaba")] * 1500
+    docs = spark.createDataFrame(list(enumerate([*texts, "хфжцз", "", None])), "doc bigint, text string").repartition(3)
+    for held in (J.WORDS_HELD, 2):
+        monkeypatch.setattr(J, "WORDS_HELD", held)
+        counts = {r["unit"]: r["n"] for r in J._garbled_and_pairs(docs, "text").where("skeleton IS NULL").collect()}
+        assert counts["^с"] == 6000 and counts["їж"] == counts["ża"] == 1500 and counts["хф"] == 1 and counts[""] == 6001
+    pairs = J.learn(docs, "doc", "text").pairs
+    assert pairs["їж"] == pytest.approx(np.log(1500 / 6001 * 4000 / (1500 / 6001 * 4000 + 60))) and "хф" not in pairs
+    assert J.learn(docs.where("doc % 4 = 0 OR doc >= 6000"), "doc", "text").pairs["хф"] < 0
+
+
 def test_real_texts_keep_clean_documents(spark, data):
     docs = table(spark, data, "documents")
     m = J.learn(docs, "doc_id", "text")
