@@ -3,6 +3,7 @@
 import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +111,14 @@ def test_polygons_of_squares_with_a_hole_and_touching_corners(spark):
     assert all(r[0] == r[-1] for p in got["a"] + got["h"] for r in p)
 
 
+def test_rings_of_trapezoids_that_overlap_by_a_hair():
+    """Borders where a rounded crossing lets two trapezoids overlap, on one side or on both."""
+    two = [(0.0, 1.0, 0.0, 0.0, 1.0, 1.00000002), (0.0, 1.0, 1.5, 1.0, 2.0, 2.0)]
+    for rows in (two, [(1 - x1, 1 - x0, lo1, lo0, hi1, hi0) for x0, x1, lo0, lo1, hi0, hi1 in two], [*two, (1.0, 2.0, 0.0, 0.0, 2.0, 2.0)]):
+        got = O.rings_of(pd.DataFrame(rows, columns=["x0", "x1", "lo0", "lo1", "hi0", "hi1"]))
+        assert sum(map(O._ring_area, got)) == pytest.approx(1.75 + 2 * (len(rows) - 2), abs=1e-6)
+
+
 def test_polygons_keep_the_area_of_random_overlays(spark):
     rng = random.Random(3)
 
